@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.ngram_join import ngram_jaccard_join
+
+    joined = ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.source_mix import mix_sources, word_count
 
@@ -18,5 +28,5 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources,)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op8_mix_sources)}
 SQL: dict[str, str] = {}
