@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.cross_polytope import nearest_neighbours
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nearest_neighbours(vectors, vectors.where("id % 100 = 0"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.ngram_join import ngram_jaccard_join
 
@@ -20,6 +27,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.uniform_threshold import top_k, whole_numbers
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), whole_numbers(F.col("embedding"), 1024).alias("v"))
+    return top_k(vectors, vectors.where("id % 100 = 0"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.source_mix import mix_sources, word_count
 
@@ -28,5 +42,18 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op8_mix_sources)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op8_mix_sources)}
+SQL: dict[str, str] = {
+    "op4_top_k": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+            FROM whole q JOIN whole r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
