@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.shipping import ship
 
+#: The folder with the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> bytes:
+    """A vocabulary file (under 2 MB), read on the driver."""
+    with open(f"{TOKENIZERS}/{name}", "rb") as file:
+        return file.read()
+
+
+def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.reshard import reshard_documents
+
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(12))
+    return reshard_documents(table(spark, sf_dir, "documents"), old, 16)
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.cross_polytope import nearest_neighbours
 
@@ -34,6 +52,28 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("id % 100 = 0"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.quality import quality_scores
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality_scores(table(spark, sf_dir, "documents"), labels)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.piece_dropout import encode_documents
+
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    encoded = encode_documents(docs, vocabulary("piece_bpe_32k.model"), "doc_id", "text_crc32")
+    return encoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", (F.col("text_crc32") == F.col("decoded_crc32")).alias("lossless"))
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), length=2048, pad=50256)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.source_mix import mix_sources, word_count
 
@@ -42,12 +82,27 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op8_mix_sources)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), "doc_id")
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.kneser_ney import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model)
+}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH whole AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
             FROM whole q JOIN whole r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
