@@ -1,12 +1,12 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
 Words are runs of letters and runs of other signs, as written; features are single words and pairs of
-neighbours, hashed to ``1 << BITS`` weights.  A text's feature has the value count / sqrt(number of words), and its
+neighbours (two of the same word are one feature whatever the word), hashed to ``1 << BITS`` weights.  A text's feature has the value count / sqrt(number of words), and its
 score is the logistic function of the sparse dot product and a bias.
 
 Training reads at most about ``sample`` labelled rows (all, if there are fewer; else those with the smallest
-hashes of their ids), the only bounded thing here.  ``PARTS`` tasks learn from disjoint parts and their weights
-are averaged, so no task or driver holds more than its part.
+hashes of their ids), the only bounded thing here.  Tasks learn from parts of about ``PART`` rows and their
+weights are averaged, so no task or driver holds more than its part.
 
 Defined results: a null, empty or blank text scores the bias alone; a row without a label, or with a null one,
 isn't learned from; several labels of one id are as many examples, as are repeated rows; without examples every
@@ -26,8 +26,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from orrery.llm import text as T
 
-BITS, PARTS, EPOCHS, SAMPLE = 18, 4, 3, 20_000
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
+BITS, PART, EPOCHS, SAMPLE = 18, 5000, 3, 20_000
+#: The feature of any word that follows itself.
+_SAME = np.uint64(0x5851F42D4C957F2D)
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 1.0
 
 
 def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -36,7 +38,9 @@ def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         starts, stops, counts = T.class_runs(data, offsets)
         one = T.word_hashes(data, starts, stops)
         rows = np.repeat(np.arange(to - at), counts)
-        pair = T.mix(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])[rows[1:] == rows[:-1]]
+        pair = T.mix(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])
+        pair[one[1:] == one[:-1]] = _SAME
+        pair = pair[rows[1:] == rows[:-1]]
         both = np.concatenate([one, pair])
         of = np.concatenate([rows, rows[1:][rows[1:] == rows[:-1]]])
         order = np.argsort(of, kind="stable")
@@ -70,7 +74,8 @@ def _train_part(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from docs (doc_id, text) and labels (doc_id, label)."""
     labels = labels.where("label is not null and doc_id is not null").withColumn("spread", F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))))
-    share = min(1.0, sample / max(1, labels.count()))
+    found = labels.count()
+    share, parts = min(1.0, sample / max(1, found)), max(1, -(-min(found, sample) // PART))
     chosen = labels.where(F.conv(F.substring("spread", 1, 8), 16, 10).cast("long") <= int(share * 2**32))
     # Broadcast: chosen holds about `sample` rows of three short columns.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -85,8 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("spread"), batch.column("label"), pa.array(words, pa.int64()), pa.array(blobs, pa.binary())], names=["spread", "label", "words", "features"])
 
     rows = rows.select("text", "spread", F.col("label").cast("int")).mapInArrow(run, "spread string, label int, words long, features binary")
-    part = F.conv(F.substring("spread", 9, 4), 16, 10).cast("int") % PARTS
-    # PARTS rows of one array of fixed size each.
+    part = F.conv(F.substring("spread", 9, 4), 16, 10).cast("int") % parts
+    # One array of fixed size for each part.
     found = rows.groupBy(part.alias("part")).applyInPandas(_train_part, "examples long, weights binary").collect()
     if not found:
         return np.zeros((1 << BITS) + 1)
