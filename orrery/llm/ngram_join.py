@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from orrery.llm import text as T
 from orrery.llm.components import components
 from orrery.llm.cut import cut
+from orrery.llm.packed import batches, joined, packed
 
 UNIT, COMMON, BLOCK, PER_BUCKET, MOST_MATCHES = 1 << 21, 64, 4096, 1 << 21, 8
 _CLASS, _LOW = 56, (1 << 48) - 1
@@ -69,11 +70,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
 
 
-def _packed(group: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(group, bytes of each column) for rows in the order of group."""
-    edge = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.empty(0, np.int64)
-    for a, b in zip(edge, np.append(edge[1:], len(group)), strict=True):
-        yield int(group[a]), *(c[a:b].tobytes() for c in columns)
+_DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("nodes", pa.binary()), ("keys", pa.binary())])
 
 
 def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
@@ -94,20 +91,20 @@ def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
         count = np.diff(np.append(new, len(tokens)))
         common = np.repeat(count >= COMMON, count)
         some, row = tokens[~common], rows[~common]
-        for bucket, a, b in _packed(some >> (_CLASS - bits), nodes[row], some):
+        for bucket, a, b in packed(some >> (_CLASS - bits), nodes[row], some):
             yield bucket, 0, a, np.frombuffer(b, np.uint8).reshape(-1, 8)[:, :6].tobytes()
         heavy = count >= COMMON
-        for bucket, a, b in _packed(tokens[new][heavy] >> (_CLASS - bits), count[heavy], tokens[new][heavy]):
+        for bucket, a, b in packed(tokens[new][heavy] >> (_CLASS - bits), count[heavy], tokens[new][heavy]):
             yield bucket, 1, a, b
         to = np.concatenate([nodes[keep], nodes[rows[common]]])
         key = np.concatenate([n[keep], tokens[common] | COMMON << _CLASS])
         for at in range(0, len(to), 1 << 16):
             yield int(to[at]) & ((1 << bits) - 1), 2, to[at : at + (1 << 16)].tobytes(), key[at : at + (1 << 16)].tobytes()
 
-    def run(batches):
+    def run(frames):
         def rows():
             n, nodes, values, held = [], [], [], 0
-            for batch in batches:
+            for batch in frames:
                 for _, _, v, bounds, marks in _sets(batch.column("text"), k):
                     n.append(np.diff(bounds))
                     nodes.append(marks)
@@ -119,40 +116,23 @@ def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
             if held:
                 yield from unit(n, nodes, values)
 
-        kept, size = [], 0
-        for row in rows():
-            kept.append(row)
-            size += len(row[2]) + len(row[3])
-            if size > 1 << 24:
-                yield _batch(kept)
-                kept, size = [], 0
-        if kept:
-            yield _batch(kept)
+        return batches(rows(), _DEALT)
 
     return docs.select("text").mapInArrow(run, "bucket int, kind int, nodes binary, keys binary")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "nodes", "keys"])
-
-
-def _joined(blobs, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype)
-
-
 def _repeated(bits: int, spread: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for a, b in zip(pdf.nodes[pdf.kind == 2], pdf["keys"][pdf.kind == 2], strict=True):
             out.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
         some = pdf[pdf.kind == 0]
-        nodes, low = _joined(some.nodes, np.int64), _joined(some["keys"], np.uint8).reshape(-1, 6)
+        nodes, low = joined(some.nodes, np.int64), joined(some["keys"], np.uint8).reshape(-1, 6)
         tokens = np.zeros((len(nodes), 8), np.uint8)
         tokens[:, :6] = low
         tokens = tokens.view(np.int64).ravel() | (int(pdf.bucket.iloc[0]) >> (bits - 8)) << 48
         heavy = pdf[pdf.kind == 1]
-        known = np.unique(_joined(heavy["keys"], np.int64))
+        known = np.unique(joined(heavy["keys"], np.int64))
         order = np.argsort(tokens, kind="stable")
         tokens, nodes = tokens[order], nodes[order]
         new = np.flatnonzero(np.diff(tokens, prepend=-1))
@@ -172,7 +152,7 @@ def _repeated(bits: int, spread: int):
         out.append((nodes[keep], (tokens | np.repeat(level, count) << _CLASS)[keep]))
         to, key = (np.concatenate(c) for c in zip(*out, strict=True))
         order = np.argsort(to & (spread - 1), kind="stable")
-        return pd.DataFrame(list(_packed((to & (spread - 1))[order], to[order], key[order])), columns=["part", "nodes", "keys"])
+        return pd.DataFrame(list(packed((to & (spread - 1))[order], to[order], key[order])), columns=["part", "nodes", "keys"])
 
     return run
 
@@ -193,7 +173,7 @@ def prefix_matches(n: int, single: int, levels: np.ndarray, num: int, den: int)
 
 def _survivors(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, keys = _joined(pdf.nodes, np.int64), _joined(pdf["keys"], np.int64)
+        nodes, keys = joined(pdf.nodes, np.int64), joined(pdf["keys"], np.int64)
         order = np.lexsort((keys, nodes))
         nodes, keys = nodes[order], keys[order]
         one = np.ones(len(nodes), bool)
