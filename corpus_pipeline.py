@@ -43,13 +43,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words isn't taken.
     """
     ship(spark)
-    mixed, _ = mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed, _ = mix_sources(rows.select("doc_id", "source", "size"))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     mixed = mixed.where("size > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size").alias("words"), times.alias("times"))
     mixed = mixed.groupBy("id", "s", "words").agg(F.max("times").alias("times")).where("times > 0")
-    rows = docs.withColumn("n", word_count(F.col("text")))
-    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("n") == F.col("words")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("words")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
