@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import orrery.plans.moment_queries  # noqa: F401  registers its queries
 from orrery.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
