@@ -15,6 +15,7 @@ stays null; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -25,15 +26,17 @@ from pyspark.sql import functions as F
 from orrery.llm.kneser_ney import Store
 from orrery.llm.token_counts import read_ranks
 
-GROUP, REMEMBERED = 4096, 250_000
+GROUP, REMEMBERED = 4096, 500_000
 #: Fixed value: how this vocabulary family cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_UNITS = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,:;!?#%&*$|])|[^ \n]+)|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 class _Units(dict):
-    """Packed ids of units of a text: the pattern never reaches from a sign across a following space or line end."""
+    """Packed ids of units of a text: the pattern never reaches from a sign across a following space or line end, or from
+    a letter to a following punctuation mark."""
 
     def __init__(self, encode) -> None:
         self.encode = encode
@@ -41,7 +44,7 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.encode(unit), np.int32).tobytes()
+        ids = array("i", self.encode(unit)).tobytes()
         if len(unit) <= 64:
             self[unit] = ids
         return ids
@@ -56,7 +59,7 @@ def encoder(vocabulary: bytes):
     units = _Units(whole)
 
     def encode(text: str) -> np.ndarray:
-        if _OTHER_SPACE.search(text):
+        if any(x in text for x in _OTHER_ASCII_SPACE) or not text.isascii() and _OTHER_SPACE.search(text):
             return np.array(whole(text), np.int32)
         return np.frombuffer(b"".join(map(units.__getitem__, _UNITS.findall(text))), np.int32)
 
@@ -141,15 +144,16 @@ def pack(pieces: DataFrame, groups: int, *, length: int, pad: int) -> DataFrame:
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids"], ignore_index=True)
-        out = []
-        for row, own in enumerate(best_fit_decreasing([len(x) // 4 for x in pdf.ids], length)):
-            ends = np.cumsum([0, *(len(pdf.ids[i]) // 4 for i in own)]).astype(np.int32)
+        pdf = pdf.sort_values(["doc_id", "piece", "ids"])
+        blobs, pieces, group = pdf.ids.tolist(), pdf.piece.tolist(), int(pdf.pack_group.iloc[0])
+        names = [None if pd.isna(x) else x for x in pdf.doc_id.tolist()]
+        sizes, out = [len(x) // 4 for x in blobs], []
+        for row, own in enumerate(best_fit_decreasing(sizes, length)):
+            ends = np.cumsum([0, *(sizes[i] for i in own)]).astype(np.int32)
             ids, positions = np.full(length, pad, np.int32), np.zeros(length, np.int32)
-            ids[: ends[-1]] = np.frombuffer(b"".join(pdf.ids[i] for i in own), np.int32)
+            ids[: ends[-1]] = np.frombuffer(b"".join(blobs[i] for i in own), np.int32)
             positions[: ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
-            docs = [None if pd.isna(x) else x for x in pdf.doc_id[own]]
-            out.append((int(pdf.pack_group[0]), row, int(ends[-1]), ids.tobytes(), positions.tobytes(), ends, docs, pdf.piece[own].tolist()))
+            out.append((group, row, int(ends[-1]), ids.tobytes(), positions.tobytes(), ends, [names[i] for i in own], [pieces[i] for i in own]))
         return pd.DataFrame(out, columns=["pack_group", "pack_row", "n_ids", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "pieces"])
 
     group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
