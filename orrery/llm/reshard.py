@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.cut import cut
 
-PER_BLOCK = 1 << 16
+PER_BLOCK = 1 << 12
 ROUNDS = (8, 64)
 
 
