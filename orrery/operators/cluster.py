@@ -181,3 +181,31 @@ def suppressed(boxes: DataFrame, limit: float = 0.4) -> DataFrame:
         return pd.DataFrame([(x.media_key, x.id) for x in kept], columns=["media_key", "id"])
 
     return boxes.select("media_key", "id", "score", "l", "t", "r", "b").groupBy("media_key").applyInPandas(run, "media_key long, id long")
+
+
+def merge_groups(groups: DataFrame, limits: Thresholds) -> DataFrame:
+    """block, id, into: groups (block, id, n, pinned, named, media array, centroid) merged with larger ones of their block.
+
+    In the order of size, each goes into the most similar group before it at the merge limit or above that shares no
+    media with it; two pinned or two named groups stay apart.  A merged group has both media and the weighted centre.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[dict] = []
+        out = []
+        for g in pdf.sort_values(["n", "id"], ascending=[False, True]).itertuples():
+            e, media, best = _unit(np.asarray(g.centroid, np.float64)), set(g.media), (limits.merge, None)
+            for k in kept:
+                near = float(_unit(k["sum"]) @ e)
+                if near >= best[0] and not (k["pinned"] and g.pinned) and not (k["named"] and g.named) and not media & k["media"]:
+                    best = (near, k)
+            if best[1] is None:
+                kept.append({"id": g.id, "sum": e * g.n, "media": media, "pinned": g.pinned, "named": g.named})
+                out.append((g.block, g.id, g.id))
+            else:
+                k = best[1]
+                k.update(sum=k["sum"] + e * g.n, media=k["media"] | media, pinned=k["pinned"] or g.pinned, named=k["named"] or g.named)
+                out.append((g.block, g.id, k["id"]))
+        return pd.DataFrame(out, columns=["block", "id", "into"])
+
+    return groups.select("block", "id", "n", "pinned", "named", "media", "centroid").groupBy("block").applyInPandas(run, "block long, id long, into long")
