@@ -12,7 +12,7 @@ from orrery.operators import memories as M
 from orrery.operators import moments as O
 from orrery.operators import people as P
 from orrery.operators import timeline as L
-from orrery.plans.queries import _COMPANIONS, _COUNTS, _candidates, _people_candidates, query, r6
+from orrery.plans.queries import _CANDIDATES, _COMPANIONS, _COUNTS, _candidates, _people_candidates, query, r6
 from orrery.sources.views import Library
 
 _DATED = """, nf AS (SELECT media_key, count(*) AS n_faces FROM faces GROUP BY media_key),
@@ -85,11 +85,14 @@ def together_since(x: Library) -> DataFrame:
     return O.together_since(a.join(b, ["key", "taken_ms"]).where("a < b"))
 
 
-@query()
+@query(_CANDIDATES + """, days AS (SELECT key, ms // 86400000 AS day, score, ms FROM cand), full_ AS (SELECT day, count(*) AS n, day - row_number() OVER (ORDER BY day) AS island FROM days GROUP BY day),
+runs AS (SELECT min(day) AS first_day, max(day) AS last_day FROM full_ GROUP BY island HAVING count(*) >= 3 AND sum(n) >= 6),
+wanted AS (SELECT DISTINCT first_day, unnest([first_day, (first_day + last_day) // 2, last_day]) AS day FROM runs)
+SELECT first_day::INTEGER AS first_day, day::INTEGER AS day, key FROM (SELECT first_day, day, key, row_number() OVER (PARTITION BY first_day, day ORDER BY score DESC, ms, key) AS r FROM days JOIN wanted USING (day)) WHERE r = 1""")
 def trip_photos(x: Library) -> DataFrame:
     days = _candidates(x).select("key", D.day_number(F.col("ms")).alias("day"), "score", "ms")
     runs = M.trips(days.groupBy("day").agg(F.count(F.lit(1)).alias("n")), 3, 1, 6)
-    return O.trip_photos(days, runs)
+    return O.trip_photos(days, runs).select(F.col("first_day").cast("int").alias("first_day"), F.col("day").cast("int").alias("day"), "key")
 
 
 @query(_COUNTS + """, p AS (SELECT id, name, row_number() OVER (ORDER BY name IS NOT NULL DESC, n_media DESC, id) AS place FROM people JOIN c ON id = person_id)

@@ -363,16 +363,23 @@ def crowds_per_year(x: Library) -> DataFrame:
     return L.crowds(L.groups(x.faces(), x.media_dates()))
 
 
-@query(_GROUPS + """, e AS (SELECT media_key, ms, ms // 86400000 AS day, len(people) AS k, unnest(people) AS a FROM g),
+_REUNIONS = """, e AS (SELECT media_key, ms, ms // 86400000 AS day, len(people) AS k, unnest(people) AS a FROM g),
 m AS (SELECT e.a, f.a AS b, e.day, e.media_key, e.ms, e.k FROM e JOIN e f ON e.media_key = f.media_key AND e.a < f.a),
 d AS (SELECT a, b, day, lag(day) OVER (PARTITION BY a, b ORDER BY day) AS last FROM (SELECT DISTINCT a, b, day FROM m)),
-r AS (SELECT media_key, m.day, k, min(m.day - last) AS gap FROM m JOIN d ON d.a = m.a AND d.b = m.b AND d.day = m.day WHERE last IS NOT NULL AND k BETWEEN 3 AND 12 GROUP BY media_key, m.day, k)
-SELECT media_key, day::BIGINT AS day, k::INTEGER AS n, gap::BIGINT AS gap FROM r WHERE gap >= 365""")
+r AS (SELECT media_key, m.day, k, min(m.day - last) AS gap FROM m JOIN d ON d.a = m.a AND d.b = m.b AND d.day = m.day WHERE last IS NOT NULL AND k BETWEEN 3 AND 12 GROUP BY media_key, m.day, k), found AS (SELECT media_key, day::BIGINT AS day, k::INTEGER AS n, gap::BIGINT AS gap FROM r WHERE gap >= 365)
+"""
+
+
+@query(_GROUPS + _REUNIONS + "SELECT * FROM found")
 def reunion_candidates(x: Library) -> DataFrame:
     return L.reunion_candidates(L.groups(x.faces(), x.media_dates()))
 
 
-@query()
+@query(_GROUPS + _REUNIONS + """, o AS (SELECT *, row_number() OVER (ORDER BY n DESC, gap DESC, day, media_key) AS i FROM found),
+w AS (SELECT i, media_key, day, n, gap, [day] AS chosen, true AS ok FROM o WHERE i = 1 UNION ALL
+  SELECT i, media_key, day, n, gap, CASE WHEN ok THEN list_append(chosen, day) ELSE chosen END, ok FROM (SELECT o.i, o.media_key, o.day, o.n, o.gap, w.chosen,
+    len(list_filter(w.chosen, lambda x: abs(x - o.day) < 180)) = 0 AS ok FROM w JOIN o ON o.i = w.i + 1))
+SELECT media_key, day, n, gap FROM w WHERE ok""")
 def reunions(x: Library) -> DataFrame:
     return L.spaced(L.reunion_candidates(L.groups(x.faces(), x.media_dates())))
 
@@ -393,7 +400,11 @@ def month_top_n(x: Library) -> DataFrame:
     return L.month_top(_candidates(x), 6)
 
 
-@query()
+@query(_CANDIDATES + """, c AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, ms, key) AS i FROM cand),
+g AS (SELECT month, i, key, ms, [ms] AS chosen, true AS ok FROM c WHERE i = 1 UNION ALL
+  SELECT month, i, key, ms, CASE WHEN ok THEN list_append(chosen, ms) ELSE chosen END, ok FROM (SELECT c.month, c.i, c.key, c.ms, g.chosen,
+    len(g.chosen) < 6 AND len(list_filter(g.chosen, lambda x: abs(x - c.ms) < 432000000)) = 0 AS ok FROM g JOIN c ON c.month = g.month AND c.i = g.i + 1))
+SELECT month, key, ms FROM g WHERE ok""")
 def month_picks_greedy(x: Library) -> DataFrame:
     return L.month_picks(_candidates(x), 6, 5 * L.DAY_MS)
 
@@ -572,7 +583,9 @@ def content_words(x: Library) -> DataFrame:
     return x.table("documents").select("doc_id", Q.content_words(F.col("text")).alias("words")).where("size(words) > 0")
 
 
-@query()
+@query(""", n AS (SELECT * FROM (VALUES (1, 'Thand'), (2, 'anan'), (3, 'The'), (4, 'the')) v(person, name))
+SELECT doc_id AS id, person, name, length(regexp_extract(lower(text), '(?s)^(|.*?[^a-z0-9_])' || lower(name) || '(?:[^a-z0-9_]|$)', 1))::INTEGER AS at FROM documents, n
+WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])' || lower(name) || '([^a-z0-9_]|$)')""")
 def mentions(x: Library) -> DataFrame:
     people = x.spark.createDataFrame([(1, "Thand"), (2, "anan"), (3, "The"), (4, "the"), (5, "Same"), (6, "Same")], "id int, name string")
     return Q.mentions(x.table("documents").select(F.col("doc_id").alias("id"), "text"), people)
@@ -590,7 +603,11 @@ def export_totals(x: Library) -> DataFrame:
     return X.totals(x.photos().withColumn("size", F.col("ts_ms")))
 
 
-@query()
+@query(""", e AS (SELECT o_custkey % 50 AS job, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i,
+  (floor(o_totalprice * 10)::BIGINT + 5 * (floor(o_totalprice * 10)::BIGINT // 65535 + 1) + 2 * length('uri' || o_orderkey) + 500)::BIGINT AS cost FROM orders),
+p AS (SELECT job, ord, i, 0 AS part, cost AS used FROM e WHERE i = 1 UNION ALL
+  SELECT e.job, e.ord, e.i, CASE WHEN used + cost > 8000000 - 262144 THEN part + 1 ELSE part END, CASE WHEN used + cost > 8000000 - 262144 THEN cost ELSE used + cost END FROM p JOIN e ON e.job = p.job AND e.i = p.i + 1)
+SELECT job, ord, part::INTEGER AS part FROM p""")
 def zip_part_plan(x: Library) -> DataFrame:
     orders = x.table("orders")
     size, path = F.floor(F.col("o_totalprice") * 10).cast("long"), F.concat(F.lit("uri"), "o_orderkey")

@@ -66,7 +66,7 @@ class Library:
 
 #: The same views for DuckDB, to be put before an oracle query.
 SQL_VIEWS = """
-WITH idx AS (
+WITH RECURSIVE idx AS (
   SELECT vec_id AS ord, embedding, label AS folder_id, (vec_id // 3) % 4 = 0 AS is_video,
     CASE WHEN (vec_id // 3) % 4 = 0 THEN vec_id - vec_id % 3 ELSE vec_id END AS media_key,
     CASE WHEN (vec_id // 3) % 4 = 0 THEN (vec_id % 3) * 1000 ELSE 0 END AS timestamp_ms FROM embeddings
