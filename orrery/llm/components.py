@@ -17,18 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     loops = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
-    tree, last = pairs.where("a > b"), None
-    while True:
+    tree, done = pairs.where("a > b"), False
+    while not done:
         both = tree.union(tree.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         tree = cut(small.select("a", F.col("m").alias("b")).union(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        state = tree.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
+        # Done when all are stars: nobody has two parents, and no parent has one.
+        ends = tree.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(tree.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        done = ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
     roots = tree.select(F.col("a").alias("node"), F.col("b").alias("root"))
     tops = tree.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return roots.union(tops).union(loops).groupBy("node").agg(F.min("root").alias("root"))

@@ -22,7 +22,7 @@ How it runs:
 Defined results: a null or blank text has an empty set (n_shingles 0) and is linked with nothing; a text of
 1 to k-1 words has its whole sequence as its one shingle; repeated rows and repeated doc_ids are documents of
 their own; a null doc_id is kept (a component of only such rows has a null id); an empty table gives no rows.
-Equality of shingles is equality of 56-bit hashes, of sets that of 64-bit sums of hashes.
+Equality of shingles is equality of 54-bit hashes, of sets that of 64-bit sums of hashes.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 from orrery.llm import text as T
 from orrery.llm.components import components
 from orrery.llm.cut import cut
-from orrery.llm.packed import batches, joined, packed
+from orrery.llm.packed import batches, joined, packed, runs
 
 UNIT, COMMON, BLOCK, PER_BUCKET, MOST_MATCHES = 1 << 21, 64, 4096, 1 << 21, 8
-_CLASS, _LOW = 56, (1 << 48) - 1
+#: Bits of a shingle's hash that are kept, bits of it that are sent to its bucket, and where its rarity stands in a key.
+_TOKEN, _SENT, _CLASS = 54, 48, 56
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,6 +74,19 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 _DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("nodes", pa.binary()), ("keys", pa.binary())])
 
 
+def _place(n: int) -> np.dtype:
+    return np.dtype(np.uint16 if n <= 1 << 16 else np.uint32)
+
+
+def _shingles(nodes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, low bits of their shingles) of one packed row."""
+    nodes = np.frombuffer(nodes, np.int64)
+    n = len(body) // (_SENT // 8 + _place(len(nodes)).itemsize)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, : _SENT // 8] = np.frombuffer(body, np.uint8, n * _SENT // 8).reshape(n, -1)
+    return nodes[np.frombuffer(body, _place(len(nodes)), n, n * _SENT // 8)], low.view(np.int64).ravel()
+
+
 def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Rows bucket, kind, nodes, keys: of shingles (kind 0), their counts (1), and what goes on to nodes (2)."""
 
@@ -84,17 +98,20 @@ def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
         keep[first] = True
         keep &= n > 0
         here = keep[rows]
-        tokens, rows = (values[here] >> np.uint64(8)).view(np.int64), rows[here]
+        tokens, rows = (values[here] >> np.uint64(64 - _TOKEN)).view(np.int64), rows[here]
         order = np.argsort(tokens, kind="stable")
         tokens, rows = tokens[order], rows[order]
         new = np.flatnonzero(np.diff(tokens, prepend=-1))
         count = np.diff(np.append(new, len(tokens)))
         common = np.repeat(count >= COMMON, count)
         some, row = tokens[~common], rows[~common]
-        for bucket, a, b in packed(some >> (_CLASS - bits), nodes[row], some):
-            yield bucket, 0, a, np.frombuffer(b, np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        bucket = some >> (_TOKEN - bits)
+        for a, length in zip(*runs(bucket), strict=True):
+            used, at = np.unique(row[a : a + length], return_inverse=True)
+            low = some[a : a + length].view(np.uint8).reshape(-1, 8)[:, : _SENT // 8]
+            yield int(bucket[a]), 0, nodes[used].tobytes(), low.tobytes() + at.astype(_place(len(used))).tobytes()
         heavy = count >= COMMON
-        for bucket, a, b in packed(tokens[new][heavy] >> (_CLASS - bits), count[heavy], tokens[new][heavy]):
+        for bucket, a, b in packed(tokens[new][heavy] >> (_TOKEN - bits), count[heavy], tokens[new][heavy]):
             yield bucket, 1, a, b
         to = np.concatenate([nodes[keep], nodes[rows[common]]])
         key = np.concatenate([n[keep], tokens[common] | COMMON << _CLASS])
@@ -127,10 +144,9 @@ def _repeated(bits: int, spread: int):
         for a, b in zip(pdf.nodes[pdf.kind == 2], pdf["keys"][pdf.kind == 2], strict=True):
             out.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
         some = pdf[pdf.kind == 0]
-        nodes, low = joined(some.nodes, np.int64), joined(some["keys"], np.uint8).reshape(-1, 6)
-        tokens = np.zeros((len(nodes), 8), np.uint8)
-        tokens[:, :6] = low
-        tokens = tokens.view(np.int64).ravel() | (int(pdf.bucket.iloc[0]) >> (bits - 8)) << 48
+        sent = [_shingles(*x) for x in zip(some.nodes, some["keys"], strict=True)] or [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        nodes, tokens = (np.concatenate(x) for x in zip(*sent, strict=True))
+        tokens = tokens | (int(pdf.bucket.iloc[0]) >> (bits - _TOKEN + _SENT)) << _SENT
         heavy = pdf[pdf.kind == 1]
         known = np.unique(joined(heavy["keys"], np.int64))
         order = np.argsort(tokens, kind="stable")
@@ -247,7 +263,7 @@ def _join_cluster(num: int, den: int):
 
 def similar_sets(docs: DataFrame, total: int, *, k: int, num: int, den: int) -> DataFrame:
     """Links a, b between nodes: a spanning forest of all similar pairs; total: about how many shingles docs have."""
-    bits = max(8, math.ceil(math.log2(max(1, total) / PER_BUCKET)))
+    bits = max(_TOKEN - _SENT, math.ceil(math.log2(max(1, total) / PER_BUCKET)))
     spread = 1 << max(6, bits - 2)
     dealt = _dealt(docs, k, bits).groupBy("bucket").applyInPandas(_repeated(bits, spread), "part int, nodes binary, keys binary")
     sets = cut(dealt.groupBy("part").applyInPandas(_survivors(num, den), "node long, n long, matches int, held int, keys array<long>"))
@@ -269,7 +285,8 @@ def ngram_jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     members = cut(shingle_sets(docs, k))
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     roots = cut(components(similar_sets(docs, total, k=k, num=num, den=den)))
-    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = members.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    members = members.join(least, "root", "left")
-    return members.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Both small sides are cut, so that Spark can split what one text or one group has most rows of.
+    some = members.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = cut(some.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    some = some.join(least, "root", "left").select("doc_id", "n_shingles", "node", "component_id")
+    return some.unionByName(members.where("node is null").withColumn("component_id", F.col("doc_id")))

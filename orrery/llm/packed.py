@@ -37,7 +37,7 @@ def widen(blob: np.ndarray) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Record batches of about most bytes."""
     kept, size = [], 0
     for row in rows:

@@ -8,7 +8,9 @@ points fill every interval evenly, so a source gets its share up to a few blocks
 schedule is mixed alike.
 
 Ranks and word offsets are taken in two levels (counts of parts, then a window inside each part), so that a
-source with most of the rows isn't one window.  The table of sources is the only thing ordered as a whole.
+source with most of the rows isn't one window.  The table of sources is the only thing ordered as a whole, and with
+the ranges of sources the only thing broadcast: joins with slots are merged by hint, as Spark can't tell how many rows
+a sequence makes.
 
 Defined results: a null text has no words; a document without words takes 0; null is the last source;
 sources of no words have target 0; an empty table gives no rows; repeated rows with one doc_id are
@@ -83,7 +85,7 @@ def schedule(targets: DataFrame, block: int, per_part: int = 1 << 16) -> DataFra
     before = Window.partitionBy("low").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = slots.groupBy("low", "chunk").agg(F.count(F.lit(1)).alias("n")).select("low", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("low", "chunk").orderBy("slot")) - 1
-    slots = slots.withColumn("inside", inside).join(base, ["low", "chunk"]).withColumn("r", F.col("base") + F.col("inside"))
+    slots = slots.withColumn("inside", inside).join(base.hint("merge"), ["low", "chunk"]).withColumn("r", F.col("base") + F.col("inside"))
     return slots.select("slot", "source", (F.col("r") % F.col("blocks")).alias("block_no"), F.floor(F.col("r") / F.col("blocks")).alias("pass_no"))
 
 
@@ -100,7 +102,7 @@ def mix_sources(docs: DataFrame, *, block: int = 128, weights: tuple[int, ...] =
     used = slots.groupBy(F.col("source").alias("s"), "block_no").agg(F.count(F.lit(1)).alias("times"))
     docs = docs.withColumn("row", F.struct("doc_id", "size", "start"))
     pieces = docs.where("size > 0").select("source", "row", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("b"))
-    pieces = pieces.join(used, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block_no")))
+    pieces = pieces.join(used.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block_no")))
     words = F.least(F.col("row.start") + F.col("row.size"), (F.col("b") + 1) * block) - F.greatest(F.col("row.start"), F.col("b") * block)
     taken = pieces.groupBy(F.col("source").alias("s"), F.col("row").alias("r")).agg(F.sum(words * F.col("times")).alias("taken"))
     docs = docs.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("row") == F.col("r")), "left").drop("s", "r")
