@@ -125,6 +125,11 @@ def rotation_choice(available: DataFrame, history: DataFrame, today: int, slot:
     return x.orderBy(group, yesterday, idle, "place").select("kind").limit(1)
 
 
+def next_choice(available: DataFrame, last_place: int) -> DataFrame:
+    """The kind after ``last_place`` among available (kind, place), in a circle: what a test run shows next."""
+    return available.orderBy(F.col("place") <= last_place, "place").select("kind").limit(1)
+
+
 def fresh_subjects(subjects: DataFrame, seen: DataFrame, today: int, keep: int = 45) -> DataFrame:
     """Subjects that weren't shown in the last ``keep`` days."""
     return subjects.join(seen.where(F.col("day") > today - keep).where(F.col("day") <= today).select("subject").distinct(), "subject", "left_anti")

@@ -51,6 +51,18 @@ def set_hidden(people: DataFrame, person: int, hidden: bool) -> DataFrame:
     return people.withColumn("pinned", F.when(own & F.lit(hidden), True).otherwise(F.col("pinned"))).withColumn("hidden", F.when(own, hidden).otherwise(F.col("hidden")))
 
 
+def set_pinned(people: DataFrame, person: int, pinned: bool) -> DataFrame:
+    return people.withColumn("pinned", F.when(F.col("id") == person, pinned).otherwise(F.col("pinned")))
+
+
+def lock_face(faces: DataFrame, face: int, person: int | None, blocked: int | None = None) -> DataFrame:
+    """One face is given to a person (None: nobody) for good; a person it was taken from stays blocked unless another is named."""
+    own = F.col("id") == face
+    faces = faces.withColumn("person_id", F.when(own, F.lit(person).cast("long")).otherwise(F.col("person_id")))
+    faces = faces.withColumn("locked", F.when(own, True).otherwise(F.col("locked")))
+    return faces.withColumn("blocked", F.when(own, F.coalesce(F.lit(blocked).cast("long"), "blocked")).otherwise(F.col("blocked")))
+
+
 def merge_people(people: DataFrame, faces: DataFrame, seen: DataFrame, gone: int, into: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """people, faces and seen (uri, ts_ms, person_id) with one person's rows given to another."""
     give = lambda df: df.withColumn("person_id", F.when(F.col("person_id") == gone, F.lit(into).cast("long")).otherwise(F.col("person_id")))

@@ -211,3 +211,44 @@ def face_location(x: Library) -> DataFrame:
 def frame_faces_top(x: Library) -> DataFrame:
     order = Window.partitionBy("media_key").orderBy(F.desc("rank"), "id")
     return x.faces().where("good").withColumn("place", F.row_number().over(order)).where("place <= 2").select("media_key", "id", "place")
+
+
+@query("SELECT f.id, person_id, rank, box_l, box_t, box_r, box_b FROM faces f JOIN photos ON hash = media_key WHERE uri = 'uri7' AND NOT is_video AND NOT deferred AND person_id IS NOT NULL")
+def photo_faces(x: Library) -> DataFrame:
+    photo = x.photos().where("uri = 'uri7' and not is_video")
+    own = x.faces().where("not deferred and person_id is not null")
+    return own.join(photo, F.col("media_key") == F.col("hash"), "left_semi").select("id", "person_id", "rank", "box_l", "box_t", "box_r", "box_b")
+
+
+@query("SELECT f.id, person_id, name, rank FROM faces f JOIN photos ON hash = media_key JOIN people p ON p.id = person_id WHERE is_video AND uri = 'uri10' AND ts_ms = 0")
+def video_frame_faces(x: Library) -> DataFrame:
+    frame = x.photos().where("is_video and uri = 'uri10' and ts_ms = 0")
+    own = x.faces().join(frame, F.col("media_key") == F.col("hash"), "left_semi")
+    return own.join(x.people().select(F.col("id").alias("person"), "name"), F.col("person_id") == F.col("person")).select("id", "person_id", "name", "rank")
+
+
+@query("SELECT person_id, ts_ms FROM faces JOIN photos ON hash = media_key WHERE is_video AND uri = 'uri20' AND person_id IS NOT NULL")
+def video_sightings(x: Library) -> DataFrame:
+    video = x.photos().where("is_video and uri = 'uri20'")
+    return x.faces().where("person_id is not null").join(video, F.col("media_key") == F.col("hash")).select("person_id", "ts_ms")
+
+
+@query("SELECT id FROM faces WHERE person_id = 3")
+def face_ids_of_person(x: Library) -> DataFrame:
+    return x.faces().where("person_id = 3").select("id")
+
+
+@query("SELECT id, person_id, rank FROM faces WHERE person_id = 3 AND good")
+def person_good_faces(x: Library) -> DataFrame:
+    return x.faces().where("person_id = 3 and good").select("id", "person_id", "rank")
+
+
+@query("SELECT id, name FROM people WHERE trim(name) <> ''")
+def names_of_people(x: Library) -> DataFrame:
+    return x.people().where("trim(name) <> ''").select("id", "name")
+
+
+@query("SELECT count(DISTINCT hash) AS videos FROM photos WHERE is_video AND hash IN (SELECT media_key FROM faces)")
+def video_count(x: Library) -> DataFrame:
+    scanned = x.photos().where("is_video").join(x.faces(), F.col("hash") == F.col("media_key"), "left_semi")
+    return scanned.agg(F.countDistinct("hash").alias("videos"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import media as M
 from orrery.operators import cluster as C
+from orrery.operators import memories as R
+from orrery.operators import state as U
 
 
 def test_metadata(spark):
@@ -41,3 +43,13 @@ def test_merged_groups(spark):
     rows = [(0, 1, 9, False, True, [1, 2], [1.0, 0.0]), (0, 2, 5, False, False, [3], [0.9, 0.1]), (0, 3, 4, False, True, [4], [1.0, 0.1]), (0, 4, 3, False, False, [2], [1.0, 0.0]), (0, 5, 1, False, False, [9], [0.0, 1.0])]
     df = spark.createDataFrame(rows, "block long, id long, n long, pinned boolean, named boolean, media array<long>, centroid array<double>")
     assert {r.id: r.into for r in C.merge_groups(df, C.Thresholds()).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_locks_and_turns(spark):
+    faces = spark.createDataFrame([(1, 5, False, 9), (2, 5, False, None)], "id long, person_id long, locked boolean, blocked long")
+    assert [tuple(r) for r in U.lock_face(faces, 1, None).orderBy("id").collect()] == [(1, None, True, 9), (2, 5, False, None)]
+    assert U.lock_face(faces, 1, 6, 7).where("id = 1").first()[1:] == (6, True, 7)
+    people = spark.createDataFrame([(1, False), (2, True)], "id long, pinned boolean")
+    assert [r.pinned for r in U.set_pinned(people, 1, True).orderBy("id").collect()] == [True, True]
+    kinds = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "kind string, place int")
+    assert [R.next_choice(kinds, i).first().kind for i in (0, 1, 2)] == ["b", "c", "a"]
