@@ -29,7 +29,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of the smallest doc_id of each group of documents whose sets of five-word shingles are alike by 0.8."""
+    """The smallest doc_id of each group of documents whose sets of five-word shingles are alike by 0.8.
+
+    Rows without a doc_id stay, as do all different texts of a doc_id that stays; of equal rows one stays.
+    """
     ship(spark)
     joined = ngram_jaccard_join(docs, k=5, num=4, den=5)
     kept = joined.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
