@@ -2,7 +2,7 @@
 
 Two sets are similar when ``den * |intersection| >= num * |union|``; then they share at least num/den of the
 larger one.  Order all shingles by rarity.  If similar, the first ``n - ceil(n * num / den) + l`` shingles of
-both sets have l in common, for every l.  Each document picks its own l: a longer prefix brings more
+both sets have l in common, for every l up to ``ceil(n * num / den)``.  Each document picks its own l: a longer prefix brings more
 candidates but asks for more shared shingles, and the l with the least estimated number of candidates wins.
 Two documents are verified when they share min(l, l') shingles of their prefixes.
 
@@ -177,11 +177,12 @@ def prefix_matches(n: int, single: int, levels: np.ndarray, num: int, den: int)
     """(l, how many repeated shingles its prefix holds) of a set of n, by the numbers of nodes of each repeated one.
 
     The estimate for l: nodes met in the prefix, of which those that meet it l times at most a l-th remain, and
-    one unit for each further shingle to look up.
+    one unit for each further shingle to look up.  No more shared shingles may be asked for than a similar set must have.
     """
-    spare = n - -(-n * num // den) - single
+    needed = -(-n * num // den)
+    spare = n - needed - single
     met = np.concatenate([[0], np.cumsum(levels - 1)])
-    l = np.arange(1, MOST_MATCHES + 1)
+    l = np.arange(1, min(MOST_MATCHES, needed) + 1)
     held = np.minimum(spare + l, len(levels))
     best = int(np.argmin(met[held] / l + l))
     return int(l[best]), int(held[best])

@@ -83,6 +83,25 @@ def test_prefix_matches():
     assert 1 <= matches <= N.MOST_MATCHES and held == min(5, 20 - 10 + matches)
 
 
+@pytest.mark.parametrize(("k", "num", "den", "linked"), [(4, 85, 100, 101), (5, 4, 5, 202)])
+def test_short_texts_with_common_shingles(spark, k, num, den, linked):
+    texts = [f"{c}1 {c}2 {c}3 {c}4 {c}5 {c}6 {c}7 {c}8" for c in "ab"]
+    texts[1] += " b9"
+    rows = [(1000 * i + j, f"{t} w{j}" if j else t) for i, t in enumerate(texts) for j in range(101)]
+    found = N.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num, den=den)
+    want = brute(rows, k, num, den)
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == want
+    assert sum(x[2] in (0, 1000) for x in want) == linked + (linked == 101)
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5), (1, 2)])
+def test_no_more_matches_than_a_similar_set_has(num, den):
+    for n in range(1, 30):
+        for single in range(n - -(-n * num // den) + 1):
+            matches, held = N.prefix_matches(n, single, np.full(n - single, 64), num, den)
+            assert 1 <= matches <= held <= n - single and matches <= -(-n * num // den)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(60)]
