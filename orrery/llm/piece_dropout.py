@@ -2,11 +2,11 @@
 
 A text is cut before each run of spaces, around line ends and between a letter and a following sign, where no piece
 of the vocabulary reaches across (checked when the vocabulary is read).  Each unit is segmented by an agenda of candidate merges, best piece
-first, leftmost first; a candidate that comes up is skipped when the hash of (seed, variant, unit, place, piece)
-falls below the dropout rate.  The variant of a unit, one of ``VARIANTS``, comes from the hash of (seed, doc_id,
-number of the stretch of ``STRETCH`` units), so a word is segmented in different ways over a corpus while a
-rerun gives the same, and tasks remember the units they have segmented.  Signs without a piece, and a literal
-U+2581, become byte pieces.  With a rate of 0 this is the usual encoding.
+first, leftmost first; a candidate that comes up is skipped when the hash of (seed, doc_id, place of the unit in the
+text, place in the unit, piece) falls below the dropout rate.  Each occurrence of a word is drawn for itself, while a
+rerun gives the same.  Tasks remember for a unit what follows from which decisions (a tree, grown by the paths that
+occur), never what was drawn.  Signs without a piece, and a literal U+2581, become byte pieces.
+With a rate of 0 this is the usual encoding.
 
 Defined results: a null or empty text has no pieces; every other text decodes to itself; repeated rows encode
 alike; an empty table gives no rows.  The vocabulary file is read on the driver and sent to the tasks.
@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-VARIANTS, STRETCH, REMEMBERED = 2, 32, 500_000
+from orrery.llm.text import mix
+
+#: How many decisions and how many segmented units a task remembers at most.
+REMEMBERED = 1_500_000
 _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,:;!?#%&*$|]"
 _UNITS = re.compile(rf" *(?:{_LETTER}+(?={_SIGN})|[^ \n]+)|\n| +")
 _REACHES = re.compile(rf"[^ ] |\n|{_LETTER}{_SIGN}")
 _MARK, _MASK = "▁", 2**64 - 1
+_FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
 class Vocabulary:
@@ -58,9 +62,9 @@ class Vocabulary:
         self.rank = {piece: k for k, (piece, _) in enumerate(sorted(found.items(), key=lambda x: x[1]))}
         self.id = {piece: i for piece, (_, i) in found.items()}
 
-    def segment(self, unit: str, rate: float, salt: int) -> list[int]:
-        """The pieces of one unit; salt keys the dropout."""
-        n, rank, below = len(unit), self.rank.get, int(rate * 2**32)
+    def segment(self, unit: str, below: int, salt: int) -> tuple[list[int], list[tuple[int, bool]]]:
+        """The pieces of one unit, and the key and result (skipped or not) of each decision; salt keys the dropout."""
+        n, rank, decided = len(unit), self.rank.get, []
         symbols, after, before = [*unit, ""], list(range(1, n + 2)), list(range(-1, n))
         agenda = [(r, i, 2) for i, r in enumerate(map(rank, map(str.__add__, unit, unit[1:]))) if r is not None]
         heapify(agenda)
@@ -70,8 +74,12 @@ class Vocabulary:
             right = symbols[j]
             if not left or not right or len(left) + len(right) != size:
                 continue
-            if (salt ^ r << 8 ^ i) * 0x9E3779B1 & 0xFFFFFFFF < below:
-                continue
+            if below:
+                key = ((r << 32 | i) + 1) * _SECOND & _MASK
+                x = (salt ^ key) * _FIRST & _MASK
+                decided.append((key, skip := (x ^ x >> 32) * _SECOND & _MASK < below))
+                if skip:
+                    continue
             symbols[i] = left = left + right
             symbols[j] = ""
             after[i] = k = after[j]
@@ -87,41 +95,49 @@ class Vocabulary:
                     out.append(piece)
                 else:
                     out += [self.of_byte[b] for b in s.encode()]
-        return out
-
-
-class _Units(dict):
-    """The packed pieces of units of one variant; forgets all when there are too many."""
-
-    def __init__(self, vocabulary: Vocabulary, rate: float, key: int) -> None:
-        self.vocabulary, self.rate, self.key = vocabulary, rate, key
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = array("i", self.vocabulary.segment(unit, self.rate, xxhash.xxh32_intdigest(unit, self.key))).tobytes()
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+        return out, decided
 
 
 class Encoder:
     """Encodes texts; rate: the share of candidate merges that are skipped."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int) -> None:
-        self.seed = seed
-        self.units = [_Units(vocabulary, rate, xxhash.xxh32_intdigest(f"{seed}:{v}")) for v in range(VARIANTS if rate else 1)]
+        self.vocabulary, self.below, self.seed = vocabulary, int(rate * 2**64), seed
+        #: Of each unit a node: packed pieces, or [key of a decision, node if merged, node if skipped]; None isn't known.
+        self.trees: dict[str, bytes | list | None] = {}
+        self.held = 0
+
+    def _grow(self, unit: str, salt: int) -> bytes:
+        """The packed pieces of a unit, whose path of decisions is remembered."""
+        ids, decided = self.vocabulary.segment(unit, self.below, salt)
+        ids = array("i", ids).tobytes()
+        if len(unit) > 64:
+            return ids
+        if self.held >= REMEMBERED:
+            self.trees.clear()
+            self.held = 0
+        at, side, node = self.trees, unit, self.trees.get(unit)
+        for key, skip in decided:
+            if node is None:
+                at[side] = node = [key, None, None]
+                self.held += 1
+            at, side = node, 1 + skip
+            node = at[side]
+        at[side] = ids
+        self.held += 1
+        return ids
 
     def encode(self, text: str, key: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        units = _UNITS.findall(f" {text}")
-        if len(self.units) == 1:
-            return np.frombuffer(b"".join(map(self.units[0].__getitem__, units)), np.int32)
-        salt, parts = xxhash.xxh64_intdigest(key, self.seed), []
-        for k, at in enumerate(range(0, len(units), STRETCH)):
-            own = self.units[((salt + k * 0x9E3779B97F4A7C15 & _MASK) * 0xBF58476D1CE4E5B9 & _MASK) >> 40 & VARIANTS - 1]
-            parts += map(own.__getitem__, units[at : at + STRETCH])
+        units, parts = _UNITS.findall(f" {text}"), []
+        salt, below, tree, add = xxhash.xxh64_intdigest(key, self.seed), self.below, self.trees.get, parts.append
+        for unit, own in zip(units, mix(np.arange(len(units), dtype=np.uint64) * np.uint64(_FIRST) + np.uint64(salt)).tolist(), strict=True):
+            node = tree(unit)
+            while node.__class__ is list:
+                x = (own ^ node[0]) * _FIRST & _MASK
+                node = node[1 + ((x ^ x >> 32) * _SECOND & _MASK < below)]
+            add(self._grow(unit, own) if node is None else node)
         return np.frombuffer(b"".join(parts), np.int32)
 
 

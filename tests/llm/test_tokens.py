@@ -45,6 +45,24 @@ def test_dropout_varies_and_decodes(spark):
     assert P.encode_documents(empty(spark), model, "doc_id").count() == 0
 
 
+def test_dropout_is_drawn_for_each_occurrence(monkeypatch):
+    vocabulary_ = P.Vocabulary(vocabulary("piece_bpe_32k.model"))
+    encoder, decoder = P.Encoder(vocabulary_, 0.1, 1), P.Decoder(vocabulary_)
+    ends = np.array([x.startswith(b" ") for x in vocabulary_.bytes])
+    ids = encoder.encode(text := "international " * 4999 + "international", "7")
+    words_ = [tuple(x) for x in np.split(ids, np.flatnonzero(ends[ids]))[1:]]
+    assert len(set(words_)) > 20 and decoder.decode(ids) == text.encode()
+    copies = [tuple(encoder.encode("the cat looked at the moon", str(i))) for i in range(300)]
+    assert len(set(copies)) > 20
+    # Only one merge comes up, so the rate is seen as it is.
+    ab = encoder.encode(" ".join(["a"] * 20_000), "8")
+    assert abs(len(ab) / 20_000 - 1.1) < 0.01
+    # What is remembered doesn't change the result.
+    monkeypatch.setattr(P, "REMEMBERED", 5)
+    again = P.Encoder(vocabulary_, 0.1, 1)
+    assert again.encode(text, "7").tolist() == ids.tolist() and tuple(again.encode("the cat looked at the moon", "5")) == copies[5]
+
+
 def greedy(word, entries, longest):
     n = at = 0
     while at < len(word):
