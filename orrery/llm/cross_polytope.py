@@ -6,7 +6,7 @@ each table at the buckets of its ``probes`` nearest signed axes; all it meets is
 distance of the original vectors.
 
 A bucket is compared in blocks of at most ``ROWS`` rows and ``QUERIES`` queries, so one bucket with most of the
-rows (equal vectors, say) is many tasks, and a block returns each query's k nearest of it, not the pairs.
+rows (equal vectors, say) is many tasks, and a block returns each query's k nearest ids of it, not the pairs.
 Queries that met fewer than k rows look again into all buckets, which is exact.
 
 Defined results: vectors that are null, empty, all zero, or that hold a null or non-finite component take no
@@ -107,15 +107,21 @@ def blocks(rows: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k rows nearest to q; rough: squared distances that may be off by rounding."""
-    if len(rough) > k + 1:
-        rough_k = np.partition(rough, k)[k]
-        some = np.flatnonzero(rough <= rough_k + 1e-9 * (abs(rough_k) + (q * q).sum()))
-    else:
-        some = np.arange(len(rough))
-    some = some[ids[some] != query]
+    """(ids, distances) of the k other ids nearest to q; rough: squared distances that may be off by rounding."""
+    others, rough = ids != query, np.where(ids == query, np.inf, rough)
+    some, take = np.flatnonzero(others), k
+    while take < len(rough):
+        limit = np.partition(rough, take - 1)[take - 1]
+        if not np.isfinite(limit):
+            break
+        if len(np.unique(ids[rough <= limit])) >= k:
+            some = np.flatnonzero(others & (rough <= limit + 1e-9 * (abs(limit) + (q * q).sum())))
+            break
+        take *= 4
     exact = np.sqrt(((x[some] - q) ** 2).sum(axis=1))
-    order = np.lexsort((ids[some], exact))[:k]
+    order = np.lexsort((ids[some], exact))
+    _, first = np.unique(ids[some][order], return_index=True)
+    order = order[np.sort(first)[:k]]
     return ids[some][order], exact[order]
 
 

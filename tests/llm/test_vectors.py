@@ -47,6 +47,40 @@ def test_few_rows_are_all_found(spark):
     assert A.nearest_neighbours(df.limit(0), df).count() == 0 and A.nearest_neighbours(df, df.limit(0)).count() == 0
 
 
+def distinct_nearest(ids, x, query, q, k):
+    best = {}
+    for i, d in zip(ids.tolist(), np.sqrt(((x - q) ** 2).sum(axis=1)).tolist(), strict=True):
+        if i != query:
+            best[i] = min(best.get(i, d), d)
+    return sorted((d, i) for i, d in best.items())[:k]
+
+
+@pytest.mark.parametrize("k", [1, 5, 10, 500])
+def test_nearest_counts_an_id_once(k):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(200, 16))
+    for times in ({}, {3: 20, 7: 40}, {0: 60}, {i: 2 for i in range(200)}):
+        ids = np.repeat(np.arange(200), [times.get(i, 1) for i in range(200)])
+        rows = x[ids] + np.where(np.arange(len(ids)) % 2, 1e-3, 0)[:, None]
+        for query in (0, 3, 7, 50):
+            q = x[query]
+            near, score = A.nearest(ids, rows, query, q, ((rows - q) ** 2).sum(axis=1), k)
+            want = distinct_nearest(ids, rows, query, q, k)
+            assert near.tolist() == [i for _, i in want] and np.allclose(score, [d for d, _ in want])
+
+
+def test_repeated_rows_hide_no_neighbours(spark):
+    x, _ = table(spark)
+    # All rows lie near one direction, so mostly in one bucket of a table.
+    x = 1e-3 * x + np.random.default_rng(2).normal(size=16)
+    ids = np.concatenate([np.repeat(np.arange(600), 2), np.repeat(17, 20), np.repeat(100, 30)])
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "id long, v array<double>")
+    by = {}
+    for r in A.nearest_neighbours(df, df.where("id % 100 = 0").dropDuplicates(["id"])).orderBy("rank").collect():
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert by == {q: [i for _, i in distinct_nearest(ids, x[ids], q, x[q], 10)] for q in range(0, 600, 100)}
+
+
 def test_hadamard():
     x = np.eye(8)
     h = A.hadamard(x)
