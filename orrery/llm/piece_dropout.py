@@ -1,12 +1,15 @@
 """SentencePiece (merge type) encoding with seeded merge-dropout, and lossless decoding.
 
 A text is cut before each run of spaces, around line ends and between a letter and a following sign, where no piece
-of the vocabulary reaches across (checked when the vocabulary is read).  Each unit is segmented by an agenda of candidate merges, best piece
-first, leftmost first; a candidate that comes up is skipped when the hash of (seed, doc_id, place of the unit in the
-text, place in the unit, piece) falls below the dropout rate.  Each occurrence of a word is drawn for itself, while a
-rerun gives the same.  Tasks remember for a unit what follows from which decisions (a tree, grown by the paths that
-occur), never what was drawn.  Signs without a piece, and a literal U+2581, become byte pieces.
-With a rate of 0 this is the usual encoding.
+of the vocabulary reaches across (checked when the vocabulary is read).  Each unit is segmented by an agenda of candidate
+merges, best piece first, leftmost first.  Keyed hashes skip candidates: that of (seed, doc_id, place of the unit in the
+text, k) says how many candidates of this unit are merged between its k-th skip and the next, so that each is skipped
+with the same chance (``rate``), whatever was skipped before.  Each occurrence of a word is drawn for itself, while a rerun gives
+the same.  Signs without a piece, and a literal U+2581, become byte pieces.  With a rate of 0 this is the usual encoding.
+
+Texts are taken in lots of about ``AT_ONCE`` characters.  All units of a lot are segmented at once, one merge or skip
+of each in a step: first each different one without skips, which says how many candidates it has, then those occurrences
+whose first skip comes before that.  Units of over ``SHORT`` characters are segmented one by one, from a heap.
 
 Defined results: a null or empty text has no pieces; every other text decodes to itself; repeated rows encode
 alike; an empty table gives no rows.  The vocabulary file is read on the driver and sent to the tasks.
@@ -15,8 +18,10 @@ alike; an empty table gives no rows.  The vocabulary file is read on the driver
 from __future__ import annotations
 
 import re
-from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +32,14 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from orrery.llm.text import mix
 
-#: How many decisions and how many segmented units a task remembers at most.
-REMEMBERED = 1_500_000
+SHORT, AT_ONCE = 60, 1 << 22
 _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,:;!?#%&*$|]"
 _UNITS = re.compile(rf" *(?:{_LETTER}+(?={_SIGN})|[^ \n]+)|\n| +")
 _REACHES = re.compile(rf"[^ ] |\n|{_LETTER}{_SIGN}")
-_MARK, _MASK = "▁", 2**64 - 1
-_FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+_MARK = "▁"
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: Bits of a place in a unit, below a candidate's rank; after all candidates; and an empty place of a table.
+_PLACE, _NONE, _EMPTY = 6, np.int32(2**31 - 1), np.uint64(2**64 - 1)
 
 
 class Vocabulary:
@@ -61,25 +67,66 @@ class Vocabulary:
             raise ValueError("the vocabulary has no byte pieces")
         self.rank = {piece: k for k, (piece, _) in enumerate(sorted(found.items(), key=lambda x: x[1]))}
         self.id = {piece: i for piece, (_, i) in found.items()}
+        # Symbols, which are pieces by rank from 1 on, then other signs of pieces; 0 is none.
+        symbols = {piece: k + 1 for piece, k in self.rank.items()}
+        for sign in sorted({x for piece in found for x in piece}):
+            symbols.setdefault(sign, len(symbols) + 1)
+        self.of_sign = np.zeros(0x110000, np.int32)
+        for sign in filter(lambda x: len(x) == 1, symbols):
+            self.of_sign[ord(sign)] = symbols[sign]
+        self.ids = [[], *map(self.pieces_of, symbols)]
+        pairs = [(symbols[p[:k]] << 32 | symbols[p[k:]], r) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        self.bits = max(4, len(pairs).bit_length() + 3)
+        self.pairs, self.rank_of = np.full(1 << self.bits, _EMPTY), np.full(1 << self.bits, _NONE)
+        spots, taken = self._spot(np.array([k for k, _ in pairs], np.uint64)), set()
+        for k, at in enumerate(spots.tolist()):
+            while at in taken:
+                at = (at + 1) % len(self.pairs)
+            taken.add(at)
+            spots[k] = at
+        self.pairs[spots], self.rank_of[spots] = [k for k, _ in pairs], [r << _PLACE for _, r in pairs]
+
+    def pieces_of(self, symbol: str) -> list[int]:
+        return [self.id[symbol]] if symbol in self.id else [self.of_byte[b] for b in symbol.encode()]
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Shifted ranks of what two symbols merge to."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self._spot(keys)
+        out = self.rank_of[at]
+        there = self.pairs[at]
+        some = np.flatnonzero((there != keys) & (there != _EMPTY))
+        out[there != keys] = _NONE
+        while len(some):
+            at[some] = (at[some] + 1) % len(self.pairs)
+            there = self.pairs[at[some]]
+            hit = there == keys[some]
+            out[some[hit]] = self.rank_of[at[some[hit]]]
+            some = some[~hit & (there != _EMPTY)]
+        return out
+
+    def segment(self, unit: str, gaps: Iterable[int]) -> list[int]:
+        """The pieces of one unit; gaps: how many candidates are merged before each skip."""
+        return [i for s in self._long(unit, iter(gaps)) for i in self.pieces_of(s)]
 
-    def segment(self, unit: str, below: int, salt: int) -> tuple[list[int], list[tuple[int, bool]]]:
-        """The pieces of one unit, and the key and result (skipped or not) of each decision; salt keys the dropout."""
-        n, rank, decided = len(unit), self.rank.get, []
+    def _long(self, unit: str, gaps: Iterator[int]) -> list[str]:
+        n, rank, merged, gap = len(unit), self.rank.get, 0, next(gaps, -1)
         symbols, after, before = [*unit, ""], list(range(1, n + 2)), list(range(-1, n))
         agenda = [(r, i, 2) for i, r in enumerate(map(rank, map(str.__add__, unit, unit[1:]))) if r is not None]
         heapify(agenda)
         while agenda:
-            r, i, size = heappop(agenda)
+            _, i, size = heappop(agenda)
             left, j = symbols[i], after[i]
             right = symbols[j]
             if not left or not right or len(left) + len(right) != size:
                 continue
-            if below:
-                key = ((r << 32 | i) + 1) * _SECOND & _MASK
-                x = (salt ^ key) * _FIRST & _MASK
-                decided.append((key, skip := (x ^ x >> 32) * _SECOND & _MASK < below))
-                if skip:
-                    continue
+            if merged == gap:
+                merged, gap = 0, next(gaps, -1)
+                continue
+            merged += 1
             symbols[i] = left = left + right
             symbols[j] = ""
             after[i] = k = after[j]
@@ -88,57 +135,155 @@ class Vocabulary:
                 heappush(agenda, (r, i, size + len(s)))
             if (h := before[i]) >= 0 and (r := rank((s := symbols[h]) + left)) is not None:
                 heappush(agenda, (r, h, len(s) + size))
-        out = []
-        for s in symbols:
-            if s:
-                if (piece := self.id.get(s)) is not None:
-                    out.append(piece)
-                else:
-                    out += [self.of_byte[b] for b in s.encode()]
-        return out, decided
+        return [s for s in symbols if s]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from start on, ``size`` of them, one span after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
     """Encodes texts; rate: the share of candidate merges that are skipped."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int) -> None:
-        self.vocabulary, self.below, self.seed = vocabulary, int(rate * 2**64), seed
-        #: Of each unit a node: packed pieces, or [key of a decision, node if merged, node if skipped]; None isn't known.
-        self.trees: dict[str, bytes | list | None] = {}
-        self.held = 0
-
-    def _grow(self, unit: str, salt: int) -> bytes:
-        """The packed pieces of a unit, whose path of decisions is remembered."""
-        ids, decided = self.vocabulary.segment(unit, self.below, salt)
-        ids = array("i", ids).tobytes()
-        if len(unit) > 64:
-            return ids
-        if self.held >= REMEMBERED:
-            self.trees.clear()
-            self.held = 0
-        at, side, node = self.trees, unit, self.trees.get(unit)
-        for key, skip in decided:
-            if node is None:
-                at[side] = node = [key, None, None]
-                self.held += 1
-            at, side = node, 1 + skip
-            node = at[side]
-        at[side] = ids
-        self.held += 1
-        return ids
+        self.vocabulary, self.seed, self.rate = vocabulary, seed, rate
+        self.ids, self.of_sign = list(vocabulary.ids), vocabulary.of_sign.copy()
+        #: A hash below the k-th largest of these means k more merges and more before the next skip.
+        limits, limit = [], 1.0 - rate
+        while rate and limit * 2.0**64 >= 1:
+            limits.append(min(int(limit * 2.0**64), 2**64 - 1))
+            limit *= 1.0 - rate
+        self.limits = np.array(limits[::-1], np.uint64)
+
+    def gaps(self, own: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+        """How many candidates are merged before the k-th skip (from 0, after the one before) of the units of these keys."""
+        return len(self.limits) - np.searchsorted(self.limits, mix(own + _SECOND * (np.atleast_1d(k).astype(np.uint64) + np.uint64(1))), "right")
+
+    def _of_long(self, own: np.uint64) -> Iterator[int]:
+        keys = np.full(256, own)
+        return chain.from_iterable(self.gaps(keys, np.arange(at, at + 256)).tolist() for at in range(0, 1 << 62, 256))
+
+    def _symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The signs of all units as symbols, and where each unit ends; signs that no piece has become symbols, too."""
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        for x in np.unique(points[self.of_sign[points] == 0]).tolist():
+            self.of_sign[x] = len(self.ids)
+            self.ids.append(self.vocabulary.pieces_of(chr(x)))
+        return self.of_sign[points], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+
+    def _segment(self, signs: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols of all units one after another, how many each has, how many candidates it merged after its last skip).
+
+        own: keys of the units; None: nothing is skipped.  Units of about the same length are taken together, as columns.
+        """
+        count, merged = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        parts, low = [], 0
+        for high in (1, 4, 6, 8, 10, 12, 16, 24, 36, SHORT):
+            cols = np.flatnonzero((size > low) & (size <= high))
+            low = high
+            for at in range(0, len(cols), 1 << 16):
+                some = cols[at : at + (1 << 16)]
+                found, merged[some] = self._columns(signs, start[some], size[some], None if own is None else own[some])
+                column, row = np.nonzero(found)
+                count[some] = np.bincount(column, minlength=len(some))
+                parts.append((some, found[column, row]))
+        ends = np.cumsum(count)
+        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        for some, symbols in parts:
+            n = count[some]
+            out[np.repeat(ends[some] - n - (np.cumsum(n) - n), n) + np.arange(len(symbols))] = symbols
+        return out, count, merged
+
+    def _columns(self, signs: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols (a row for each unit, 0 for none) and numbers of merges after the last skip."""
+        n, high, ranks = len(size), int(size.max()), self.vocabulary.candidates
+        # Row 0 and the row after a unit's last sign hold no symbol; flat places are row * n + column.
+        rows = np.arange(high + 2)[:, None]
+        inside = (rows >= 1) & (rows <= size)
+        symbols = np.where(inside, signs[np.minimum(start + rows - 1, len(signs) - 1)], 0).astype(np.int32)
+        after, before = np.repeat(rows + 1, n, axis=1).astype(np.int32), np.repeat(rows - 1, n, axis=1).astype(np.int32)
+        agenda = np.full(symbols.shape, _NONE)
+        both = np.flatnonzero((rows >= 1) & (rows < size))
+        flat, agenda_flat, after_flat, before_flat = symbols.ravel(), agenda.ravel(), after.ravel(), before.ravel()
+        found = ranks(flat[both], flat[both + n])
+        agenda_flat[both] = np.where(found < _NONE, found | (both // n).astype(np.int32), _NONE)
+        merged, skips = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        gap = np.full(n, -1) if own is None else self.gaps(own, 0)
+        cols = np.arange(n)
+        while True:
+            best = agenda.min(axis=0) if len(cols) == n else agenda[:, cols].min(axis=0)
+            going = best < _NONE
+            if not going.all():
+                cols, best = cols[going], best[going]
+            if not len(cols):
+                return np.ascontiguousarray(symbols.T), merged
+            row = (best & ((1 << _PLACE) - 1)).astype(np.int64)
+            at = row * n + cols
+            skip = merged[cols] == gap[cols]
+            if skip.any():
+                out = cols[skip]
+                agenda_flat[at[skip]] = _NONE
+                merged[out] = 0
+                skips[out] += 1
+                gap[out] = self.gaps(own[out], skips[out])
+                own_cols, at, best, row = cols[~skip], at[~skip], best[~skip], row[~skip]
+            else:
+                own_cols = cols
+            merged[own_cols] += 1
+            right = after_flat[at] * np.int64(n) + own_cols
+            new = (best >> _PLACE) + 1
+            flat[at], flat[right] = new, 0
+            agenda_flat[right] = _NONE
+            end = after_flat[right]
+            after_flat[at] = end
+            end = end * np.int64(n) + own_cols
+            before_flat[end] = row
+            for left, other, place, to in ((new, flat[end], row, at), (flat[to_left := before_flat[at] * np.int64(n) + own_cols], new, before_flat[at], to_left)):
+                found = ranks(left, other)
+                agenda_flat[to] = np.where(found < _NONE, found | place.astype(np.int32), _NONE)
+
+    def encode_texts(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts, and where those of each end."""
+        found = [_UNITS.findall(f" {t}") if t else () for t in texts]
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        unit = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, counts.sum())
+        different = list(index)
+        signs, stop = self._symbols(different)
+        size = np.diff(stop, prepend=0)
+        start, short = stop - size, size <= SHORT
+        symbols, n, merged = self._segment(signs, start, np.where(short, size, 0), None)
+        ends = np.cumsum(counts)
+        place = np.arange(len(unit)) - np.repeat(ends - counts, counts)
+        own = mix(np.repeat(np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], np.uint64), counts) + place.astype(np.uint64) * _FIRST)
+        first = (np.cumsum(n) - n)[unit]
+        n = n[unit]
+        if self.rate:
+            some = np.flatnonzero((self.gaps(own, 0) < merged[unit]) & short[unit])
+            more, n[some], _ = self._segment(signs, start[unit[some]], size[unit[some]], own[some])
+            first[some] = len(symbols) + np.cumsum(n[some]) - n[some]
+            symbols = np.concatenate([symbols, more])
+        # Symbols become pieces: mostly one, else bytes.
+        sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+        begin, flat = np.cumsum(sizes) - sizes, np.fromiter(chain.from_iterable(self.ids), np.int32)
+        taken = symbols[_spans(first, n)]
+        by_symbol = sizes[taken]
+        pieces = flat[begin[taken]] if (by_symbol == 1).all() else flat[_spans(begin[taken], by_symbol)]
+        total = np.concatenate([[0], np.cumsum(by_symbol)])
+        to = total[np.cumsum(n)]
+        if not (rest := np.flatnonzero(~short[unit])).size:
+            return pieces, np.concatenate([[0], to])[ends]
+        longs = [self.vocabulary.segment(different[unit[i]], self._of_long(own[i]) if self.rate else ()) for i in rest.tolist()]
+        lengths = np.zeros(len(unit), np.int64)
+        lengths[rest] = list(map(len, longs))
+        pieces = np.insert(pieces, np.repeat(to[rest], lengths[rest]), list(chain.from_iterable(longs)))
+        return pieces, np.concatenate([[0], to + np.cumsum(lengths)])[ends]
 
     def encode(self, text: str, key: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        units, parts = _UNITS.findall(f" {text}"), []
-        salt, below, tree, add = xxhash.xxh64_intdigest(key, self.seed), self.below, self.trees.get, parts.append
-        for unit, own in zip(units, mix(np.arange(len(units), dtype=np.uint64) * np.uint64(_FIRST) + np.uint64(salt)).tolist(), strict=True):
-            node = tree(unit)
-            while node.__class__ is list:
-                x = (own ^ node[0]) * _FIRST & _MASK
-                node = node[1 + ((x ^ x >> 32) * _SECOND & _MASK < below)]
-            add(self._grow(unit, own) if node is None else node)
-        return np.frombuffer(b"".join(parts), np.int32)
+        return self.encode_texts([text], [key])[0]
 
 
 class Decoder:
@@ -153,6 +298,15 @@ class Decoder:
         at = np.repeat(self.start[ids] - (ends - size), size) + np.arange(ends[-1] if len(ids) else 0)
         return self.data[at].tobytes()[1:]
 
+    def decode_texts(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts whose pieces lie between ends (from 0), without the first space of each, and where these end (from 0)."""
+        size = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.start[ids] - total[:-1], size) + np.arange(total[-1])]
+        bounds = total[ends]
+        some = np.diff(bounds) > 0
+        return np.delete(data, bounds[:-1][some]), np.concatenate([[0], np.cumsum(np.diff(bounds) - some)])
+
 
 def read_file(docs: DataFrame, path: str) -> bytes:
     """A small file, by Spark's readers."""
@@ -171,14 +325,21 @@ def encode_documents(docs: DataFrame, model: bytes, *keep: str, rate: float = 0.
 
         encoder, decoder = Encoder(sent.value, rate, seed), Decoder(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                key, texts = (part.column(part.num_columns - i).to_pylist() for i in (2, 1))
-                found = [encoder.encode(t, str(k)) for k, t in zip(key, texts, strict=True)]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                decoded = pa.array([crc32(decoder.decode(x)) for x in found], pa.int64())
+            at = 0
+            while at < batch.num_rows:
+                keys, texts, held = [], [], 0
+                while at + len(texts) < batch.num_rows and held < AT_ONCE:
+                    keys.append(str(batch.column(batch.num_columns - 2)[at + len(texts)].as_py()))
+                    texts.append(batch.column(batch.num_columns - 1)[at + len(texts)].as_py() or "")
+                    held += len(texts[-1])
+                values, ends = encoder.encode_texts(texts, keys)
+                ends = np.concatenate([[0], ends])
+                data, sizes = decoder.decode_texts(values, ends)
+                decoded = pa.array([crc32(data[a:b]) for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)], pa.int64())
+                pieces = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pieces, decoded], names=[*names, "pieces", "decoded_crc32"])
+                at += len(texts)
 
     return docs.select(*keep, F.col("doc_id").cast("string").alias("key_to_encode"), F.col("text").alias("text_to_encode")).mapInArrow(run, schema)
 
