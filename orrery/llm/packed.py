@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,15 +27,31 @@ def joined(blobs: Iterable[bytes], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype)
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    """The low seven bytes of 64-bit integers."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :7]
-
-
-def widen(blob: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(blob) // 7, 8), np.uint8)
-    out[:, :7] = blob.reshape(-1, 7)
-    return out.view(np.int64).ravel()
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length of whole numbers from 0, compressed by planes of their bytes; small numbers take little."""
+    planes, parts = [], []
+    for c in columns:
+        data = np.ascontiguousarray(c).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        planes.append((int(c.max(initial=0)).bit_length() + 7) // 8)
+        parts.append(np.ascontiguousarray(data[:, : planes[-1]].T).tobytes())
+    head = np.array([len(columns), len(columns[0]), *planes], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+
+
+def unsqueezed(bodies: Iterable[bytes]) -> list[np.ndarray]:
+    """The columns of some bodies with as many columns, as unsigned 64-bit numbers one body after another."""
+    found = []
+    for body in bodies:
+        data = zstandard.ZstdDecompressor().decompress(body)
+        k, n = np.frombuffer(data, "<u4", 2).tolist()
+        at, own = 8 + 4 * k, []
+        for planes in np.frombuffer(data, "<u4", k, 8).tolist():
+            out = np.zeros((n, 8), np.uint8)
+            out[:, :planes] = np.frombuffer(data, np.uint8, n * planes, at).reshape(planes, n).T
+            own.append(out.view("<u8").ravel())
+            at += n * planes
+        found.append(own)
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:

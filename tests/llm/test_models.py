@@ -1,9 +1,12 @@
 import math
+import os
 import random
+import resource
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, empty, words
 
@@ -11,6 +14,10 @@ from orrery.llm import kneser_ney as K
 from orrery.llm import quality as Q
 
 
+#: Sizes at which everything is split.
+SMALL = {"unit": 500, "per_bucket": 64, "text_per_bucket": 2048}
+
+
 def corpus(spark, n=400):
     r = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -49,48 +56,45 @@ def test_quality_of_awkward_rows(spark):
     assert Q.quality_scores(empty(spark), labels).count() == 0
 
 
-def brute_scores(train, test):
+def brute_scores(train, test, order):
     """The same model with dictionaries."""
-    pairs, count = Counter(), Counter()
-    for t in train:
-        w = ["<s>", *words(t, lower=True), "</s>"]
-        pairs.update(zip(w, w[1:], strict=False))
-        count.update(w[1:])
-    follow, after = defaultdict(Counter), Counter()
-    for (a, b), n in pairs.items():
-        follow[a][b] = n
-        after[b] += 1
-
-    def off(values):
-        return K.discounts([sum(v == i for v in values) for i in (1, 2, 3, 4)])
-
-    d, e = off(pairs.values()), off(after.values())
-    total, types, tokens = sum(after.values()), len(count), sum(count.values())
-    rest = sum(e[min(n, 3)] for n in after.values()) / total
+    texts = [["<s>", *words(t, lower=True), "</s>"] for t in train]
+    grams = {order: Counter(tuple(w[i : i + order]) for w in texts for i in range(len(w) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+        if n > 1:
+            grams[n].update(tuple(w[:n]) for w in texts if len(w) >= n)
+    off, follow = {}, defaultdict(list)
+    for n, found in grams.items():
+        off[n] = K.discounts([sum(v == i for v in found.values()) for i in (1, 2, 3, 4)])
+        for g, c in found.items():
+            follow[g[:-1]].append(c)
+    count = Counter(x for w in texts for x in w[1:])
+    types, tokens = len(count), sum(count.values())
     out = []
     for t in test:
         w = ["<s>", *words(t, lower=True), "</s>"]
         score = base = 0.0
-        for a, b in zip(w, w[1:], strict=False):
-            p = max(0.0, after[b] - e[min(after[b], 3)]) / total + rest / (types + 1)
-            if follow[a]:
-                n = sum(follow[a].values())
-                p = max(0.0, follow[a][b] - d[min(follow[a][b], 3)]) / n + sum(d[min(c, 3)] for c in follow[a].values()) / n * p
+        for i in range(1, len(w)):
+            p = 1 / (types + 1)
+            for n in range(1, min(order, i + 1) + 1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if after := follow.get(g[:-1]):
+                    c = grams[n][g]
+                    p = (max(0.0, c - off[n][min(c, 3)]) + sum(off[n][min(x, 3)] for x in after) * p) / sum(after)
             score += math.log10(p)
-            base += math.log10((count[b] + 0.5) / (tokens + 0.5 * (types + 1)))
+            base += math.log10((count[w[i]] + 0.5) / (tokens + 0.5 * (types + 1)))
         out.append((len(w) - 1, sum(count[b] > 0 for b in w[1:]), tokens, base, score))
     return out
 
 
-@pytest.mark.parametrize(("unit", "pairs", "hot"), [(1 << 21, 1 << 20, 1024), (500, 64, 20)])
-def test_language_model(spark, monkeypatch, unit, pairs, hot):
-    monkeypatch.setattr(K, "UNIT", unit)
-    monkeypatch.setattr(K, "PAIRS", pairs)
-    monkeypatch.setattr(K, "HOT", hot)
+@pytest.mark.parametrize(("order", "sizes"), [(2, {}), (3, {}), (2, SMALL), (3, SMALL), (4, SMALL)])
+def test_language_model(spark, order, sizes):
     rows, df = corpus(spark)
     rows = [(d, t.title()) for d, t, _ in rows] + [(1000, None), (1001, " "), (1002, "unseen words here")]
-    found = {r.doc_id: r for r in K.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    want = brute_scores([t for d, t in rows if fold(d) != 1], [t for _, t in rows])
+    rows += [(1100 + i, " ".join(["again"] * (20 + i)) + f" and w{i} w{i + 1}") for i in range(30)]
+    found = {r.doc_id: r for r in K.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order, **sizes).collect()}
+    want = brute_scores([t for d, t in rows if fold(d) != 1], [t for _, t in rows], order)
     for (d, _), w in zip(rows, want, strict=True):
         r = found[d]
         assert r.held_out == (fold(d) == 1) and (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
@@ -98,8 +102,45 @@ def test_language_model(spark, monkeypatch, unit, pairs, hot):
 
 
 def test_language_model_beats_word_frequencies(spark):
-    found = K.language_model_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in found) > 0.9 * sum(r.base_score for r in found)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two, three = (K.language_model_scores(docs, order=n).where("held_out").selectExpr("sum(score) as score", "sum(base_score) as base").first() for n in (2, 3))
+    assert three.score > 0.9 * three.base and three.score > two.score
+
+
+def test_few_files_are_open_at_once(spark, monkeypatch):
+    _, df = corpus(spark)
+    model = K.fit(df, unit=500, per_bucket=64, text_per_bucket=2048)
+    _, _, tokens, counts = next(K._tokens(pa.array([r.text for r in df.collect()])))
+    want = model.score(tokens, counts)[2]
+    monkeypatch.setattr(K, "OPEN", 3)
+    model.store._open.clear()
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = len(os.listdir("/proc/self/fd"))
+    assert len(os.listdir(model.store.uri.removeprefix("file:"))) > 40
+    try:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (used + 12, hard))
+        assert (model.score(tokens, counts)[2] == want).all() and len(model.store._open) <= 3
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+        model.store.delete()
+
+
+def test_files_are_put_in_place_once(tmp_path):
+    store = K.Store(str(tmp_path))
+    store.write_arrays("a", np.arange(5, dtype=np.uint64), np.arange(3, dtype=np.uint32), np.empty(0, np.uint64))
+    store.write_arrays("a", np.arange(5, dtype=np.uint64), np.arange(3, dtype=np.uint32), np.empty(0, np.uint64))
+    assert [x.tolist() for x in store.arrays("a")] == [[0, 1, 2, 3, 4], [0, 1, 2], []] and os.listdir(tmp_path) == ["a"] and store.arrays("b") == []
+
+
+@pytest.mark.parametrize(("n", "low"), [(1, 30), (7, 32), (5000, 30), (5000, 32)])
+def test_shelf(n, low):
+    r = np.random.default_rng(n)
+    keys = np.unique(r.integers(0, 2**64, 2 * n, np.uint64))
+    own, other = np.sort(keys[::2]), keys[1::2]
+    width, begin, bits = K.shelf(own, low)
+    bits = bits << np.uint32(32 - low)
+    at, there = K.on_shelf(width, begin, bits, own, low)
+    assert there.all() and at.tolist() == list(range(len(own))) and not K.on_shelf(width, begin, bits, other, low)[1].any()
 
 
 def test_language_model_of_awkward_rows(spark):
@@ -117,7 +158,7 @@ def test_probabilities_add_up(spark):
     for before in ("w1", "nothing"):
         texts = [f"{before} {w}" for w in [*known, "unknown"]] + [before]
         p = 0.0
-        for _, _, tokens, counts in K._tokens(__import__("pyarrow").array(texts)):
+        for _, _, tokens, counts in K._tokens(pa.array(texts)):
             scores = model.score(tokens, counts)[2]
             ends = np.cumsum(counts)
             p += (10 ** scores[ends[:-1] - 2]).sum() + 10 ** scores[ends[-1] - 1]
