@@ -10,12 +10,12 @@ inner product of that fragment alone.  A row's score is the sum over its lists.
    are resolved exactly from their vectors.
 
 Lists are computed in blocks of at most ``ROWS`` rows and ``QUERIES`` queries.  Cutoffs reach the blocks by a
-join, since there are as many as queries; cutoffs are compared as ``lists * score >= t`` in integers.
+join, since there are as many as queries; cutoffs are compared as whole numbers, ``score >= ceil(t / lists)``.
 
 Defined results: vectors that are null or that hold a null or non-finite component take no part; vectors of
 different length aren't compared; empty vectors score 0 with one another; equal scores are ordered by the
-smaller id; rows that repeat an id count once, by their best vector; an empty table gives no rows.  Components
-and scores have to fit in 64 bits.
+smaller id; rows that repeat an id count once, by their best vector; an empty table gives no rows.  Components,
+and ``lists`` times scores, have to fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.cross_polytope import blocks
 from orrery.llm.cut import cut
+from orrery.shipping import ship
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
@@ -56,7 +57,7 @@ def _fragments(vectors: DataFrame, lists: int, *more: str) -> DataFrame:
 
 
 def _entries(k: int, lists: int):
-    """Each query's entries of a block: its k best, or where a cutoff is given those that reach it."""
+    """Each query's entries of a block: its k best, or (k is 0) those that reach its cutoff, where it has one."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf.is_query.to_numpy()
@@ -66,14 +67,16 @@ def _entries(k: int, lists: int):
             order = np.flatnonzero(~ask)[np.argsort(ids[~ask], kind="stable")]
             rows, row_ids = x[order], ids[order]
             scores = products(x[ask], rows)
-            for query, s, cutoff in zip(ids[ask].tolist(), scores, pdf.cutoff[ask], strict=True):
+            # Neither column has nulls: whole numbers over 2**53 would come as doubles.
+            for query, s, cutoff, bound in zip(ids[ask].tolist(), scores, pdf.cutoff[ask].tolist(), pdf.bound[ask].tolist(), strict=True):
                 if k:
                     least = np.partition(s, -k - 1)[-k - 1] if len(s) > k + 1 else s.min()
                     some = np.flatnonzero(s >= least)
                     some = some[row_ids[some] != query]
                     some = some[np.argsort(-s[some], kind="stable")[:k]]
                 else:
-                    some = np.flatnonzero((row_ids != query) & (pd.isna(cutoff) | (lists * s >= (0 if pd.isna(cutoff) else int(cutoff)))))
+                    # s >= cutoff / lists, in numbers that can't overflow
+                    some = np.flatnonzero((row_ids != query) & ((s >= -(-cutoff // lists)) | (not bound)))
                 found.append(pd.DataFrame({"f": pdf.f.iloc[0], "query_id": query, "vec_id": row_ids[some], "score": s[some]}))
         return pd.concat(found) if found else pd.DataFrame({"f": [], "query_id": [], "vec_id": [], "score": []})
 
@@ -87,15 +90,17 @@ def _best(scored: DataFrame, k: int, *by: str) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, lists: int = 2) -> DataFrame:
     """query_id, rank, vec_id, score for vectors and queries of id (long), v (array<long>; null: takes no part)."""
+    ship(vectors.sparkSession)
     vectors, queries = (x.where("v is not null").select("id", "v") for x in (vectors, queries))
     rows, asked = _fragments(vectors, lists), _fragments(queries, lists)
     key, entry = ["size", "f"], "f int, query_id long, vec_id long, score long"
 
     def gathered(asked: DataFrame, k: int) -> DataFrame:
-        """asked: id, v and cutoff of each fragment of a query."""
+        """asked: id, v, bound (whether there is a cutoff) and cutoff of each fragment of a query."""
         dealt = blocks(rows, asked, key)
-        cutoffs = asked.select("id", "cutoff").distinct()
-        dealt = dealt.where("not is_query").withColumn("cutoff", F.lit(None).cast("long")).unionByName(dealt.where("is_query").join(cutoffs, "id"))
+        cutoffs = asked.select("id", "bound", "cutoff").distinct()
+        none = dealt.where("not is_query").withColumn("bound", F.lit(False)).withColumn("cutoff", F.lit(0).cast("long"))
+        dealt = none.unionByName(dealt.where("is_query").join(cutoffs, "id"))
         return dealt.groupBy(*key, "i", "j").applyInPandas(_entries(k, lists), entry)
 
     def resolved(pairs: DataFrame) -> DataFrame:
@@ -104,10 +109,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, lists: int = 2
         x = x.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").where(F.size("x") == F.size("q"))
         return x.groupBy("query_id", "vec_id").agg(F.max(inner(F.col("x"), F.col("q"))).alias("score"))
 
-    first = gathered(asked.withColumn("cutoff", F.lit(None).cast("long")), k)
+    first = gathered(asked.withColumn("bound", F.lit(False)).withColumn("cutoff", F.lit(0).cast("long")), k)
     met = cut(resolved(_best(first, k, "query_id", "f").select("query_id", "vec_id").distinct()))
     safe = cut(_best(met, k, "query_id").where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff")))
-    entries = gathered(asked.join(safe, "id", "left"), 0)
+    bounds = asked.join(safe, "id", "left").withColumn("bound", F.col("cutoff").isNotNull()).withColumn("cutoff", F.coalesce("cutoff", F.lit(0)))
+    entries = gathered(bounds, 0)
     entries = entries.groupBy("query_id", "vec_id", "f").agg(F.max("score").alias("score"))
     known = cut(entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n")))
     exact = met.unionByName(known.where(F.col("n") == lists).select("query_id", "vec_id", "score"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import cross_polytope as A
 from orrery.llm import uniform_threshold as U
@@ -21,7 +22,7 @@ def test_neighbours(spark, monkeypatch, copies):
     monkeypatch.setattr(A, "ROWS", 64)
     monkeypatch.setattr(A, "QUERIES", 3)
     x, df = table(spark, copies=copies)
-    found = A.nearest_neighbours(df.selectExpr("*", "1 as t", "2 as size"), df.where("id % 50 = 0"), k=7, tables=8, probes=6)
+    found = A.nearest_neighbours(df.selectExpr("*", "1 as t", "2 as size"), df.where("id % 50 = 0"), k=7)
     hits = total = 0
     by = {}
     for r in found.collect():
@@ -42,7 +43,7 @@ def test_neighbours(spark, monkeypatch, copies):
 
 def test_few_rows_are_all_found(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [2.0])], "id long, v array<float>")
-    found = A.nearest_neighbours(df, df.where("id = 0"), k=10, tables=1, probes=1).orderBy("rank").collect()
+    found = A.nearest_neighbours(df, df.where("id = 0"), k=10, tables=1, plans={2: (1, 1)}).orderBy("rank").collect()
     assert [(r.vec_id, round(r.score, 6)) for r in found] == [(2, 1.414214), (1, 2.0)]
     assert A.nearest_neighbours(df.limit(0), df).count() == 0 and A.nearest_neighbours(df, df.limit(0)).count() == 0
 
@@ -81,6 +82,64 @@ def test_repeated_rows_hide_no_neighbours(spark):
     assert by == {q: [i for _, i in distinct_nearest(ids, x[ids], q, x[q], 10)] for q in range(0, 600, 100)}
 
 
+def brute(ids, x, queries, k):
+    out = {}
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        out[int(ids[q])] = [int(ids[i]) for i in np.lexsort((ids, d)) if i != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["table", "norms", "wide"])
+def test_recall_as_the_query_runs(spark, kind):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = df.collect()
+    ids, x = np.array([r.id for r in rows]), np.array([r.v for r in rows])
+    r = np.random.default_rng(3)
+    if kind == "norms":
+        x = (x * np.exp(r.normal(0, 0.5, (len(x), 1)))).astype(np.float32)
+    elif kind == "wide":
+        ids, x = ids[:600], r.normal(size=(600, 300)).astype(np.float32)
+    if kind != "table":
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<float>")
+    want, by = brute(ids, x.astype(float), np.flatnonzero(ids % 40 == 0), 10), {}
+    for row in A.nearest_neighbours(df, df.where("id % 40 = 0")).collect():
+        by.setdefault(row.query_id, set()).add(row.vec_id)
+    assert sum(len(by[q] & set(near)) for q, near in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def share_looked_at(x, queries, plan, tables=8, seed=7):
+    looked = np.zeros((len(queries), len(x)), bool)
+    for theirs, mine in zip(A.coordinates(x, tables, plan[0], seed), A.coordinates(x[queries], tables, plan[0], seed), strict=True):
+        code = A.codes(theirs)
+        for i, probes in enumerate(A.probe_codes(mine, plan[1])):
+            looked[i] |= np.isin(code, probes)
+    return looked.mean()
+
+
+def test_share_of_rows_looked_at_falls_with_their_number(spark):
+    """Vectors around centres: the more rows, the nearer the neighbours, and the fewer probes meet them."""
+    r, shares = np.random.default_rng(4), []
+    centres = r.normal(size=(400, 64))
+    for n in (1000, 8000):
+        x = (centres[r.integers(0, 400, n)] + 0.6 * r.normal(size=(n, 64))).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+        plan = A.fit_index(df, df.where("id % 10 = 0"), k=10, tables=8, recall=0.97, seed=7)[64]
+        shares.append(share_looked_at(x.astype(float), np.arange(0, n, 50), plan))
+    assert shares[1] < 0.6 * shares[0] and shares[1] < 0.15
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_probes_are_the_best_codes(depth):
+    x = np.random.default_rng(5).normal(size=(6, 16))
+    own = next(A.coordinates(x, 1, depth, 7))
+    sums = own[0] if depth == 1 else (own[0][:, :, None] + own[1][:, None, :]).reshape(6, -1)
+    order = np.argsort(-sums, axis=1)
+    assert (A.codes(own) == order[:, 0]).all() and (A.probe_codes(own, 20) == order[:, :20]).all()
+    for row in range(6):
+        assert A.probes_needed(own, row, order[row]).tolist() == list(range(1, sums.shape[1] + 1))
+
+
 def test_hadamard():
     x = np.eye(8)
     h = A.hadamard(x)
@@ -108,5 +167,9 @@ def test_top_k_of_awkward_vectors(spark):
     whole = df.select("id", U.whole_numbers(df["v"], 1).alias("v"))
     assert [(r.vec_id, r.score) for r in U.top_k(whole, whole.where("id = 0"), k=10).orderBy("rank").collect()] == [(5, 1), (1, -1)]
     assert U.top_k(whole.limit(0), whole).count() == 0
+    big = 2**53
+    far = spark.createDataFrame([(0, [1, 1]), (1, [big + 3, big + 3]), (2, [big + 10, big - 4]), (3, [big - 4, big + 10])], "id long, v array<long>")
+    assert [(r.vec_id, r.score) for r in U.top_k(far, far.where("id = 0"), k=1).collect()] == [(1, 2 * big + 6)]
+    assert [(r.vec_id, r.score) for r in U.top_k(far, far.where("id = 0"), k=3, lists=2).orderBy("rank").collect()] == [(1, 2 * big + 6), (2, 2 * big + 6), (3, 2 * big + 6)]
     big = np.array([[2**40, 3]])
     assert U.products(big, np.array([[2**20, 5]])).tolist() == [[2**60 + 15]]
