@@ -276,9 +276,12 @@ class _Counter:
                 for level in range(2, self.order + 1):
                     # Shorter grams than the highest order are counted here only if they begin with the start mark.
                     ends = np.flatnonzero(place >= level - 1 if level == self.order else place == level - 1)
-                    columns = [number[ends - k] for k in range(level - 1, -1, -1)]
-                    _, own, (n,) = _summed(_hash(*columns), [*columns, *(count[ends - k] for k in range(level - 1, -1, -1))], [np.ones(len(ends), np.int64)])
-                    for part, kind, body in self._dealt(own[:level], own[level:], n):
+                    keys = _hash(*(number[ends - k] for k in range(level - 1, -1, -1)))
+                    order = np.argsort(keys)
+                    new, n = runs(keys[order])
+                    ends = ends[order[new]]
+                    columns, counts = ([x[ends - k] for k in range(level - 1, -1, -1)] for x in (number, count))
+                    for part, kind, body in self._dealt(columns, counts, n):
                         yield part, kind + 10 * level, body
 
         return batches(rows(), _ROWS)
@@ -514,7 +517,7 @@ def fit(docs: DataFrame, *, order: int = ORDER, unit: int = UNIT, per_bucket: in
     return Model(words, order, bits, per_bucket, int(tokens), int(types), [n[2 + 4 * k : 6 + 4 * k] for k in range(order)], (n[0], n[1]))
 
 
-def score_documents(docs: DataFrame, model: Model, unit: int = UNIT // 2) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, unit: int = UNIT // 4) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of docs (doc_id, text)."""
 
     def run(frames):
@@ -545,7 +548,7 @@ def language_model_scores(docs: DataFrame, *, order: int = ORDER, held: int = 1,
     docs = docs.select("doc_id", "text")
     model = fit(docs.where(remainder_of_id(by=folds) != held), order=order, unit=unit, per_bucket=per_bucket, text_per_bucket=text_per_bucket)
     try:
-        scored = score_documents(docs, model, unit // 2).withColumn("held_out", remainder_of_id(by=folds) == held).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+        scored = score_documents(docs, model, unit // 4).withColumn("held_out", remainder_of_id(by=folds) == held).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
         return cut(scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     finally:
         model.store.delete()
