@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow: from the old shards' sizes and the new capacities to the fewest bytes moved.
 
 Rows of an old shard are numbered by bytes, in two levels (sums of hash blocks, then a running sum inside each
-block).  The flow between old and new shards is solved on the driver, on at most old x new numbers: a byte that
+block; the hash is that of the whole row, so a repeated or null key is no hot block).  The flow between old and new shards is solved on the driver, on at most old x new numbers: a byte that
 stays costs nothing, one that moves costs one.  A flow becomes a range of the old shard's bytes, what stays first;
 whole blocks and, at the ends of ranges, rows of one block are transferred, a row by the place of its middle.
 
@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.cut import cut
+from orrery.shipping import ship
 
 PER_BLOCK = 1 << 12
 ROUNDS = (8, 64)
@@ -86,16 +87,19 @@ def shares(total: int, weights: list[int]) -> list[int]:
 
 
 def reshard(rows: DataFrame, shards: int) -> DataFrame:
-    """rows (row_key, size, old_shard from 0, and others) with shard and slot, gapless from 0 in each shard."""
-    rows = cut(rows)
+    """rows (size, old_shard from 0, and others) with shard and slot, gapless from 0 in each shard; columns of these two
+    names are replaced."""
+    ship(rows.sparkSession)
+    others = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows = cut(rows.select("size", "old_shard", F.struct(*others).alias("row")))
     total, n, olds = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("old_shard"), F.lit(-1)) + 1).first()
-    share, names = total / shards, rows.columns
+    share = total / shards
     level = F.when(F.col("size") * ROUNDS[0] > share, 0).when(F.col("size") * ROUNDS[1] > share, 1).otherwise(2)
-    rows = rows.withColumn("level", level).withColumn("block", F.pmod(F.xxhash64("row_key"), F.lit(-(-n // PER_BLOCK) or 1)))
+    rows = rows.withColumn("level", level).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(-(-n // PER_BLOCK) or 1)))
     key = ["level", "old_shard", "block"]
     before = Window.partitionBy("level", "old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*key).agg(F.sum("size").alias("bytes")).withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
-    inside = Window.partitionBy(*key).orderBy(F.xxhash64("row_key", F.lit(1)), *names)
+    inside = Window.partitionBy(*key).orderBy(F.xxhash64("row", F.lit(1)), "row")
     rows = rows.withColumn("middle", 2 * F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = cut(rows.join(blocks, key).withColumn("middle", F.col("middle") + 2 * F.col("base")).drop("base"))
 
@@ -121,24 +125,47 @@ def reshard(rows: DataFrame, shards: int) -> DataFrame:
     found = placed(moves)
     before = Window.partitionBy("shard").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     starts = found.groupBy("shard", *key).agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("shard", *key).orderBy("middle", *names)) - 1
+    rank = F.row_number().over(Window.partitionBy("shard", *key).orderBy("middle", "row")) - 1
     found = found.withColumn("rank", rank).join(starts, ["shard", *key])
-    return found.select(*names, "shard", (F.col("base") + F.col("rank")).alias("slot"))
+    return found.select("row.*", "shard", (F.col("base") + F.col("rank")).alias("slot"))
 
 
 def rewrite_affected(placed: DataFrame, uri: str) -> list[int]:
-    """Write the shards that gain or lose rows, under uri/shard=N; files of the others stay. Returns the written shards.
+    """Rewrite the shards that gain or lose rows, under uri/shard=N; files of the others stay.  Returns these shards.
 
-    placed: rows with old_shard and shard, not read from uri.
+    placed: rows with old_shard, shard and slot; it may be read from uri itself.  New files are complete under uri/_next,
+    which readers pass over, before an old one goes.  A run that is lost before that changes nothing; one that is lost
+    later is ended by ``finish_rewrite``.  A shard that loses all its rows goes.
     """
+    spark = placed.sparkSession
     moved = placed.where("old_shard <> shard")
     touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     shards = sorted(r.shard for r in touched.collect())  # at most old + new numbers
-    found = placed.where(F.col("shard").isin(shards)).repartition("shard", F.floor(F.col("slot") / PER_BLOCK))
-    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(uri)
+    if shards:
+        found = placed.where(F.col("shard").isin(shards)).repartition("shard", F.floor(F.col("slot") / PER_BLOCK))
+        found.write.mode("overwrite").partitionBy("shard").parquet(f"{uri}/_next/rows")
+        written = {r.shard for r in placed.select("shard").distinct().collect()}  # at most new numbers
+        spark.createDataFrame([(s, s not in written) for s in shards], "shard int, emptied boolean").coalesce(1).write.mode("overwrite").parquet(f"{uri}/_next/shards")
+        finish_rewrite(spark, uri)
     return shards
 
 
+def finish_rewrite(spark: SparkSession, uri: str) -> None:
+    """Put the rewritten shards of uri/_next in place of the old ones; may be called again if it was lost on its way."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(f"{uri}/_next/shards/_SUCCESS")):
+        return
+    shards = spark.read.schema("shard int, emptied boolean").parquet(f"{uri}/_next/shards").collect()
+    for r in shards:
+        new, old = path(f"{uri}/_next/rows/shard={r.shard}"), path(f"{uri}/shard={r.shard}")
+        if fs.exists(new) or r.emptied:  # else it has been put in place before
+            fs.delete(old, True)
+        if fs.exists(new):
+            fs.rename(new, old)
+    fs.delete(path(f"{uri}/_next"), True)
+
+
 def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
@@ -146,6 +173,6 @@ def text_size(text: Column) -> Column:
 def reshard_documents(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, old_shard, grown_shard of docs (doc_id, text)."""
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
-    rows = docs.select(F.col("doc_id").alias("row_key"), text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    rows = docs.select("doc_id", text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
     law = F.lit("bytes").alias("law")
-    return reshard(rows, shards).select(F.col("row_key").alias("doc_id"), "size", "text_crc32", law, "shard", F.col("slot").cast("long").alias("slot"), "old_shard", F.lit(None).cast("int").alias("grown_shard"))
+    return reshard(rows, shards).select("doc_id", "size", "text_crc32", law, "shard", F.col("slot").cast("long").alias("slot"), "old_shard", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,15 +45,62 @@ def test_reshard(spark, monkeypatch):
     assert moved <= sum(max(0, s - share) for s in old.values()) + 0.3 * share
 
 
-def test_awkward_rows_are_all_placed(spark, tmp_path):
+def test_awkward_rows_are_all_placed(spark):
     placed = R.reshard_documents(awkward(spark), F.coalesce("n_chars", F.lit(0)) % 3, 4)
     assert Counter(r.doc_id for r in placed.collect()) == Counter(r[0] for r in AWKWARD)
     assert {r.slot for r in placed.where("shard = 0").collect()} == set(range(placed.where("shard = 0").count()))
     assert R.reshard_documents(empty(spark), F.lit(0), 4).count() == 0
-    rows = spark.range(40).selectExpr("id as row_key", "10L as size", "cast(id % 2 as int) as old_shard")
-    rows.selectExpr("*", "old_shard as shard").write.partitionBy("shard").parquet(str(tmp_path / "s"))
-    to = R.reshard(rows.withColumn("old_shard", F.when(F.col("row_key") < 20, 0).otherwise(F.when(F.col("row_key") < 30, 1).otherwise(2))), 3)
-    assert R.rewrite_affected(to.where("old_shard <> 2 or shard <> 2"), str(tmp_path / "r")) == sorted({s for r in to.collect() if r.old_shard != r.shard for s in (r.old_shard, r.shard)})
+
+
+@pytest.mark.parametrize(("old", "new"), [(3, 2), (2, 5), (4, 4)])
+def test_rewritten_shards_hold_every_row_once(spark, tmp_path, old, new):
+    uri, width = str(tmp_path / "shards"), 37
+    docs = spark.range(180).selectExpr("id as doc_id", f"repeat('x', cast(id % {width} as int)) as text", f"cast(id % {old} as int) as shard", "'m' as middle", "'r' as rank")
+    docs.write.partitionBy("shard").parquet(uri)
+    def read():
+        return spark.read.parquet(uri)
+
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").rglob("*.parquet")}
+    rows = read().select("*", R.text_size(F.col("text")).alias("size"), F.col("shard").alias("old_shard"))
+    placed = R.reshard(rows, new).cache()
+    want = {r.doc_id: r.shard for r in placed.collect()}
+    shards = R.rewrite_affected(placed.select("doc_id", "text", "middle", "rank", "old_shard", "shard", "slot"), uri)
+    assert {r.doc_id: r.shard for r in read().collect()} == want and read().count() == 180
+    assert sorted(len(r.text) for r in read().collect()) == sorted(i % width for i in range(180))
+    assert sorted(p.name for p in (tmp_path / "shards").glob("[!.]*") if p.is_dir()) == sorted(f"shard={s}" for s in set(want.values()))
+    kept = [p for p in before if int(p.parent.name[6:]) not in shards]
+    assert all(p.stat().st_mtime_ns == before[p] for p in kept)
+    if old == new:
+        # A second time all rows are where they should be, up to what can't be told apart by size.
+        again = R.reshard(read().drop("old_shard").select("*", R.text_size(F.col("text")).alias("size"), F.col("shard").alias("old_shard")), new)
+        loads = Counter()
+        for r in again.collect():
+            loads[r.shard] += r["size"]
+        assert max(loads.values()) - min(loads.values()) <= 2 * width
+
+
+def test_a_lost_swap_is_ended_later(spark, tmp_path):
+    uri = str(tmp_path / "s")
+    spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "doc_id int, shard int").write.partitionBy("shard").parquet(uri)
+    spark.createDataFrame([(1, 0), (2, 0), (3, 2)], "doc_id int, shard int").write.partitionBy("shard").parquet(f"{uri}/_next/rows")
+    R.finish_rewrite(spark, uri)
+    assert (tmp_path / "s" / "shard=1").exists()  # not complete: nothing happens
+    spark.createDataFrame([(0, False), (1, True), (2, False)], "shard int, emptied boolean").write.parquet(f"{uri}/_next/shards")
+    # The swap was lost after shard 2.
+    shutil.rmtree(tmp_path / "s" / "shard=2")
+    (tmp_path / "s" / "_next" / "rows" / "shard=2").rename(tmp_path / "s" / "shard=2")
+    R.finish_rewrite(spark, uri)
+    R.finish_rewrite(spark, uri)
+    assert sorted((r.doc_id, r.shard) for r in spark.read.parquet(uri).collect()) == [(1, 0), (2, 0), (3, 2)] and not (tmp_path / "s" / "_next").exists()
+
+
+def test_rows_of_one_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(R, "PER_BLOCK", 10)
+    rows = spark.range(400).selectExpr("cast(null as long) as doc_id", "10L + id % 3 as size", "id as x", "0 as old_shard")
+    found = R.reshard(rows, 4).collect()
+    assert sorted(r.x for r in found) == list(range(400))
+    for shard in range(4):
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
 
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
