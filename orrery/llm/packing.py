@@ -1,21 +1,22 @@
 """Token ids packed into rows of fixed length, best fit decreasing.
 
-A text's ids are cut into pieces of at most ``length`` ids.  Pieces are dealt by hash to groups of about
-``GROUP`` documents; inside a group they are placed in the order of decreasing length, each into the fullest row
-that still has room.  A segment tree over the room left (0 to length) finds that row in log2(length) steps.
+A text's ids are cut into pieces of at most ``length`` ids.  Pieces are dealt by hash to groups of about ``GROUP``
+bytes of text, which are no fewer than its ids; inside a group they are placed in the order of decreasing length, each into
+the fullest row that still has room.  A segment tree over the room left (0 to length) finds that row in log2(length) steps.
 
 A row has the ids of its pieces one after another and padding; cu_seqlens, the cumulative lengths of its
-segments from 0; position_ids, which begin at 0 in each segment; and doc_ids with the number of each piece, from
-which every document can be put together again.
+segments from 0; position_ids, which begin at 0 in each segment; and doc_ids, text_keys (hashes of the texts) and the
+number of each piece, from which every document can be put together again.
 
-Defined results: a null or empty text has no ids and is in no row; repeated rows are packed each; a null doc_id
-stays null; an empty table gives no rows.
+Defined results: a null or empty text has no ids and is in no row; repeated rows are packed each, and spread over groups;
+texts that share an id are told apart by text_keys; a null doc_id stays null; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import content_key
 from orrery.llm.kneser_ney import Store
 from orrery.llm.token_counts import read_ranks
+from orrery.shipping import ship
 
-GROUP, REMEMBERED = 4096, 500_000
+GROUP, REMEMBERED = 1 << 24, 500_000
 #: Fixed value: how this vocabulary family cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNITS = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,:;!?#%&*$|])|[^ \n]+)|[ \n]+")
@@ -117,35 +120,42 @@ def best_fit_decreasing(lengths: list[int], most: int) -> list[list[int]]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: bytes, length: int) -> DataFrame:
-    """doc_id, piece, ids (little-endian int32) of docs (doc_id, text)."""
+    """doc_id, text_key, piece, copy, ids (little-endian int32) of docs (doc_id, text).
+
+    copy numbers the equal rows that one task meets.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode = encoder(sent.value)
+        encode, met = encoder(sent.value), Counter()
         for batch in batches:
-            texts = batch.column("text")
+            doc_ids, keys, texts = (batch.column(c) for c in ("doc_id", "text_key", "text"))
             for at in range(0, batch.num_rows, 256):
-                rows, pieces, blobs = [], [], []
+                rows, pieces, copies, blobs = [], [], [], []
                 for i in range(at, min(at + 256, batch.num_rows)):
                     ids = encode(texts[i].as_py() or "")
+                    met[own := hash((doc_ids[i].as_py(), keys[i].as_py()))] += 1
                     for k, first in enumerate(range(0, len(ids), length)):
                         rows.append(i)
                         pieces.append(k)
+                        copies.append(met[own])
                         blobs.append(ids[first : first + length].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "piece", "ids"])
+                taken = pa.array(rows, pa.int64())
+                columns = [doc_ids.take(taken), keys.take(taken), pa.array(pieces, pa.int32()), pa.array(copies, pa.int32()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "piece", "copy", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, ids binary")
+    return docs.select("doc_id", content_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, piece int, copy int, ids binary")
 
 
 def pack(pieces: DataFrame, groups: int, *, length: int, pad: int) -> DataFrame:
-    """Packed rows of pieces (doc_id, piece, ids): pack_group, pack_row, n_ids, input_ids, position_ids (little-endian
-    int32, ``length`` of each), cu_seqlens, doc_ids, pieces."""
+    """Packed rows of pieces (doc_id, text_key, piece, copy, ids): pack_group, pack_row, n_ids, input_ids, position_ids
+    (little-endian int32, ``length`` of each), cu_seqlens, doc_ids, text_keys, pieces."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids"])
-        blobs, pieces, group = pdf.ids.tolist(), pdf.piece.tolist(), int(pdf.pack_group.iloc[0])
+        pdf = pdf.sort_values(["doc_id", "text_key", "piece"])
+        blobs, keys, pieces, group = pdf.ids.tolist(), pdf.text_key.tolist(), pdf.piece.tolist(), int(pdf.pack_group.iloc[0])
         names = [None if pd.isna(x) else x for x in pdf.doc_id.tolist()]
         sizes, out = [len(x) // 4 for x in blobs], []
         for row, own in enumerate(best_fit_decreasing(sizes, length)):
@@ -153,17 +163,18 @@ def pack(pieces: DataFrame, groups: int, *, length: int, pad: int) -> DataFrame:
             ids, positions = np.full(length, pad, np.int32), np.zeros(length, np.int32)
             ids[: ends[-1]] = np.frombuffer(b"".join(blobs[i] for i in own), np.int32)
             positions[: ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
-            out.append((group, row, int(ends[-1]), ids.tobytes(), positions.tobytes(), ends, [names[i] for i in own], [pieces[i] for i in own]))
-        return pd.DataFrame(out, columns=["pack_group", "pack_row", "n_ids", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "pieces"])
+            out.append((group, row, int(ends[-1]), ids.tobytes(), positions.tobytes(), ends, [names[i] for i in own], [keys[i] for i in own], [pieces[i] for i in own]))
+        return pd.DataFrame(out, columns=["pack_group", "pack_row", "n_ids", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "text_keys", "pieces"])
 
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
-    schema = f"pack_group int, pack_row int, n_ids int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<{kind}>, pieces array<int>"
+    group = F.pmod(F.xxhash64("doc_id", "text_key", "piece", "copy"), F.lit(groups)).cast("int")
+    schema = f"pack_group int, pack_row int, n_ids int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<{kind}>, text_keys array<long>, pieces array<int>"
     return pieces.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: bytes, *, length: int = 2048, pad: int = 50256) -> DataFrame:
     """Packed rows of docs (doc_id, text), as ``pack`` gives them."""
-    groups = max(1, -(-docs.count() // GROUP))
+    ship(docs.sparkSession)
+    groups = max(1, -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // GROUP))
     return pack(token_pieces(docs, vocabulary, length), groups, length=length, pad=pad)
 
 
