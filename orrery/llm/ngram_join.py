@@ -35,11 +35,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from orrery.llm import text as T
+from orrery.llm.columns import unused
 from orrery.llm.components import components
 from orrery.llm.cut import cut
 from orrery.llm.packed import batches, joined, packed, runs
+from orrery.shipping import ship
 
 UNIT, COMMON, BLOCK, PER_BUCKET, MOST_MATCHES = 1 << 21, 64, 4096, 1 << 21, 8
 #: Bits of a shingle's hash that are kept, bits of it that are sent to its bucket, and where its rarity stands in a key.
@@ -57,18 +60,20 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield at, to, values, bounds, (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and node (null for an empty set) of docs (doc_id, text)."""
+def shingle_sets(docs: DataFrame, k: int, *keep: str) -> DataFrame:
+    """doc_id, the columns keep, n_shingles and node (null for an empty set) of docs (doc_id, text)."""
+    kept = docs.select("doc_id", *keep)
+    names = [*kept.columns, "n_shingles", "node"]
 
     def run(batches):
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for at, to, _, bounds, marks in _sets(batch.column("text"), k):
+            for at, to, _, bounds, marks in _sets(batch.column(batch.num_columns - 1), k):
                 n[at:to], node[at:to] = np.diff(bounds), marks
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0)], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(node, mask=n == 0)], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+    schema = StructType([*kept.schema.fields, StructField("n_shingles", LongType()), StructField("node", LongType())])
+    return docs.select("doc_id", *keep, F.col("text").alias(unused(names, "text_to_join"))).mapInArrow(run, schema)
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("nodes", pa.binary()), ("keys", pa.binary())])
@@ -280,14 +285,16 @@ def similar_sets(docs: DataFrame, total: int, *, k: int, num: int, den: int) ->
     return sets.groupBy("root", "i", "j").applyInPandas(_join_cluster(num, den), "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, node and component_id (least doc_id that links reach) for docs of doc_id, text."""
-    docs = docs.select("doc_id", "text")
-    members = cut(shingle_sets(docs, k))
+def ngram_jaccard_join(docs: DataFrame, *keep: str, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, the columns keep, n_shingles, node, root (the node that names its component, null for an empty set) and
+    component_id (least doc_id that links reach) for docs of doc_id, text; keep may not name any of these."""
+    ship(docs.sparkSession)
+    members = cut(shingle_sets(docs, k, *keep))
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    roots = cut(components(similar_sets(docs, total, k=k, num=num, den=den)))
+    roots = cut(components(similar_sets(docs.select("text"), total, k=k, num=num, den=den)))
     # Both small sides are cut, so that Spark can split what one text or one group has most rows of.
     some = members.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = cut(some.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    some = some.join(least, "root", "left").select("doc_id", "n_shingles", "node", "component_id")
-    return some.unionByName(members.where("node is null").withColumn("component_id", F.col("doc_id")))
+    some = some.join(least, "root", "left").select(*members.columns, "root", "component_id")
+    alone = members.where("node is null").withColumn("root", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return some.unionByName(alone)

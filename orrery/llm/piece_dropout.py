@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from orrery.llm.columns import unused
 from orrery.llm.text import mix
+from orrery.shipping import ship
 
 SHORT, AT_ONCE = 60, 1 << 22
 _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,:;!?#%&*$|]"
@@ -314,11 +316,15 @@ def read_file(docs: DataFrame, path: str) -> bytes:
 
 
 def encode_documents(docs: DataFrame, model: bytes, *keep: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
-    """The columns keep of docs (doc_id, text), pieces (array<int>), and decoded_crc32, of the text that they decode to."""
+    """The columns keep of docs (doc_id, text), pieces (array<int>), and decoded_crc32, of the text that they decode to.
+
+    A column of keep that has one of these names is named with an underscore more.
+    """
+    ship(docs.sparkSession)
     kept = docs.select(*keep)
-    names = kept.columns
+    names = [unused(("pieces", "decoded_crc32"), n) for n in kept.columns]
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    schema = StructType([*kept.schema.fields, StructField("pieces", ArrayType(IntegerType(), False)), StructField("decoded_crc32", LongType())])
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, kept.schema.fields, strict=True)), StructField("pieces", ArrayType(IntegerType(), False)), StructField("decoded_crc32", LongType())])
 
     def run(batches):
         from zlib import crc32
@@ -341,13 +347,14 @@ def encode_documents(docs: DataFrame, model: bytes, *keep: str, rate: float = 0.
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pieces, decoded], names=[*names, "pieces", "decoded_crc32"])
                 at += len(texts)
 
-    return docs.select(*keep, F.col("doc_id").cast("string").alias("key_to_encode"), F.col("text").alias("text_to_encode")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("doc_id").cast("string").alias(unused(names, "key_to_encode")), F.col("text").alias(unused(names, "text_to_encode"))).mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, model: bytes, *keep: str) -> DataFrame:
-    """The columns keep of encoded and text, decoded from its column pieces."""
+    """The columns keep of encoded and text, decoded from its column pieces; a text of keep is named with an underscore more."""
+    ship(encoded.sparkSession)
     kept = encoded.select(*keep)
-    names = kept.columns
+    names = [unused(("text",), n) for n in kept.columns]
     sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches):
@@ -357,4 +364,5 @@ def decode_pieces(encoded: DataFrame, model: bytes, *keep: str) -> DataFrame:
             texts = [decoder.decode(np.asarray(x, np.int64)).decode() for x in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return encoded.select(*keep, "pieces").mapInArrow(run, StructType([*kept.schema.fields, StructField("text", StringType())]))
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, kept.schema.fields, strict=True)), StructField("text", StringType())])
+    return encoded.select(*keep, F.col("pieces").alias(unused(names, "pieces_to_decode"))).mapInArrow(run, schema)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from orrery.llm import text as T
+from orrery.llm.columns import unused
+from orrery.shipping import ship
 
 BITS, PART, EPOCHS, SAMPLE = 18, 5000, 3, 20_000
 #: The feature of any word that follows itself.
@@ -73,6 +75,7 @@ def _train_part(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from docs (doc_id, text) and labels (doc_id, label)."""
+    ship(docs.sparkSession)
     labels = labels.where("label is not null and doc_id is not null").withColumn("spread", F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))))
     found = labels.count()
     share, parts = min(1.0, sample / max(1, found)), max(1, -(-min(found, sample) // PART))
@@ -98,10 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return np.average([np.frombuffer(r.weights) for r in found], axis=0, weights=[r.examples for r in found])
 
 
-def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
-    """The columns keep of docs and quality_score, the score of column text."""
+def score(docs: DataFrame, weights: np.ndarray, *keep: str, name: str = "quality_score") -> DataFrame:
+    """The columns keep of docs and the score of column text, under a name that keep lacks."""
+    ship(docs.sparkSession)
     kept = docs.select(*keep)
-    names = kept.columns
+    names = [*kept.columns, name]
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -113,10 +117,10 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
                 ends = np.cumsum(counts)
                 out[at:to] = (total[ends] - total[ends - counts]) / np.sqrt(np.maximum(n, 1))
             out = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=names)
 
-    schema = StructType([*kept.schema.fields, StructField("quality_score", DoubleType())])
-    return docs.select(*keep, F.col("text").alias("text_to_score")).mapInArrow(run, schema)
+    schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
+    return docs.select(*keep, F.col("text").alias(unused(names, "text_to_score"))).mapInArrow(run, schema)
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:

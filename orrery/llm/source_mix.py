@@ -13,8 +13,8 @@ the ranges of sources the only thing broadcast: joins with slots are merged by h
 a sequence makes.
 
 Defined results: a null text has no words; a document without words takes 0; null is the last source;
-sources of no words have target 0; an empty table gives no rows; repeated rows with one doc_id are
-separate documents that are ordered by their size; other columns aren't looked at.
+sources of no words have target 0; an empty table gives no rows; rows with one doc_id are separate documents that are
+ordered by their content and size; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.cut import cut
+from orrery.shipping import ship
 
 #: Odd integer next to 2**31 / golden ratio.
 STEP = 1327217885
@@ -57,9 +58,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, m
 
 
 def word_streams(docs: DataFrame, seed: str, per_part: int) -> DataFrame:
-    """doc_id, source, size -> also source_size and start, the first word in the source's shuffled stream."""
-    spread = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    docs = docs.withColumn("shuffle", spread)
+    """doc_id, source, size, content -> also source_size and start, the first word in the source's shuffled stream."""
+    spread = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("content", F.lit(""))))
+    docs = docs.withColumn("shuffle", spread).drop("content")
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / per_part))
     docs = docs.join(sizes.select(F.col("source").alias("s"), parts.alias("parts"), "source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -90,12 +91,14 @@ def schedule(targets: DataFrame, block: int, per_part: int = 1 << 16) -> DataFra
 
 
 def mix_sources(docs: DataFrame, *, block: int = 128, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", per_part: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(documents, schedule) for docs of doc_id, source, size.
+    """(documents, schedule) for docs of doc_id, source, size and perhaps content, a text that tells rows of one id apart.
 
     documents: doc_id, source, size, source_size, target and taken, the words that the schedule takes of each
     document with repeats.  A source's blocks are used ``most`` times at most (rounded down).
     """
-    docs = cut(word_streams(cut(docs.select("doc_id", "source", "size")), seed, per_part))
+    ship(docs.sparkSession)
+    content = F.col("content").cast("string") if "content" in docs.columns else F.lit("")
+    docs = cut(word_streams(cut(docs.select("doc_id", "source", "size", content.alias("content"))), seed, per_part))
     sources = docs.groupBy("source").agg(F.max("source_size").alias("source_size"))
     targets = source_targets(sources, weights, share, most)
     slots = schedule(targets, block).where(F.col("pass_no") < int(most))

@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from orrery.llm.columns import unused
+from orrery.shipping import ship
+
 REMEMBERED = 500_000
 
 
@@ -90,9 +93,14 @@ class _Counts(dict):
 
 
 def token_counts(docs: DataFrame, vocabulary: bytes, *keep: str) -> DataFrame:
-    """The columns keep of docs, n_words and n_tokens of column text; vocabulary: what a ranks file holds."""
+    """The columns keep of docs, n_words and n_tokens of column text; vocabulary: what a ranks file holds.
+
+    A column of keep that has one of these names is named with an underscore more.
+    """
+    ship(docs.sparkSession)
     kept = docs.select(*keep)
     names = kept.columns
+    out_names = [*(unused(("n_words", "n_tokens"), n) for n in names), "n_words", "n_tokens"]
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -102,7 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: bytes, *keep: str) -> DataFrame:
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 own = (text.as_py() or b"").split()
                 words[i], tokens[i] = len(own), sum(map(counts.__getitem__, own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words), pa.array(tokens)], names=[*names, "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words), pa.array(tokens)], names=out_names)
 
-    schema = StructType([*kept.schema.fields, StructField("n_words", LongType()), StructField("n_tokens", LongType())])
-    return docs.select(*keep, F.col("text").cast("binary").alias("text_to_count")).mapInArrow(run, schema)
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(out_names, kept.schema.fields, strict=False)), StructField("n_words", LongType()), StructField("n_tokens", LongType())])
+    return docs.select(*keep, F.col("text").cast("binary").alias(unused(names, "text_to_count"))).mapInArrow(run, schema)
