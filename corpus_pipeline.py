@@ -1,7 +1,7 @@
 """A corpus pipeline of four stages: quality filter, near-duplicate removal, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs.  All but the last return the columns of docs.
+next stage's docs.  All but the last return the columns of docs, whatever these are.
 """
 
 from __future__ import annotations
@@ -11,53 +11,59 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import content_key, unused
 from orrery.llm.cut import checkpoint_dir
 from orrery.llm.ngram_join import ngram_jaccard_join
 from orrery.llm.piece_dropout import encode_documents
 from orrery.llm.quality import fit, score
 from orrery.llm.queries import table, vocabulary
 from orrery.llm.source_mix import mix_sources, word_count
-from orrery.shipping import ship
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more, learned from all labels whose documents are there."""
-    ship(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = score(docs, fit(docs, labels), *docs.columns)
-    return scored.where("quality_score >= 0.3").drop("quality_score")
+    name = unused(docs.columns, "quality_score")
+    scored = score(docs, fit(docs, labels), *docs.columns, name=name)
+    return scored.where(F.col(name) >= 0.3).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents whose sets of five-word shingles are alike by 0.8.
+    """One document of each group whose sets of five-word shingles are alike by 0.8: that of the smallest doc_id.
 
-    Rows without a doc_id stay, as do all different texts of a doc_id that stays; of equal rows one stays.
+    Documents are told apart by doc_id and text, so a null or repeated doc_id makes no difference (nulls come last, then
+    the smaller hash of the text); of rows that have both in common one stays.  Documents without words are in no group.
     """
-    ship(spark)
-    joined = ngram_jaccard_join(docs, k=5, num=4, den=5)
-    kept = joined.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    own = content_key(F.col("text"))
+    joined = ngram_jaccard_join(docs.select("doc_id", "text", own.alias("text_key")), "text_key", k=5, num=4, den=5)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = joined.where("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
+    kept = first.union(joined.where("root is null").select("doc_id", "text_key").distinct())
+    key = unused(docs.columns, "key_of_text")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    rows = docs.withColumn(key, own)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: words taken over words, rounded to the nearest whole number.
 
-    A document without words isn't taken.
+    A document without words isn't taken.  Rows that have doc_id, source and text in common are each taken as often as the
+    one that is taken most.
     """
-    ship(spark)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed, _ = mix_sources(rows.select("doc_id", "source", "size"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), content_key(F.col("text")).alias("content"))
+    mixed, _ = mix_sources(rows.select(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.col("content")).alias("doc_id"), "source", "size"))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    mixed = mixed.where("size > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size").alias("words"), times.alias("times"))
-    mixed = mixed.groupBy("id", "s", "words").agg(F.max("times").alias("times")).where("times > 0")
-    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("words")))
+    mixed = mixed.where("size > 0").select(F.col("doc_id").alias("key"), F.col("source").alias("s"), times.alias("times"))
+    mixed = mixed.groupBy("key", "s").agg(F.max("times").alias("times")).where("times > 0")
+    mixed = mixed.select(F.col("key.doc_id").alias("id"), F.col("key.content").alias("c"), "s", "times")
+    rows = rows.join(mixed, F.col("doc_id").cast("string").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the pieces of each document."""
-    ship(spark)
     model = vocabulary("piece_bpe_32k.model")
     return encode_documents(docs, model, "doc_id", "lang", "source").select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces")
 
@@ -69,10 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written under the checkpoint folder and read again."""
+    """All stages over documents, each written under the checkpoint folder and read again; only the last one's files stay."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(f"{folder}/{k - 1}"), True)
+    return docs
