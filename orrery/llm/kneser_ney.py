@@ -43,7 +43,7 @@ from orrery.llm.cut import checkpoint_dir, cut
 from orrery.llm.packed import batches, runs, squeezed, unsqueezed
 from orrery.shipping import ship
 
-UNIT, PER_BUCKET, TEXT_PER_BUCKET, OPEN, ORDER = 1 << 21, 1 << 20, 1 << 25, 192, 3
+UNIT, PER_BUCKET, TEXT_PER_BUCKET, OPEN, ORDER = 1 << 20, 1 << 20, 1 << 25, 192, 3
 #: Numbers of the unknown word and the start mark; words begin at FIRST.  The end token is a word.
 UNKNOWN, START, FIRST = 0, 1, 2
 _U = np.uint64
@@ -517,7 +517,7 @@ def fit(docs: DataFrame, *, order: int = ORDER, unit: int = UNIT, per_bucket: in
     return Model(words, order, bits, per_bucket, int(tokens), int(types), [n[2 + 4 * k : 6 + 4 * k] for k in range(order)], (n[0], n[1]))
 
 
-def score_documents(docs: DataFrame, model: Model, unit: int = UNIT // 4) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, unit: int = UNIT // 2) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of docs (doc_id, text)."""
 
     def run(frames):
@@ -548,7 +548,7 @@ def language_model_scores(docs: DataFrame, *, order: int = ORDER, held: int = 1,
     docs = docs.select("doc_id", "text")
     model = fit(docs.where(remainder_of_id(by=folds) != held), order=order, unit=unit, per_bucket=per_bucket, text_per_bucket=text_per_bucket)
     try:
-        scored = score_documents(docs, model, unit // 4).withColumn("held_out", remainder_of_id(by=folds) == held).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+        scored = score_documents(docs, model, unit // 2).withColumn("held_out", remainder_of_id(by=folds) == held).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
         return cut(scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     finally:
         model.store.delete()
