@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
+
+from orrery.functions.dates import local
 
 #: Pixels, score, yaw and sharpness that faces of videos need, as the scan gets less strict.
 RELAXED = ((44, 0.5, 0.65, 14), (36, 0.4, 0.85, 6), (28, 0.3, 1.5, 0))
@@ -64,9 +69,9 @@ def top_per(df: DataFrame, by: str, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("place_", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place_") <= n).drop("place_")
 
 
-def consecutive_days(photos: DataFrame) -> DataFrame:
-    """day, n, keys of photos (key, ms), in order of time within each UTC day."""
-    day = F.to_date(F.timestamp_millis("ms"))
+def consecutive_days(photos: DataFrame, zone: str = "UTC") -> DataFrame:
+    """day, n, keys of photos (key, ms), in order of time within each day of a zone."""
+    day = local(F.col("ms"), zone).cast("date")
     x = photos.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("ms", "key"))).alias("x"))
     return x.select("day", "n", F.transform("x", lambda p: p["key"]).alias("keys"))
 
@@ -91,3 +96,14 @@ def throughput(ticks: DataFrame) -> DataFrame:
 def time_left(ms: Column, done: Column, total: Column) -> Column:
     """Ms to go at the pace so far; null before 20 items and 8 seconds."""
     return F.when((done >= 20) & (ms >= 8000), F.round(ms / done * (total - done)).cast("long"))
+
+
+@F.pandas_udf(BinaryType())
+def blob_of(vector: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats."""
+    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def floats_of(blob: pd.Series) -> pd.Series:
+    return blob.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))

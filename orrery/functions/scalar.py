@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+#: Numbers of photos worth telling, and pixels, score, yaw and sharpness of good faces in photos and in videos.
 MILESTONES = (50, 100, 250, 500, 1000, 2000, 5000, 10000)
+GOOD_PHOTO, GOOD_VIDEO = (48, 0.6, 0.55, 20), (44, 0.5, 0.65, 14)
 
 
 def strength(count: Column, best: Column) -> Column:
@@ -50,7 +52,7 @@ def face_yaw(landmarks: Column) -> Column:
 
 
 def is_good_face(size: Column, score: Column, yaw: Column, sharpness: Column, video: bool = False) -> Column:
-    a, b, c, d = (44, 0.5, 0.65, 14) if video else (48, 0.6, 0.55, 20)
+    a, b, c, d = GOOD_VIDEO if video else GOOD_PHOTO
     return (size >= a) & (score >= b) & (yaw <= c) & (sharpness >= d)
 
 
@@ -79,22 +81,22 @@ def sample_times(duration_ms: Column, step_ms: int = 2000, most: int = 30) -> Co
 HASH_START, FRAME_VIDEO, FRAME_TIME, FRAME_MASK = 1125899906842597, 1_000_003, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
 
 
-def _signed(h: int) -> int:
-    h &= 0xFFFFFFFFFFFFFFFF
-    return h - (1 << 64) if h >> 63 else h
-
-
 @F.pandas_udf(LongType())
 def identity_hash(size: pd.Series, modified: pd.Series, name: pd.Series) -> pd.Series:
-    """31 h + x over size, time and the UTF-16 units of the name, wrapping at 64 bits."""
-
-    def one(s, m, text) -> int:
-        h = HASH_START
-        for x in (s, m, *np.frombuffer(text.encode("utf-16-le"), "<u2").tolist()):
-            h = (31 * h + int(x)) & 0xFFFFFFFFFFFFFFFF
-        return _signed(h)
-
-    return pd.Series([one(*x) for x in zip(size, modified, name, strict=True)], dtype="int64")
+    """31 h + x over size, time and the UTF-16 units of the name, wrapping at 64 bits.
+
+    A name of n units adds the sum of its units times 31 ** (n - 1 - place), which all names of a batch share as one sum.
+    """
+    text = name.tolist()
+    units = np.frombuffer("".join(text).encode("utf-16-le"), "<u2").astype(np.uint64)
+    n = np.array([len(x.encode("utf-16-le")) // 2 for x in text], np.int64)
+    power = np.multiply.accumulate(np.concatenate([[1], np.full(int(n.max(initial=0)), 31)]).astype(np.uint64))
+    ends = np.cumsum(n)
+    place = np.arange(len(units)) - np.repeat(ends - n, n)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(units * power[np.repeat(n, n) - 1 - place], dtype=np.uint64)])
+    s, m = (x.to_numpy(np.int64).view(np.uint64) for x in (size, modified))
+    head = (np.uint64(HASH_START) * np.uint64(31) + s) * np.uint64(31) + m
+    return pd.Series((head * power[n] + total[ends] - total[ends - n]).view(np.int64))
 
 
 @F.pandas_udf(LongType())

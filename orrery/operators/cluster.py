@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.vector import dot
+from orrery.operators.vector import dot, knn_many
+
+
+#: Similarities for join, weak, merge and link by how strict grouping is.
+STRICTNESS = {"normal": (0.365, 0.40, 0.45, 0.425), "strict": (0.445, 0.48, 0.53, 0.505), "loose": (0.305, 0.34, 0.39, 0.365)}
 
 
 @dataclass(frozen=True)
@@ -23,7 +27,7 @@ class Thresholds:
 
     @classmethod
     def named(cls, strictness: str | None) -> Thresholds:
-        return {"strict": cls(0.445, 0.48, 0.53, 0.505), "loose": cls(0.305, 0.34, 0.39, 0.365)}.get(strictness or "", cls())
+        return cls(*STRICTNESS.get(strictness or "", STRICTNESS["normal"]))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,6 +74,13 @@ def leader_clusters(faces: DataFrame, limits: Thresholds, block: str = "block")
     return faces.select(block, "id", "media_key", "rank", "good", "embedding").groupBy(block).applyInPandas(run, f"{block} long, id long, leader long")
 
 
+def identify(faces: DataFrame, people: DataFrame, least: float) -> DataFrame:
+    """ord, person, score: for faces (ord, embedding) the nearest of people (person, embedding) at ``least`` or above."""
+    index = people.select(F.col("person").alias("ord"), "embedding")
+    found = knn_many(index, faces.select(F.col("ord").alias("query"), F.col("embedding").alias("q")), 1)
+    return found.where(F.col("score") >= least).select(F.col("query").alias("ord"), F.col("ord").alias("person"), "score")
+
+
 def mutual_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """pair, score: for pairs of faces' groups (pair, id, embedding) the smaller of both sides' mean of their three best
     per-face bests; pairs with fewer than two faces on a side fall out.  A pair's faces meet by key."""

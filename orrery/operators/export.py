@@ -54,21 +54,25 @@ def entry_cost(size: Column, path: Column, listed: bool) -> Column:
 def parts(entries: DataFrame, limit: int) -> DataFrame:
     """job, ord, part of entries (job, ord, cost): the next part begins where one more would pass limit - RESERVE.
 
-    limit 0: one part.  The fold over a job's costs stays in the JVM; a job is one user's export.
+    limit 0: one part.  A fold over a job's costs, in the JVM, keeps only where parts begin; an entry's part is how many
+    have begun by then.  A job is one user's export, and ord numbers its entries.
     """
     room = limit - RESERVE if limit else 0
+    entries = entries.select("job", F.col("ord").cast("long").alias("ord"), F.col("cost").cast("long").alias("cost"))
     items = F.sort_array(F.collect_list(F.struct("ord", "cost")))
 
     def step(s: Column, x: Column) -> Column:
         over = (F.lit(room) > 0) & (s["used"] > 0) & (s["used"] + x["cost"] > room)
-        part = F.when(over, s["part"] + 1).otherwise(s["part"])
-        done = F.concat(s["done"], F.array(F.struct(x["ord"].alias("ord"), part.alias("part"))))
-        return F.struct(part.alias("part"), F.when(over, x["cost"]).otherwise(s["used"] + x["cost"]).alias("used"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<ord:bigint,part:int>>)").alias("done"))
-    entries = entries.select("job", F.col("ord").cast("long").alias("ord"), F.col("cost").cast("long").alias("cost"))
-    found = entries.groupBy("job").agg(F.aggregate(items, start, step)["done"].alias("done"))
-    return found.select("job", F.explode("done").alias("d")).select("job", "d.ord", "d.part")
+        begins = F.when(over, F.concat(s["begins"], F.array(x["ord"]))).otherwise(s["begins"])
+        return F.struct(F.when(over, x["cost"]).otherwise(s["used"] + x["cost"]).alias("used"), begins.alias("begins"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("begins"))
+    begins = entries.groupBy("job").agg(F.aggregate(items, start, step)["begins"].alias("begins"))
+    # One row for each beginning, so that parts are a running count.
+    marks = begins.select("job", F.explode("begins").alias("ord"), F.lit(1).alias("mark"))
+    found = entries.join(marks, ["job", "ord"], "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    so_far = Window.partitionBy("job").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return found.select("job", "ord", F.sum("mark").over(so_far).cast("int").alias("part"))
 
 
 def part_name(base: Column, part: Column, n: Column) -> Column:

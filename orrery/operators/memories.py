@@ -141,3 +141,12 @@ def decode_history(states: DataFrame) -> DataFrame:
     x = states.select("id", F.explode(F.split("state", ",")).alias("part")).select("id", part.alias("p"))
     x = x.where(F.size("p").between(2, 3)).select("id", F.element_at("p", 1).alias("kind"), F.try_element_at("p", F.lit(2)).try_cast("int").alias("day"), F.coalesce(F.try_element_at("p", F.lit(3)), F.lit("")).alias("slot"))
     return x.where("day is not null and kind <> ''")
+
+
+def encode_history(history: DataFrame, keep: int = 28) -> DataFrame:
+    """id, state: the last ``keep`` of each id's history (id, kind, day, slot) as one text."""
+    part = F.concat_ws(":", "kind", "day", "slot")
+    order = Window.partitionBy("id").orderBy(F.desc("day"), F.desc("kind"))
+    last = history.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
+    parts = F.sort_array(F.collect_list(F.struct((-F.col("place")).alias("at"), part.alias("part"))))
+    return last.groupBy("id").agg(parts.alias("parts")).select("id", F.array_join(F.transform("parts", lambda x: x["part"]), ",").alias("state"))

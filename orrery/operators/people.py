@@ -6,10 +6,12 @@ photos: hash, uri, is_video, ts_ms; dates: key, taken_ms, src, junk.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.vector import dot, first_by
+from orrery.operators.vector import block_join, first_by
 
 
 def is_confident() -> Column:
@@ -175,12 +177,18 @@ def person_photos_between(faces: DataFrame, dates: DataFrame, start_ms: int, end
 
 
 def merge_suggestions(centroids: DataFrame, rejected: DataFrame, together: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity of pairs of groups (id, block, centroid) that may be one person, best first.
+    """a, b, similarity of pairs of groups (id, centroid) that may be one person, best first.
 
-    Only groups of a block meet (a block is a hash of the centroid, or a constant for few groups).  Pairs that were
-    rejected, or that appear in one picture (both tables: a < b), are left out.
+    All groups are compared with all, in blocks that give pairs at ``least`` or above.  Pairs that were rejected, or that
+    appear in one picture (both tables: a < b), are left out.
     """
-    a, b = (centroids.select(F.col("id").alias(x), "block", F.col("centroid").alias(f"c{x}")) for x in "ab")
-    pairs = a.join(b, "block").where("a < b").select("a", "b", dot(F.col("ca"), F.col("cb")).alias("similarity")).where(F.col("similarity") >= least)
+
+    def near(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        s = x @ y.T
+        i, j = np.nonzero((s >= least) & (a[:, None] < b))
+        return pd.DataFrame({"a": a[i], "b": b[j], "similarity": s[i, j]})
+
+    groups = centroids.select("id", F.col("centroid").alias("v"))
+    pairs = block_join(groups, groups, near, "a long, b long, similarity double")
     pairs = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return pairs.join(rejected, ["a", "b"], "left_anti").join(together, ["a", "b"], "left_anti").orderBy(F.desc("similarity"), "a", "b")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 #: Words that say nothing about a picture.
 STOP_WORDS = (
-    "a an the of in on at to for with and or is are was were be been my me i this that these those some near by from it its as into "
-    "photo photos picture pictures image images video videos"
-).split()
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "with", "and", "or", "is", "are", "was", "were", "be",
+    "been", "my", "me", "i", "this", "that", "these", "those", "some", "near", "by", "from", "it", "its", "as",
+    "into", "photo", "photos", "picture", "pictures", "image", "images", "video", "videos",
+)
 #: What is dropped when it is all that stands between two names.
 CONNECTORS = ("and", "&", "with", ",")
 

@@ -11,29 +11,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.dates import local
+from orrery.functions.dates import month_number as month_of
 from orrery.operators.people import confident, is_confident, reliable
 from orrery.operators.vector import first_by
 
 DAY_MS = 86_400_000
 
 
-def month_of(ms: Column) -> Column:
-    """year * 12 + month from 0."""
-    t = F.timestamp_millis(ms)
-    return F.year(t) * 12 + F.month(t) - 1
-
-
 def groups(faces: DataFrame, dates: DataFrame) -> DataFrame:
     """media_key, ms, people: who is surely in each dated media item."""
     rows = confident(faces).where("person_id is not null").join(reliable(dates), F.col("media_key") == F.col("key"))
     return rows.groupBy("media_key", F.col("taken_ms").alias("ms")).agg(F.sort_array(F.collect_set("person_id")).alias("people"))
 
 
-def timeline_months(faces: DataFrame, dates: DataFrame) -> DataFrame:
+def timeline_months(faces: DataFrame, dates: DataFrame, zone: str = "UTC") -> DataFrame:
     """person_id, month, n of media; a media item counts once for a person."""
     once = faces.where("person_id is not null").groupBy("person_id", "media_key").agg(F.bool_or(is_confident()).alias("sure")).where("sure")
     rows = once.join(reliable(dates), F.col("media_key") == F.col("key"))
-    return rows.groupBy("person_id", month_of(F.col("taken_ms")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("person_id", month_of(F.col("taken_ms"), zone).alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def timeline_coverage(faces: DataFrame, dates: DataFrame) -> DataFrame:
@@ -60,7 +56,7 @@ def companions(groups: DataFrame, most: int = 12) -> DataFrame:
 
 def crowds(groups: DataFrame, least: int = 4, per_year: int = 3) -> DataFrame:
     """The fullest media of each year: year, media_key, n."""
-    x = groups.select(F.year(F.timestamp_millis("ms")).alias("year"), "media_key", "ms", F.size("people").alias("n")).where(F.col("n") >= least)
+    x = groups.select(F.year(local(F.col("ms"))).alias("year"), "media_key", "ms", F.size("people").alias("n")).where(F.col("n") >= least)
     order = Window.partitionBy("year").orderBy(F.desc("n"), "ms", "media_key")
     return x.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_year).select("year", "media_key", "n", "place")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: How many collections are scored at once.
+MOST_SPECS = 1024
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -44,17 +49,39 @@ def knn(index: DataFrame, query: DataFrame, k: int, content: str = "all", keys:
     return best_per_media(rows).orderBy(F.desc("score"), "ord").limit(max(k, 0))
 
 
-def knn_many(index: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
-    """query, ord, score: the k best rows of a bounded matrix of query vectors, one matrix product for each batch."""
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                s = np.stack(pdf.embedding.to_numpy()).astype(np.float64) @ queries.T
-                top = np.argsort(-s, axis=0, kind="stable")[:k].T
-                yield pd.DataFrame({"query": np.repeat(np.arange(len(queries)), top.shape[1]), "ord": pdf.ord.to_numpy()[top.ravel()], "score": np.take_along_axis(s.T, top, 1).ravel()})
+def block_join(left: DataFrame, right: DataFrame, meet: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, size: int = 4096) -> DataFrame:
+    """What meet(left ids, left vectors, right ids, right vectors) gives for all blocks of ``size`` rows of both sides (id, v).
 
-    found = index.select("ord", "embedding").mapInPandas(best, "query int, ord long, score double")
+    Every task holds two blocks, however many rows there are; vectors of other lengths than a block's left ones aren't met.
+    """
+    parts = [max(1, -(-x.count() // size)) for x in (left, right)]
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    length = F.size("v").alias("length")
+    left = left.select("id", "v", length, part(parts[0]).alias("i"), each(parts[1]).alias("j"), F.lit(True).alias("is_left"))
+    right = right.select("id", "v", length, each(parts[0]).alias("i"), part(parts[1]).alias("j"), F.lit(False).alias("is_left"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.is_left.to_numpy(bool)
+        if not own.any() or own.all():
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        ids, x = pdf.id.to_numpy(), np.stack(pdf.v.to_numpy()).astype(np.float64)
+        return meet(ids[own], x[own], ids[~own], x[~own])
+
+    return left.unionByName(right).groupBy("length", "i", "j").applyInPandas(run, schema)
+
+
+def knn_many(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, ord, score: the k best rows of the index for each of any number of queries (query, q)."""
+
+    def best(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(ids, kind="stable")
+        s = q @ x[order].T
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query": np.repeat(asked, top.shape[1]), "ord": ids[order][top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
+
+    asked = queries.select(F.col("query").cast("long").alias("id"), F.col("q").alias("v"))
+    found = block_join(asked, index.select(F.col("ord").alias("id"), F.col("embedding").alias("v")), best, "query long, ord long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
@@ -69,16 +96,49 @@ def similar(index: DataFrame, ord_: int, most: int = 13, take: int = 10) -> Data
 def collection_members(index: DataFrame, specs: DataFrame) -> DataFrame:
     """Members of collections: spec_id, ord, media_key, score.
 
-    specs (a few rows): spec_id, q, k, content, and unlimited (true: no threshold).  A row belongs when its score is
-    mean + k * deviation or more, taken over the rows (frames) that pass the content filter; fewer than two rows or a
-    deviation below 1e-6 give no members.  Membership is of media: the best row of each.
+    specs (at most MOST_SPECS rows): spec_id, q, k, content, and unlimited (true: no threshold).  A row belongs when its
+    score is mean + k * deviation or more, taken over the rows (frames) that pass the content filter; fewer than two rows
+    or a deviation below 1e-6 give no members.  Membership is of media: the best row of each.  The index is read twice, each
+    time with one matrix product for a batch: for the sums, and for the members; scores are never kept.
     """
-    rows = index.crossJoin(F.broadcast(specs)).where((F.size("embedding") == F.size("q")) & content_is(F.col("is_video"), F.col("content")))
-    rows = rows.select("spec_id", "k", "unlimited", "ord", "media_key", dot(F.col("embedding"), F.col("q")).alias("score"))
-    stats = rows.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
-    rows = rows.join(F.broadcast(stats), "spec_id")
-    enough = (F.col("n") >= 2) & (F.col("deviation") >= 1e-6) & (F.col("score") >= F.col("mean") + F.col("k") * F.col("deviation"))
-    return best_per_media(rows.where(F.col("unlimited") | enough).select("spec_id", "ord", "media_key", "score"), "spec_id")
+    rows = specs.select("spec_id", "q", "k", "content", "unlimited").limit(MOST_SPECS + 1).collect()
+    if len(rows) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} collections at once")
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int, np.ndarray, np.ndarray]]:
+        """(batch, place of the spec, rows that it looks at, their scores)."""
+        for pdf in frames:
+            sizes = pdf.embedding.map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for size in {len(r.q) for r in rows}:
+                own, some = np.flatnonzero(sizes == size), [i for i, r in enumerate(rows) if len(r.q) == size]
+                if not len(own):
+                    continue
+                s = np.stack(pdf.embedding.to_numpy()[own]).astype(np.float64) @ np.array([rows[i].q for i in some], np.float64).T
+                video = pdf.is_video.to_numpy(bool)[own]
+                for i, column in zip(some, s.T, strict=True):
+                    looks = {"images": ~video, "videos": video}.get(rows[i].content, np.ones(len(own), bool))
+                    yield pdf, i, own[looks], column[looks]
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, i, _, s in scored(frames):
+            yield pd.DataFrame({"spec": [i], "n": [len(s)], "total": [s.sum()], "squares": [(s * s).sum()]})
+
+    source = index.select("ord", "media_key", "is_video", "embedding")
+    found = source.mapInPandas(sums, "spec int, n long, total double, squares double").groupBy("spec").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
+    least = dict.fromkeys(range(len(rows)), math.inf)
+    for r in found.collect():  # a row for each spec
+        mean = r.total / r.n if r.n else 0.0
+        deviation = math.sqrt(max(0.0, r.squares / r.n - mean * mean)) if r.n else 0.0
+        if r.n >= 2 and deviation >= 1e-6:
+            least[r.spec] = mean + rows[r.spec].k * deviation
+    least |= {i: -math.inf for i, r in enumerate(rows) if r.unlimited}
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, i, own, s in scored(frames):
+            keep = s >= least[i]
+            yield pd.DataFrame({"spec_id": rows[i].spec_id, "ord": pdf.ord.to_numpy()[own[keep]], "media_key": pdf.media_key.to_numpy()[own[keep]], "score": s[keep]})
+
+    return best_per_media(source.mapInPandas(members, f"spec_id {specs.schema['spec_id'].dataType.simpleString()}, ord long, media_key long, score double"), "spec_id")
 
 
 def collection_summary(members: DataFrame, covers: int = 6) -> DataFrame:

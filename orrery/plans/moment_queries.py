@@ -12,7 +12,7 @@ from orrery.operators import memories as M
 from orrery.operators import moments as O
 from orrery.operators import people as P
 from orrery.operators import timeline as L
-from orrery.plans.queries import _CANDIDATES, _COMPANIONS, _COUNTS, _candidates, _people_candidates, query, r6
+from orrery.plans.queries import _CANDIDATES, _COMPANIONS, _COUNTS, _MONTHS, _candidates, _people_candidates, query, r6
 from orrery.sources.views import Library
 
 _DATED = """, nf AS (SELECT media_key, count(*) AS n_faces FROM faces GROUP BY media_key),
@@ -101,14 +101,16 @@ def moment_circle(x: Library) -> DataFrame:
     return O.moment_circle(P.person_counts(x.people(), x.faces()))
 
 
-@query(""", m AS (SELECT person_id AS id, min(key) AS first_month, max(key) AS last_month, count(*) AS n FROM faces LEFT JOIN (SELECT key FROM reliable WHERE key % 50 = 0) ON key = media_key WHERE person_id IS NOT NULL GROUP BY person_id)
-SELECT id, row_number() OVER (ORDER BY first_month NULLS LAST, n DESC, id)::INTEGER AS earliest, row_number() OVER (ORDER BY last_month DESC NULLS LAST, n DESC, id)::INTEGER AS recent, row_number() OVER (ORDER BY n DESC, id)::INTEGER AS most FROM m""")
+@query(_MONTHS + """, m AS (SELECT person_id AS id, min(month) AS first_month, max(month) AS last_month, sum(n)::BIGINT AS n FROM months GROUP BY person_id),
+r AS (SELECT f.id, p.name, first_month, last_month, coalesce(n, 0) AS n FROM (SELECT DISTINCT person_id AS id FROM faces WHERE person_id IS NOT NULL) f JOIN people p ON p.id = f.id LEFT JOIN m ON m.id = f.id)
+SELECT id, row_number() OVER (ORDER BY first_month NULLS LAST, n DESC, id)::INTEGER AS earliest, row_number() OVER (ORDER BY last_month DESC NULLS LAST, n DESC, id)::INTEGER AS recent,
+  row_number() OVER (ORDER BY n DESC, id)::INTEGER AS most, row_number() OVER (ORDER BY lower(name) NULLS LAST, n DESC, id)::INTEGER AS name FROM r""")
 def timeline_rows_sorted(x: Library) -> DataFrame:
-    dates = P.reliable(x.media_dates()).where("key % 50 = 0").select("key")
-    rows = x.faces().where("person_id is not null").join(dates, F.col("key") == F.col("media_key"), "left")
-    rows = rows.groupBy(F.col("person_id").alias("id")).agg(F.min("key").alias("first_month"), F.max("key").alias("last_month"), F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("x"))
+    months = L.timeline_months(x.faces(), x.media_dates()).groupBy("person_id").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.sum("n").alias("n"))
+    own = x.faces().where("person_id is not null").select(F.col("person_id").alias("id")).distinct()
+    rows = own.join(x.people().select("id", "name"), "id").join(months, F.col("id") == F.col("person_id"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     place = lambda o: F.row_number().over(Window.orderBy(*O.timeline_order(rows, o))).alias(o)
-    return rows.select("id", place("earliest"), place("recent"), place("most"))
+    return rows.select("id", *map(place, ("earliest", "recent", "most", "name")))
 
 
 @query(""", c AS (SELECT 'c' || folder_id AS id, list(ord ORDER BY ord)[1:6] AS covers, folder_id FROM idx GROUP BY folder_id)
@@ -176,12 +178,6 @@ def face_ranks(x: Library) -> DataFrame:
     return x.table("supplier").select(F.col("s_suppkey").alias("id"), F.round(S.face_rank(F.col("s_acctbal"), F.lit(0.9), F.col("s_nationkey") / 20), 6).alias("rank"))
 
 
-@query()
-def identity_hashes(x: Library) -> DataFrame:
-    rows = x.file_names()
-    return rows.select("key", S.identity_hash(F.col("key"), F.col("key") * 1000, F.col("name")).alias("hash"))
-
-
 @query()
 def pair_then_now(x: Library) -> DataFrame:
     c = _people_candidates(x)

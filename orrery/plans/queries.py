@@ -86,14 +86,12 @@ def similar_excluding_self(x: Library) -> DataFrame:
     return V.similar(x.index(), 9).select("ord", "media_key", r6("score"))
 
 
-@query(""", s AS (SELECT q.ord AS query, i.ord, list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM idx i, idx q WHERE q.ord < 4),
+@query(""", s AS (SELECT q.ord AS query, i.ord, list_inner_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM idx i, idx q WHERE q.ord % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS n FROM s)
-SELECT query::INTEGER AS query, ord, round(score, 6) AS score FROM r WHERE n <= 5""")
+SELECT query, ord, round(score, 6) AS score FROM r WHERE n <= 5""")
 def knn_many_queries(x: Library) -> DataFrame:
-    import numpy as np
-
-    wanted = np.array([r.embedding for r in x.index().where("ord < 4").orderBy("ord").select("embedding").collect()], np.float64)
-    return V.knn_many(x.index(), wanted, 5).select("query", "ord", r6("score"))
+    asked = x.index().where("ord % 50 = 0").select(F.col("ord").alias("query"), F.col("embedding").alias("q"))
+    return V.knn_many(x.index(), asked, 5).select("query", "ord", r6("score"))
 
 
 def _specs(x: Library) -> DataFrame:
@@ -296,14 +294,14 @@ def person_photos_between(x: Library) -> DataFrame:
     return P.person_photos_between(x.faces(), x.media_dates(), 852076800000, 883612800000).select("person_id", "media_key", r6("weight"))
 
 
-@query(""", c AS (SELECT a.ord AS a, b.ord AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM idx a JOIN idx b ON a.folder_id = b.folder_id AND a.ord < b.ord)
-SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.35 AND NOT (a % 5 = 0 AND b % 5 = 0) AND a // 3 <> b // 3""")
+@query(""", c AS (SELECT a.ord AS a, b.ord AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM idx a JOIN idx b ON a.ord < b.ord)
+SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.45 AND NOT (a % 10 = 0 AND b = a + 1) AND a // 3 <> b // 3""")
 def merge_suggestion_pairs(x: Library) -> DataFrame:
-    groups = x.index().select(F.col("ord").alias("id"), F.col("folder_id").alias("block"), F.col("embedding").alias("centroid"))
-    a, b = (groups.select(F.col("id").alias(n), F.col("block")) for n in "ab")
-    pairs = a.join(b, "block").where("a < b")
-    found = P.merge_suggestions(groups, pairs.where("a % 5 = 0 and b % 5 = 0").select("a", "b"), pairs.where("a div 3 = b div 3").select("a", "b"), 0.35)
-    return found.select("a", "b", r6("similarity"))
+    groups = x.index().select(F.col("ord").alias("id"), F.col("embedding").alias("centroid"))
+    rejected = x.index().where("ord % 10 = 0").select(F.col("ord").alias("a"), (F.col("ord") + 1).alias("b"))
+    in_one = x.index().select(F.floor(F.col("ord") / 3).alias("picture"), "ord")
+    a, b = (in_one.select("picture", F.col("ord").alias(n)) for n in "ab")
+    return P.merge_suggestions(groups, rejected, a.join(b, "picture").where("a < b").select("a", "b"), 0.45).select("a", "b", r6("similarity"))
 
 
 @query(""", s AS (SELECT kind AS video, ts_ms, person FROM sightings)
