@@ -16,6 +16,10 @@ from orrery.operators.vector import dot, knn_many
 STRICTNESS = {"normal": (0.365, 0.40, 0.45, 0.425), "strict": (0.445, 0.48, 0.53, 0.505), "loose": (0.305, 0.34, 0.39, 0.365)}
 
 
+#: Looks and clearest faces kept of a person, faces of a video that shape one, and what two looks need to be linked.
+MOST_LOOKS, CLEAREST, PER_VIDEO, BEFORE_LINK = 6, 10, 2, 0.26
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Similarities at which faces join a person, weak faces do, people merge, and links count."""
@@ -35,43 +39,190 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def leader_clusters(faces: DataFrame, limits: Thresholds, block: str = "block") -> DataFrame:
-    """block, id, leader: faces (block, id, media_key, rank, good, embedding) gathered around leaders, per block.
+class Groups:
+    """People of one block as looks (running means of like faces), their clearest faces, and the photos they are in.
 
-    Good faces go first, by rank, then weak ones.  A face joins the nearest group at the limit or above that has no face
-    of the same media; a good one without a group starts one, a weak one stays alone (leader null).  Groups move with
-    the mean of their good faces.  A block is what callers cut the library into (by a hash of the vectors, say).
+    Looks of all people are the rows of one matrix, so the nearest person is one product.
     """
 
+    def __init__(self, dim: int, limits: Thresholds) -> None:
+        self.limits, self.looks = limits, 0
+        self.sums, self.centres, self.owner = np.zeros((64, dim)), np.zeros((64, dim)), np.zeros(64, np.int64)
+        self.count: dict[int, int] = {}
+        self.clear: dict[int, list[tuple[float, np.ndarray]]] = {}
+        self.photos: dict[int, set] = {}
+        self.inside: dict[int, set] = {}
+        self.in_video: dict[tuple, int] = {}
+
+    def _set(self, i: int, person: int, total: np.ndarray) -> None:
+        if i == len(self.owner):
+            self.sums, self.centres, self.owner = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.centres, self.owner))
+        self.sums[i], self.centres[i], self.owner[i] = total, _unit(total), person
+
+    def join(self, person: int, photo: int) -> None:
+        self.photos.setdefault(person, set()).add(photo)
+        self.inside.setdefault(photo, set()).add(person)
+
+    def learn(self, person: int, e: np.ndarray, rank: float) -> None:
+        """One more clear face of a person: it moves the nearest of their looks, or is a new one."""
+        own = np.flatnonzero(self.owner[: self.looks] == person)
+        near = self.centres[own] @ e
+        if len(own) and near.max() >= self.limits.join:
+            self._set(int(own[near.argmax()]), person, self.sums[own[near.argmax()]] + e)
+        else:
+            self._set(self.looks, person, e)
+            self.looks += 1
+        self.count[person] = self.count.get(person, 0) + 1
+        self.clear[person] = sorted([*self.clear.get(person, []), (rank, e)], key=lambda x: -x[0])[:CLEAREST]
+        self._bound(person)
+
+    def _bound(self, person: int) -> None:
+        """Of more than MOST_LOOKS looks the two most alike become one."""
+        while len(own := np.flatnonzero(self.owner[: self.looks] == person)) > MOST_LOOKS:
+            alike = np.triu(self.centres[own] @ self.centres[own].T, 1) + np.tril(np.full((len(own),) * 2, -9.0))
+            i, j = (int(own[k]) for k in np.unravel_index(alike.argmax(), alike.shape))
+            self._set(i, person, self.sums[i] + self.sums[j])
+            self.looks -= 1
+            self._set(j, int(self.owner[self.looks]), self.sums[self.looks])
+            self.owner[self.looks] = 0
+
+    def nearest(self, e: np.ndarray, least: float, out: set) -> int | None:
+        """The person with the look nearest to e, at ``least`` or above and not among ``out``."""
+        near = self.centres[: self.looks] @ e
+        for i in np.argsort(-near, kind="stable"):
+            if near[i] < least:
+                return None
+            if int(self.owner[i]) not in out:
+                return int(self.owner[i])
+        return None
+
+    def place(self, face: int, photo: int, e: np.ndarray, good: bool, rank: float, blocked: int | None, video: int | None) -> int | None:
+        """The person a face goes to (a new one is named by the negative of the face), or None.
+
+        A face that joins or starts a person shapes them only if it is good, and of one video at most PER_VIDEO faces do.
+        """
+        out = self.inside.get(photo, set()) | ({blocked} if blocked is not None else set())
+        person = self.nearest(e, self.limits.join if good else self.limits.weak, out)
+        if person is None and not good:
+            return None
+        person = -face if person is None else person
+        if good:
+            used = self.in_video.get((person, video), 0)
+            if video is None or used < PER_VIDEO:
+                self.in_video[person, video] = used + 1
+                self.learn(person, e, rank)
+        self.join(person, photo)
+        return person
+
+    def merged(self, pinned: set, named: set, rejected: set) -> dict[int, int]:
+        """Who goes into whom when like people are merged, larger ones first.
+
+        People merge when looks of theirs are as near as ``merge``, or when three pairs of their clearest faces and more
+        are, on average of the best three, as near as ``link``; not two that are both pinned or both named, nor those that
+        share a photo or were rejected.  The named one stays, else the pinned one, else the larger.
+        """
+        into: dict[int, int] = {}
+        order = sorted(self.count, key=lambda p: (-self.count[p], -p))
+        for k, a in enumerate(order):
+            if a in into:
+                continue
+            if self.count[a] <= 1:
+                break
+            for b in order[k + 1 :]:
+                if b in into or (a in pinned and b in pinned) or (a in named and b in named) or (min(a, b), max(a, b)) in rejected:
+                    continue
+                x, y = (self.owner[: self.looks] == p for p in (a, b))
+                near = (self.centres[: self.looks][x] @ self.centres[: self.looks][y].T).max(initial=-1.0)
+                if near < BEFORE_LINK or self.photos[a] & self.photos[b]:
+                    continue
+                if near < self.limits.merge:
+                    pairs = np.sort((np.stack([e for _, e in self.clear[a]]) @ np.stack([e for _, e in self.clear[b]]).T).ravel())
+                    if len(pairs) < 3 or pairs[-3:].mean() < self.limits.link:
+                        continue
+                keep, gone = (b, a) if b in named or (b in pinned and a not in named) else (a, b)
+                into[gone] = keep
+                self._absorb(keep, gone)
+                if gone == a:
+                    break
+        return into
+
+    def _absorb(self, keep: int, gone: int) -> None:
+        self.owner[: self.looks][self.owner[: self.looks] == gone] = keep
+        self.count[keep] += self.count.pop(gone)
+        self.clear[keep] = sorted(self.clear[keep] + self.clear.pop(gone), key=lambda x: -x[0])[:CLEAREST]
+        for photo in self.photos.pop(gone):
+            self.join(keep, photo)
+            self.inside[photo].discard(gone)
+        self._bound(keep)
+
+
+_PLACED = "block long, id long, person long"
+
+
+def _placed(limits: Thresholds, again: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["good", "rank", "id"], ascending=[False, False, True])
-        sums: list[np.ndarray] = []
-        media: list[set] = []
-        leaders: list[int] = []
-        out = []
-        for row in pdf.itertuples():
-            e = _unit(np.asarray(row.embedding, np.float64))
-            best, limit = None, limits.join if row.good else limits.weak
-            if sums:
-                for k in np.argsort(-(_unit(np.stack(sums)) @ e), kind="stable"):
-                    if _unit(sums[k]) @ e < limit:
-                        break
-                    if row.media_key not in media[k]:
-                        best = int(k)
-                        break
-            if best is None and row.good:
-                best = len(sums)
-                sums.append(np.zeros_like(e))
-                media.append(set())
-                leaders.append(row.id)
-            if best is not None:
-                media[best].add(row.media_key)
-                if row.good:
-                    sums[best] = sums[best] + e
-            out.append((getattr(row, block), row.id, None if best is None else leaders[best]))
-        return pd.DataFrame(out, columns=[block, "id", "leader"])
-
-    return faces.select(block, "id", "media_key", "rank", "good", "embedding").groupBy(block).applyInPandas(run, f"{block} long, id long, leader long")
+        pdf = pdf[pdf.embedding.map(lambda v: v is not None and len(v) > 0)]
+        if not len(pdf):
+            return pd.DataFrame(columns=["block", "id", "person"])
+        number = lambda x: None if pd.isna(x) else int(x)
+        vectors = dict(zip(pdf.id.tolist(), _unit(np.stack(pdf.embedding.to_numpy()).astype(np.float64)), strict=True))
+        groups, found = Groups(len(pdf.embedding.iloc[0]), limits), {}
+        for r in pdf[pdf.person_id.notna()].sort_values(["rank", "id"], ascending=[False, True]).itertuples():
+            if r.good:
+                groups.learn(int(r.person_id), vectors[r.id], r.rank)
+            groups.join(int(r.person_id), int(r.media_key))
+        new = pdf[pdf.person_id.isna()]
+        new = new.sort_values(["good", "rank", "id"], ascending=[False, False, True]) if again else new.sort_values(["media_key", "rank", "id"], ascending=[True, False, True])
+        for r in new.itertuples():
+            found[r.id] = groups.place(int(r.id), int(r.media_key), vectors[r.id], bool(r.good), float(r.rank), number(r.blocked), None if again else number(r.video))
+        if again:
+            known = pdf[pdf.person_id.notna()]
+            own = lambda flag: set(known[known[flag].astype(bool)].person_id.astype(int))
+            into = groups.merged(own("pinned"), own("named"), {(int(a), int(b)) for a, b in pdf.rejected.iloc[0]})
+
+            def last(p):
+                while p in into:
+                    p = into[p]
+                return p
+
+            found = {i: p if p is None else last(p) for i, p in found.items()}
+        rows = [(int(pdf.block.iloc[0]), i, p) for i, p in found.items()]
+        return pd.DataFrame({"block": [r[0] for r in rows], "id": [r[1] for r in rows], "person": pd.array([r[2] for r in rows], "Int64")})
+
+    return run
+
+
+_FACES = ("block", "id", "media_key", "video", "rank", "good", "person_id", "blocked", "pinned", "named", "embedding")
+
+
+def place_faces(faces: DataFrame, limits: Thresholds) -> DataFrame:
+    """block, id, person: where faces without a person go, photo by photo, the clearest of a photo first.
+
+    faces: block, id, media_key, video (null: a photo), rank, good, person_id, blocked, embedding.  person is a known
+    one, the negative id of the face that starts a new one, or null.  A block is what callers cut the library into.
+    """
+    rows = faces.withColumn("pinned", F.lit(False)).withColumn("named", F.lit(False))
+    return rows.select(*_FACES).groupBy("block").applyInPandas(_placed(limits, False), _PLACED)
+
+
+def regroup(faces: DataFrame, rejected: DataFrame, limits: Thresholds) -> DataFrame:
+    """block, id, person: all faces without a person grouped anew, good ones first by rank, then weak ones, then like people
+    are merged.
+
+    faces as for ``place_faces``, with pinned and named of their person; those with a person stay.  rejected: block, a, b
+    with a < b, pairs of known people of a block that aren't one.
+    """
+    pairs = rejected.groupBy("block").agg(F.collect_list(F.array("a", "b")).alias("rejected"))
+    rows = faces.select(*_FACES).join(pairs, "block", "left").withColumn("rejected", F.coalesce("rejected", F.expr("cast(array() as array<array<bigint>>)")))
+    return rows.groupBy("block").applyInPandas(_placed(limits, True), _PLACED)
+
+
+def leader_clusters(faces: DataFrame, limits: Thresholds, block: str = "block") -> DataFrame:
+    """block, id, leader: faces (block, id, media_key, rank, good, embedding) grouped from nothing; weak ones may stay alone (null)."""
+    none = F.lit(None).cast("long")
+    rows = faces.select(F.col(block).alias("block"), "id", "media_key", none.alias("video"), "rank", "good", none.alias("person_id"), none.alias("blocked"), F.lit(False).alias("pinned"), F.lit(False).alias("named"), "embedding", F.expr("cast(array() as array<array<bigint>>)").alias("rejected"))
+    found = rows.groupBy("block").applyInPandas(_placed(limits, True), _PLACED)
+    return found.select(F.col("block").alias(block), "id", (-F.col("person")).alias("leader"))
 
 
 def identify(faces: DataFrame, people: DataFrame, least: float) -> DataFrame:

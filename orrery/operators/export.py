@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,27 +23,45 @@ def totals(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if(~F.col("is_video")).alias("images"), F.count_if("is_video").alias("videos"), F.sum("size").alias("n_bytes"))
 
 
+#: A number that a name got already, before its ending.
+_NUMBERED = r" \([0-9]+\)(\.[^.]*)?$"
+
+
 def unique_names(items: DataFrame) -> DataFrame:
     """items (folder, name, ord) with path: names taken already, whatever the case, get " (n)" before the ending.
 
-    Greedy in each folder, as a numbered name may be taken too.
+    Names can only meet when they are equal but for such numbers.  Where no name of such a group has a number yet, its rows
+    are counted; else the group is gone through in order, as a numbered name may be taken, too.
     """
+    names = items.columns
+    bare = F.lower(F.regexp_replace("name", _NUMBERED, "$1"))
+    key = ["folder", "bare_"]
+    rows = items.withColumn("bare_", bare).withColumn("some_", F.max(F.col("name").rlike(_NUMBERED)).over(Window.partitionBy("folder", bare)))
+    ending = F.regexp_extract("name", r"^.+(\.[^.]*)$", 1)
+    stem = F.expr("left(name, length(name) - length(ending_))")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
+    plain = rows.where("not some_").withColumn("ending_", ending).withColumn("n_", place)
+    own = F.when(F.col("n_") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), "n_", F.lit(")"), "ending_"))
+    plain = plain.withColumn("path", F.concat("folder", F.lit("/"), own)).select(*items.columns, "path")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
+        last: dict[str, int] = {}
         paths = []
         pdf = pdf.sort_values("ord")
         for folder, name in zip(pdf.folder, pdf.name, strict=True):
             dot = name.rfind(".")
             stem, ending = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-            own, n = name, 2
+            own, n = name, last.get(name.lower(), 2)
             while own.lower() in taken:
                 own, n = f"{stem} ({n}){ending}", n + 1
+            last[name.lower()] = n
             taken.add(own.lower())
             paths.append(f"{folder}/{own}")
-        return pdf.assign(path=paths)
+        return pdf.assign(path=paths)[[*names, "path"]]
 
-    return items.groupBy("folder").applyInPandas(run, items.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", path string")
+    schema = items.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", path string"
+    return plain.unionByName(rows.where("some_").groupBy(*key).applyInPandas(run, schema))
 
 
 def entry_cost(size: Column, path: Column, listed: bool) -> Column:
@@ -96,15 +114,29 @@ def manifest(entries: DataFrame) -> DataFrame:
 def write_parts(entries: DataFrame, place: Callable[[int, int], str]) -> DataFrame:
     """Write each part's stored entries (job, part, path, content) to place(job, part), one task a part.
 
+    Entries of a part come to their task sorted and are written as they come, so none has to fit into memory but a batch.
     Returns job, part, files, skipped (content null), n_bytes.  place names files on storage that all executors see.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        job, part = int(pdf.job.iloc[0]), int(pdf.part.iloc[0])
-        there = pdf[pdf.content.notna()].sort_values("path")
-        with zipfile.ZipFile(place(job, part), "w", zipfile.ZIP_STORED, allowZip64=True) as out:
-            for path, content in zip(there.path, there.content, strict=True):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, out, count = None, None, [0, 0, 0]
+        for pdf in frames:
+            for job, part, path, content in zip(pdf.job.tolist(), pdf.part.tolist(), pdf.path.tolist(), pdf.content.tolist(), strict=True):
+                if now != (job, part):
+                    if out:
+                        out.close()
+                        yield pd.DataFrame([(*now, *count)], columns=["job", "part", "files", "skipped", "n_bytes"])
+                    now, count = (job, part), [0, 0, 0]
+                    out = zipfile.ZipFile(place(job, part), "w", zipfile.ZIP_STORED, allowZip64=True)
+                if content is None:
+                    count[1] += 1
+                    continue
                 out.writestr(zipfile.ZipInfo(path), bytes(content))
-        return pd.DataFrame([(job, part, len(there), len(pdf) - len(there), sum(map(len, there.content)))], columns=["job", "part", "files", "skipped", "n_bytes"])
-
-    return entries.groupBy("job", "part").applyInPandas(run, "job long, part int, files long, skipped long, n_bytes long")
+                count[0] += 1
+                count[2] += len(content)
+        if out:
+            out.close()
+            yield pd.DataFrame([(*now, *count)], columns=["job", "part", "files", "skipped", "n_bytes"])
+
+    rows = entries.select("job", "part", "path", "content").repartition("job", "part").sortWithinPartitions("job", "part", "path")
+    return rows.mapInPandas(run, "job long, part int, files long, skipped long, n_bytes long")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.dates import day_number, day_range
 from orrery.functions.scalar import qualifies, strength
 from orrery.operators.people import reliable
 
+#: Months tried at each end of a person's time, what makes a lone month, how far photos lie apart, people of a group.
+WIDTHS, LONE_MONTHS, APART_MS, MOST_OF_GROUP = (2, 4, 8, 12, 18, 24), 18, (14 * 86_400_000, 3 * 86_400_000, 1), 5
+
 
 def past_ranges(spark, year: int, month: int, day: int, spread: int = 0, years: int = 60, zone: str = "UTC") -> DataFrame:
     """year, start, end (ms) of one calendar day in each of the past years that have it."""
@@ -72,42 +76,73 @@ def day_picks(candidates: DataFrame, n: int, burst_ms: int = 120_000) -> DataFra
     return candidates.select("group", "key", "ms", "score").groupBy("group").applyInPandas(choose, "group long, key long, ms long")
 
 
-def then_and_now(candidates: DataFrame, per_side: int = 3, seed_by: str = "person_id") -> DataFrame:
-    """person_id, side (then, now), key, ms: photos of the far ends of each person's time.
+def options(pool: list, n: int) -> list:
+    """Up to n of a pool of rows (key, ms, score, kind), best first, all different photos.
+
+    First the best alone, as two and in a small group, 14 days apart; then what is best of all that lies 14 days, 3 days or
+    no time at all from those chosen.
+    """
+    chosen: list = []
+    ranked = sorted(pool, key=lambda r: (-r.score, r.ms, r.key))
+    free = lambda r, apart: all(c.key != r.key and abs(c.ms - r.ms) >= apart for c in chosen)
+    for kind in ("solo", "duo", "group"):
+        best = next((r for r in ranked if r.kind == kind and free(r, APART_MS[0])), None)
+        if best is not None and len(chosen) < n:
+            chosen.append(best)
+    for apart in APART_MS:
+        for r in ranked:
+            if len(chosen) < n and free(r, apart):
+                chosen.append(r)
+    return sorted(chosen, key=lambda r: (-r.score, r.ms, r.key))
+
+
+def then_and_now(candidates: DataFrame, per_side: int = 3, seed: int = 0) -> DataFrame:
+    """person_id, side (then, now), place (from 0, best first), key, ms, first: photos of the far ends of each person's time.
 
     Lone months (one photo, over 18 months from the next) fall away at both ends; what is left must have four photos and
-    span six months.  Each side is the first of 2, 4, 8, 12, 18 or 24 months, at most half of the span, that has enough,
-    and the best of it that lie 14 days apart.  candidates: person_id, key, ms, month, score.
+    span six months.  Both sides are the first of 2, 4, 8, 12, 18 or 24 months, at most half of the span, in which both have
+    ``per_side`` options.  first marks those shown first, which the seed draws and which are never one photo.
+    candidates: person_id, key, ms, month, score, and perhaps kind (solo, duo, group, crowd).
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["ms", "key"])
-        counts = x.groupby("month").size()
+        x, out = pdf.sort_values(["ms", "key"]), []
+        counts = x.groupby("month").key.nunique()
         months = counts.index.tolist()
-        while len(months) > 1 and counts[months[0]] == 1 and months[1] - months[0] > 18:
+        while len(months) > 1 and counts[months[0]] == 1 and months[1] - months[0] > LONE_MONTHS:
             months.pop(0)
-        while len(months) > 1 and counts[months[-1]] == 1 and months[-1] - months[-2] > 18:
+        while len(months) > 1 and counts[months[-1]] == 1 and months[-1] - months[-2] > LONE_MONTHS:
             months.pop()
-        x = x[x.month.isin(months)]
-        out = []
-        if len(x) >= 4 and months[-1] - months[0] >= 6:
-            half = (months[-1] - months[0]) // 2
-            for side in ("then", "now"):
-                part = x.iloc[:0]
-                for width in (2, 4, 8, 12, 18, 24):
-                    w = min(width, half)
-                    part = x[x.month < months[0] + w] if side == "then" else x[x.month > months[-1] - w]
-                    if len(part) >= per_side or width >= half:
-                        break
-                chosen: list = []
-                for apart in (14 * 86_400_000, 3 * 86_400_000, 1):
-                    for row in part.sort_values(["score", "ms", "key"], ascending=[False, True, True]).itertuples():
-                        if len(chosen) < per_side and all(abs(row.ms - c.ms) >= apart and row.key != c.key for c in chosen):
-                            chosen.append(row)
-                out += [(r.person_id, side, r.key, r.ms) for r in chosen]
-        return pd.DataFrame(out, columns=["person_id", "side", "key", "ms"])
-
-    return candidates.select("person_id", "key", "ms", "month", "score").groupBy("person_id").applyInPandas(choose, "person_id long, side string, key long, ms long")
+        rows, span = list(x.itertuples()), months[-1] - months[0]
+        if len(rows) >= 4 and span >= 6:
+            half = (span + 1) // 2
+            for width in WIDTHS:
+                w = min(width, half)
+                sides = [options([r for r in rows if months[0] <= r.month < months[0] + w], per_side), options([r for r in rows if months[-1] - w < r.month <= months[-1]], per_side)]
+                if min(map(len, sides)) >= per_side or w == half:
+                    break
+            if all(sides):
+                first = [xxhash.xxh64_intdigest(f"{side}:{int(pdf.person_id.iloc[0])}", seed) % len(found) for side, found in enumerate(sides)]
+                if sides[0][first[0]].key == sides[1][first[1]].key:
+                    first[1] = (first[1] + 1) % len(sides[1])
+                if sides[0][first[0]].key != sides[1][first[1]].key:
+                    out = [(r.person_id, side, k, r.key, r.ms, k == f) for side, found, f in zip(("then", "now"), sides, first, strict=True) for k, r in enumerate(found)]
+        return pd.DataFrame(out, columns=["person_id", "side", "place", "key", "ms", "first"])
+
+    kind = F.col("kind") if "kind" in candidates.columns else F.lit("solo")
+    rows = candidates.select("person_id", "key", "ms", "month", "score", kind.alias("kind"))
+    return rows.groupBy("person_id").applyInPandas(choose, "person_id long, side string, place int, key long, ms long, first boolean")
+
+
+def photo_kind(faces: Column, others: Column) -> Column:
+    """solo, duo, group or crowd, by the clear faces of a photo and how many of the others are known people."""
+    return F.when((faces == 2) & (others == 1), "duo").when(faces <= 1, "solo").when(faces <= MOST_OF_GROUP, "group").otherwise("crowd")
+
+
+def joint_box(a: Column, b: Column) -> Column:
+    """The box (l, t, r, b) around two; a alone if there is no b."""
+    edge = lambda side, f: F.coalesce(f(a[side], b[side]), a[side]).alias(side)
+    return F.struct(edge("l", F.least), edge("t", F.least), edge("r", F.greatest), edge("b", F.greatest))
 
 
 def rotation_choice(available: DataFrame, history: DataFrame, today: int, slot: str) -> DataFrame:

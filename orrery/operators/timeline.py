@@ -5,7 +5,7 @@ A media group is a row (media_key, ms, people array<long>) with distinct people.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -163,17 +163,21 @@ def axis_start(months: DataFrame, ahead: int = 24, least: int = 10) -> DataFrame
 
 
 def trim_lone_months(months: DataFrame, gap: int = 18) -> DataFrame:
-    """months without single-photo months more than ``gap`` months away at either end of a person's line, again and again."""
+    """months without single-photo months more than ``gap`` months away at either end of a person's line, again and again.
 
-    def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("month")
-        while len(x) > 1 and x.n.iloc[0] == 1 and x.month.iloc[1] - x.month.iloc[0] > gap:
-            x = x.iloc[1:]
-        while len(x) > 1 and x.n.iloc[-1] == 1 and x.month.iloc[-1] - x.month.iloc[-2] > gap:
-            x = x.iloc[:-1]
-        return x
+    From each end all such months go up to the first that isn't one: the start by the month after each, then the end by the
+    month before, among those left.
+    """
+    own = Window.partitionBy("person_id")
+
+    def without(x: DataFrame, away: Column, ends: Callable[[Column], Column]) -> DataFrame:
+        lone = F.coalesce((F.col("n") == 1) & (away > gap), F.lit(False))
+        return x.withColumn("lone", lone).withColumn("end", ends(F.when(~F.col("lone"), F.col("month"))).over(own))
 
-    return months.select("person_id", "month", "n").groupBy("person_id").applyInPandas(trim, "person_id long, month int, n long")
+    w = own.orderBy("month")
+    x = without(months.select("person_id", "month", "n"), F.lead("month").over(w) - F.col("month"), F.min).where("month >= end")
+    x = without(x.select("person_id", "month", "n"), F.col("month") - F.lag("month").over(w), F.max).where("month <= end")
+    return x.select("person_id", "month", "n")
 
 
 def yearly_story(entries: DataFrame, per_year: int = 6) -> DataFrame:

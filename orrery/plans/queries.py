@@ -436,7 +436,10 @@ def axis_start(x: Library) -> DataFrame:
     return L.axis_start(L.timeline_months(x.faces(), x.media_dates()))
 
 
-@query()
+@query(_MONTHS + """, a AS (SELECT *, n = 1 AND coalesce(lead(month) OVER (PARTITION BY person_id ORDER BY month) - month, 0) > 2 AS lone FROM months),
+lo AS (SELECT person_id, month, n FROM (SELECT *, min(CASE WHEN NOT lone THEN month END) OVER (PARTITION BY person_id) AS e FROM a) WHERE month >= e),
+b AS (SELECT *, n = 1 AND coalesce(month - lag(month) OVER (PARTITION BY person_id ORDER BY month), 0) > 2 AS lone FROM lo)
+SELECT person_id, month, n FROM (SELECT *, max(CASE WHEN NOT lone THEN month END) OVER (PARTITION BY person_id) AS e FROM b) WHERE month <= e""")
 def trimmed_months(x: Library) -> DataFrame:
     return L.trim_lone_months(L.timeline_months(x.faces(), x.media_dates()), gap=2)
 
@@ -619,7 +622,8 @@ def zip_costs(x: Library) -> DataFrame:
     return x.table("orders").select(F.col("o_orderkey").alias("key"), X.entry_cost(size, path, True).cast("long").alias("cost"))
 
 
-@query()
+@query("""SELECT folder, name, ord, folder || '/' || CASE WHEN n = 1 THEN name ELSE replace(name, '.jpg', '') || ' (' || n || ').jpg' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY ord) AS n
+  FROM (SELECT (o_custkey % 20)::VARCHAR AS folder, o_orderpriority || '.jpg' AS name, o_orderkey AS ord FROM orders))""")
 def unique_names(x: Library) -> DataFrame:
     folder = (F.col("o_custkey") % 20).cast("string")
     return X.unique_names(x.table("orders").select(folder.alias("folder"), F.concat("o_orderpriority", F.lit(".jpg")).alias("name"), F.col("o_orderkey").alias("ord")))

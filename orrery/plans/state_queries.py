@@ -480,3 +480,12 @@ def mutual_matches(x: Library) -> DataFrame:
 def identified(x: Library) -> DataFrame:
     people = V.centroid(x.index(), "folder_id").select(F.col("folder_id").alias("person"), F.col("centroid").alias("embedding"))
     return C.identify(x.index().select("ord", "embedding"), people, 0.1).select("ord", "person", r6("score"))
+
+
+@query("""SELECT media_key, CASE WHEN n = 2 AND k = 1 THEN 'duo' WHEN n <= 1 THEN 'solo' WHEN n <= 5 THEN 'group' ELSE 'crowd' END AS kind, round(r, 6) AS r, round(b, 6) AS b
+FROM (SELECT media_key, count(*) AS n, count(person_id) - 1 AS k, max(box_r) AS r, max(box_b) AS b FROM faces GROUP BY media_key)""")
+def photo_kinds(x: Library) -> DataFrame:
+    box = lambda r, b: F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("t"), F.col(r).alias("r"), F.col(b).alias("b"))
+    g = x.faces().groupBy("media_key").agg(F.count(F.lit(1)).alias("n"), (F.count("person_id") - 1).alias("k"), F.max("box_r").alias("r"), F.max("box_b").alias("b"), F.min("box_r").alias("r0"), F.min("box_b").alias("b0"))
+    both = M.joint_box(box("r", "b0"), box("r0", "b"))
+    return g.select("media_key", M.photo_kind(F.col("n"), F.col("k")).alias("kind"), F.round(both["r"], 6).alias("r"), F.round(both["b"], 6).alias("b"))

@@ -275,8 +275,14 @@ def test_vector_log(spark, tmp_path):
     ends = [r.next_offset for r in found]
     assert [r[0] for r in G.records(data[:-5], 12, 2, False)] == ends[:2]
     assert [r[0] for r in G.records(data, ends[0], 2)] == ends[1:]
-    with pytest.raises(ValueError, match="no record"):
-        list(G.records(data[:12] + b"\xff\xff\xff\xff" + data[16:], 12, 2))
+    # A length that can't be one ends the log; what comes before it is kept.
+    assert list(G.records(data[:12] + b"\xff\xff\xff\xff" + data[16:], 12, 2)) == []
+    bad = data[: ends[1]] + b"\x7f\xff\xff\xff" + data[ends[1] + 4 :]
+    assert [r[0] for r in G.records(bad, 12, 2)] == ends[:2]
+    # Any size of range gives the same rows, and an offset skips what is before it.
+    for most in (1, 7, 40, 1000):
+        assert [(r.image_path, r.next_offset) for r in G.read_log(spark, str(tmp_path / "log.bin"), most=most).orderBy("next_offset").collect()] == [(r[0], e) for r, e in zip(rows, ends, strict=True)]
+    assert [r.image_path for r in G.read_log(spark, str(tmp_path / "log.bin"), offset=ends[0], vectors=False, most=30).orderBy("ord").collect()] == ["b", "c"]
     (tmp_path / "bad.bin").write_bytes(b"nothing here")
     assert G.bad_logs(spark, str(tmp_path)).count() == 1 and G.read_log(spark, str(tmp_path)).count() == 3
 

@@ -5,6 +5,7 @@ import pytest
 
 import orrery.plans.moment_queries  # noqa: F401  registers its queries
 import orrery.plans.state_queries  # noqa: F401  likewise
+import orrery.plans.stream_queries  # noqa: F401  likewise
 from orrery.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
