@@ -39,10 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     first = joined.where("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
     kept = first.union(joined.where("root is null").select("doc_id", "text_key").distinct())
-    key = unused(docs.columns, "key_of_text")
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    key, kept_id, kept_key = (unused(docs.columns, c) for c in ("key_of_text", "kept_id", "kept_key"))
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
     rows = docs.withColumn(key, own)
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_key")), "left_semi")
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
     return rows.dropDuplicates(["doc_id", key]).drop(key)
 
 
