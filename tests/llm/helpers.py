@@ -34,9 +34,11 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 def awkward(spark):
     """Rows with more columns, some named as operators name theirs."""
     df = spark.createDataFrame(AWKWARD, COLUMNS)
-    for name in ("size", "node", "n_shingles", "score", "shard", "taken", "id", "copy", "n"):
-        df = df.selectExpr("*", f"'{name}' as {name}")
-    return df
+    names = (
+        "size", "node", "n_shingles", "score", "shard", "taken", "id", "copy", "n", "quality_score", "text_to_score", "text_to_encode", "key_to_encode", "pieces", "decoded_crc32", "text_to_count", "text_to_join",
+        "n_words", "n_tokens", "root", "component_id", "key_of_text", "kept_id", "kept_key", "text_key", "content", "row", "times", "level", "block", "middle", "slot", "old_shard",
+    )
+    return df.selectExpr("*", *(f"'{name}' as {name}" for name in names))
 
 
 def empty(spark):

@@ -1,6 +1,7 @@
 import base64
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,10 +9,12 @@ import sentencepiece
 import tiktoken
 import xxhash
 from helpers import AWKWARD, awkward, empty, words
+from pyspark.sql import functions as F
 
 from orrery.llm import packing as B
 from orrery.llm import piece_dropout as P
 from orrery.llm import token_counts as C
+from orrery.llm.columns import content_key
 from orrery.llm.queries import TOKENIZERS, vocabulary
 
 TEXTS = [r[1] or "" for r in AWKWARD] + ["a\r\nb\t\n\nc  \n d ", "  lead", "it's 3,000 ½ “quoted”\n\n\n", "x" * 5000, "tab\t\n\nx \t y"]
@@ -175,19 +178,24 @@ def test_best_fit_decreasing():
 
 def test_packed_documents_come_back(spark, tmp_path):
     data = vocabulary("byte_bpe_50k.tiktoken")
-    df = read(spark).where("doc_id > 11").unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    df = read(spark).where("doc_id > 11").select("doc_id", "text").unionByName(awkward(spark).select("doc_id", "text"))
+    df = df.unionByName(df.where("doc_id = 9").selectExpr("doc_id", "concat(text, ' more of the same ', text) as text"))
     packed = B.pack_documents(df, data, length=256, pad=50256)
     own, parts = B.encoder(data), {}
     for r in packed.collect():
         ids, positions = np.frombuffer(r.input_ids, np.int32), np.frombuffer(r.position_ids, np.int32)
         assert len(ids) == len(positions) == 256 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_ids <= 256 and (ids[r.n_ids :] == 50256).all()
-        for d, p, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
+        for d, key, p, a, b in zip(r.doc_ids, r.text_keys, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert positions[a:b].tolist() == list(range(b - a))
-            parts.setdefault(d, {}).setdefault(p, []).append(ids[a:b].tolist())
-    for r in df.where("doc_id <> 9 and doc_id <> 10").collect():
-        if r.doc_id > 11:
-            assert sum((parts[r.doc_id][p][0] for p in sorted(parts[r.doc_id])), []) == own(r.text).tolist()
-    assert parts[10][0][0] == parts[10][0][1] and None in parts and 3 not in {d for d in parts if parts[d] == {}}
+            parts.setdefault((d, key), {}).setdefault(p, []).append(ids[a:b].tolist())
+    want = Counter()
+    for r in df.withColumn("key", content_key(F.col("text"))).collect():
+        if r.text:
+            want[r.doc_id, r.key] += 1
+            pieces = parts[r.doc_id, r.key]
+            assert sum((pieces[p][0] for p in sorted(pieces)), []) == own(r.text).tolist()
+    # Equal rows have each piece as often as there are such rows; the two long texts of one id are told apart.
+    assert {k: {len(x) for x in p.values()} for k, p in parts.items()} == {k: {n} for k, n in want.items()}
     done = B.write_packs(packed, str(tmp_path / "packs")).collect()
     assert sum(r.n_rows for r in done) == packed.count()
     assert sum((tmp_path / "packs" / f"ids-{r.pack_group}").stat().st_size for r in done) == 1024 * packed.count()
