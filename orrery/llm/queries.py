@@ -102,13 +102,13 @@ SQL: dict[str, str] = {
     "op3_ngram_jaccard": r"""
         WITH RECURSIVE docs AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-        ), sets AS (
+        ), sets AS MATERIALIZED (
             SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + CASE WHEN len(w) > 0 THEN 1 ELSE 0 END), lambda i: array_to_string(w[i:i + 3], ' ')))) AS s FROM docs
-        ), nodes AS (SELECT min(r) AS node, s FROM sets WHERE len(s) > 0 GROUP BY s), grams AS (SELECT node, len(s) AS n, unnest(s) AS g FROM nodes), often AS (
+        ), nodes AS MATERIALIZED (SELECT min(r) AS node, s FROM sets WHERE len(s) > 0 GROUP BY s), grams AS (SELECT node, len(s) AS n, unnest(s) AS g FROM nodes), often AS (
             SELECT g FROM grams GROUP BY g HAVING count(*) > 1
-        ), met AS (SELECT node, n, g FROM grams SEMI JOIN often USING (g)), pairs AS (
-            SELECT a.node AS a, b.node AS b, count(*) AS both, any_value(a.n) + any_value(b.n) AS n FROM met a JOIN met b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
-        ), links AS (SELECT a, b FROM pairs WHERE 100 * both >= 85 * (n - both)), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (
+        ), met AS MATERIALIZED (SELECT node, n, g FROM grams SEMI JOIN often USING (g)), pairs AS (
+            SELECT a.node AS a, b.node AS b, count(*) AS common, any_value(a.n) + any_value(b.n) AS n FROM met a JOIN met b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
+        ), links AS (SELECT a, b FROM pairs WHERE 100 * common >= 85 * (n - common)), edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (
             SELECT node, node AS top FROM nodes UNION SELECT e.b, reach.top FROM reach JOIN edges e ON e.a = reach.node
         ), roots AS (SELECT node, min(top) AS root FROM reach GROUP BY node), members AS (
             SELECT sets.doc_id, len(sets.s) AS n, root FROM sets LEFT JOIN nodes USING (s) LEFT JOIN roots USING (node)
