@@ -79,8 +79,11 @@ def reunion_candidates(groups: DataFrame, least: int = 3, most: int = 12, gap_da
 def spaced(candidates: DataFrame, days: int = 180) -> DataFrame:
     """Reunions in the order of people, then gap; one within ``days`` of an earlier choice falls out.
 
-    Greedy over all candidates of a library, which are few; one group on purpose.
+    Only the first of each day can be chosen, as the rest of its day falls out with it or because of it.  So what is gone
+    through in order, in one group, has a row for each day at most, however large the library is.
     """
+    first = F.max(F.struct("n", "gap", (-F.col("media_key")).alias("other"))).alias("f")
+    candidates = candidates.groupBy("day").agg(first).select((-F.col("f.other")).alias("media_key"), "day", F.col("f.n").alias("n"), F.col("f.gap").alias("gap"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen: list[int] = []
