@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.scalar import iou
 from orrery.operators.vector import dot, knn_many
 
 
@@ -328,21 +329,17 @@ def recognition_picks(tracked: DataFrame) -> DataFrame:
 
 
 def suppressed(boxes: DataFrame, limit: float = 0.4) -> DataFrame:
-    """media_key, id of boxes (media_key, id, score, l, t, r, b) kept, best first, where none kept overlaps by more than limit."""
+    """media_key, id of boxes (media_key, id, score, l, t, r, b) kept, best first, where none kept overlaps by more than limit.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for x in pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            def over(y, x=x) -> float:
-                shared = max(0.0, min(x.r, y.r) - max(x.l, y.l)) * max(0.0, min(x.b, y.b) - max(x.t, y.t))
-                joint = (x.r - x.l) * (x.b - x.t) + (y.r - y.l) * (y.b - y.t) - shared
-                return shared / joint if joint > 0 else 0.0
-
-            if all(over(y) <= limit for y in kept):
-                kept.append(x)
-        return pd.DataFrame([(x.media_key, x.id) for x in kept], columns=["media_key", "id"])
-
-    return boxes.select("media_key", "id", "score", "l", "t", "r", "b").groupBy("media_key").applyInPandas(run, "media_key long, id long")
+    A fold over the sorted boxes of one picture, in the JVM.
+    """
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), "id", "l", "t", "r", "b")))
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda y: iou(x, y) > limit), kept).otherwise(F.concat(kept, F.array(x)))
+
+    chosen = boxes.groupBy("media_key").agg(F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), step).alias("kept"))
+    return chosen.select("media_key", F.explode("kept").alias("k")).select("media_key", "k.id")
 
 
 def merge_groups(groups: DataFrame, limits: Thresholds) -> DataFrame:

@@ -358,7 +358,7 @@ def face_overlaps(x: Library) -> DataFrame:
     return a.join(b, "media_key").where("a < b").select("a", "b", F.round(S.iou(F.col("box_a"), F.col("box_b")), 6).alias("iou"))
 
 
-@query(""", n AS (SELECT media_key, id, rank AS score, box_r AS r, box_b AS b, row_number() OVER (PARTITION BY media_key ORDER BY rank DESC, id) AS i FROM faces),
+@query(""", n AS MATERIALIZED (SELECT media_key, id, rank AS score, box_r AS r, box_b AS b, row_number() OVER (PARTITION BY media_key ORDER BY rank DESC, id) AS i FROM faces),
 k AS (SELECT media_key, i, id, [(r, b)] AS kept, true AS ok FROM n WHERE i = 1 UNION ALL
   SELECT media_key, i, id, CASE WHEN ok THEN list_append(kept, (r, b)) ELSE kept END, ok FROM (SELECT n.media_key, n.i, n.id, n.r, n.b, k.kept, len(list_filter(k.kept, lambda y: CASE WHEN n.r * n.b + y[1] * y[2] - least(n.r, y[1]) * least(n.b, y[2]) > 0
     THEN least(n.r, y[1]) * least(n.b, y[2]) / (n.r * n.b + y[1] * y[2] - least(n.r, y[1]) * least(n.b, y[2])) ELSE 0 END > 0.4)) = 0 AS ok FROM k JOIN n ON n.media_key = k.media_key AND n.i = k.i + 1))
