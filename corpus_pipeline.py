@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.columns import content_key, unused
-from orrery.llm.cut import checkpoint_dir
+from orrery.llm.cut import checkpoint_dir, cut
 from orrery.llm.ngram_join import ngram_jaccard_join
 from orrery.llm.piece_dropout import encode_documents
 from orrery.llm.quality import fit, score
@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smaller hash of the text); of rows that have both in common one stays.  Documents without words are in no group.
     """
     own = content_key(F.col("text"))
-    joined = ngram_jaccard_join(docs.select("doc_id", "text", own.alias("text_key")), "text_key", k=5, num=4, den=5)
+    # Cut, so that the largest group is summed up where its rows are, and not in the one task that joins by root.
+    joined = cut(ngram_jaccard_join(docs.select("doc_id", "text", own.alias("text_key")), "text_key", k=5, num=4, den=5))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     first = joined.where("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
     kept = first.union(joined.where("root is null").select("doc_id", "text_key").distinct())
