@@ -29,7 +29,7 @@ from orrery.llm.kneser_ney import Store
 from orrery.llm.token_counts import read_ranks
 from orrery.shipping import ship
 
-GROUP, REMEMBERED = 1 << 24, 500_000
+GROUP, REMEMBERED = 1 << 22, 500_000
 #: Fixed value: how this vocabulary family cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNITS = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,:;!?#%&*$|])|[^ \n]+)|[ \n]+")
