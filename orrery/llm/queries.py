@@ -94,10 +94,37 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.secret_scan import BASE, MORE, secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents"), (*BASE, *MORE), "doc_id")
+    base = [r.kind for r in BASE]
+    named = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = (F.size(of(k)).cast("long").alias(f"n_{k}") for k in base)
+    return found.select("doc_id", *counts, F.sha2(named(of(*base)), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model)
+    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model, op12_secrets)
 }
+def _either_case(*words: str) -> str:
+    return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in words)
+
+
+#: Kind, regex, least length and the group that has it, of the rules of ``op12_secrets`` for a second engine.
+_SECRETS = (
+    ("assign", f"""({_either_case("password", "passwd", "secret", "token", "api_?key")})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
+    ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]{16,}", 16, 0), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0), ("host", "gh[opusr]_[A-Za-z0-9]+", 40, 0),
+    ("chat", "xox[abeoprs]-[A-Za-z0-9-]+", 15, 0), ("claims", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, 0),
+)
+_SECRET_HITS = " UNION ALL ".join(
+    f"""SELECT r, {i} AS i, '{kind}' AS kind, unnest(range(1, len(hits) + 1)) AS k, hits, string_split_regex(t, '{pattern}') AS parts, list_transform(hits, lambda h: len(regexp_extract(h, '{pattern}', {group})) >= {least}) AS fits
+            FROM (SELECT r, t, regexp_extract_all(t, '{pattern}') AS hits FROM docs)"""
+    for i, (kind, pattern, least, group) in enumerate(_SECRETS)
+)
+
 SQL: dict[str, str] = {
     "op3_ngram_jaccard": r"""
         WITH RECURSIVE docs AS (
@@ -156,4 +183,13 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_secrets": f"""
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), hits AS ({_SECRET_HITS}), spans AS (
+            SELECT r, i, kind, list_sum(list_transform(parts[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: len(x))), 0) AS a, len(hits[k]) AS n FROM hits WHERE fits[k]
+        ), named AS (SELECT r, i, kind, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS name FROM spans), found AS (
+            SELECT r, count(*) FILTER (i = 0) AS n_assign, count(*) FILTER (i = 1) AS n_access, count(*) FILTER (i = 2) AS n_hex,
+                string_agg(name, ',' ORDER BY a, i) FILTER (i < 3) AS base, string_agg(name, ',' ORDER BY a, i) AS spans FROM named GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN found USING (r)
+    """,
 }
