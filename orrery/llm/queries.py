@@ -105,10 +105,24 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(named(of(*base)), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.conversation_repair import damaged, repair_conversations
+
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model, op12_secrets)
+    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model, op12_secrets, op13_repair)
 }
+#: CRC-32 of a short ASCII text for a second engine, from the table crc_table(t).
+_CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i) AS c FROM range(256) AS r(i)))"
+
+
+def _crc32(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 def _either_case(*words: str) -> str:
     return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in words)
 
@@ -192,4 +206,37 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN found USING (r)
     """,
+    "op13_repair": rf"""
+        WITH RECURSIVE {_CRC_TABLE}, raw AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc_table
+        ), ids AS (SELECT DISTINCT conv_id FROM raw), damaged AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw)
+        ), placed AS (
+            SELECT *, left(role, 1) AS c, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before
+            FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), met AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed), faults AS MATERIALIZED (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM met
+        ), ways(source, place, extra, letters, added) AS (
+            VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'),
+                (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:')
+        ), moves(letter, place, c, goes, price) AS (
+            VALUES ('D', 0, '', 0, 3), ('D', 1, '', 1, 3), ('D', 2, '', 2, 3), ('D', 3, '', 3, 3), ('R', 0, '', 2, 2), ('R', 1, '', 2, 2), ('R', 2, '', 3, 2), ('R', 3, '', 2, 2),
+                ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 3, 'u', 2, 0), ('K', 2, 'a', 3, 0)
+        ), walk AS (
+            SELECT conv_id, 0::BIGINT AS i, 0 AS place, (0::BIGINT, '', '') AS best FROM ids
+            UNION ALL
+            SELECT w.conv_id, w.i + 1, m.goes, min((w.best[1] + y.extra + m.price + CASE WHEN f.fault = 't' AND m.letter <> 'D' THEN 1 ELSE 0 END, w.best[2] || y.letters || m.letter,
+                w.best[3] || y.added || CASE m.letter WHEN 'D' THEN '' ELSE chr(10) || CASE WHEN m.letter = 'K' THEN f.role WHEN m.place = 2 THEN 'assistant' ELSE 'user' END || ':' || f.text END))
+            FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN ways y ON y.source = w.place JOIN moves m ON m.place = y.place AND (m.letter <> 'K' OR m.c = f.c) AND (m.letter = 'D' OR f.fault IN ('', 't'))
+            GROUP BY w.conv_id, w.i, m.goes
+        ), tails(place, extra, letters, added) AS (VALUES (0, 0, '', ''), (3, 0, '', ''), (2, 2, 'I', chr(10) || 'assistant:'), (1, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')), counts AS (
+            SELECT conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id
+        ), done AS (
+            SELECT w.conv_id, min((w.best[1] + t.extra, w.best[2] || t.letters, w.best[3] || t.added)) AS best FROM walk w JOIN tails t USING (place) LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(n.n, 0) GROUP BY w.conv_id
+        )
+        SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, d.best[1]::BIGINT AS cost, d.best[2] AS audit, sha256(d.best[3][2:]) AS repaired_sha256
+        FROM done d LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM d.conv_id
+    """,
 }
