@@ -186,7 +186,7 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     illegal counts neighbours that aren't su, ua or au; gaps are numbers missing between the least and the largest turn.
 
     Rows go by turn (nulls first), then role and text, so that ties and repeated rows have one order.  A null role or text
-    is one space; a null conv_id is a conversation of its own.  here is false for a row that only says that there is such
+    is one space, and a row whose role is empty can't be kept; a null conv_id is a conversation of its own.  here is false for a row that only says that there is such
     a conversation: one without other rows has zeros, an empty audit and the hash of an empty string.  Empty tables give no
     rows; more columns don't matter.  All rows of a conversation go through one task, which holds of them what the module
     says.

@@ -94,6 +94,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.conversation_trie import prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.secret_scan import BASE, MORE, secret_spans
 
@@ -113,7 +119,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model, op12_secrets, op13_repair)
+    for f in (op1_reshard, op2_nearest_neighbours, op3_ngram_jaccard, op4_top_k, op5_quality, op6_piece_dropout, op7_pack, op8_mix_sources, op9_token_counts, op10_language_model, op11_prefix_trie, op12_secrets, op13_repair)
 }
 #: CRC-32 of a short ASCII text for a second engine, from the table crc_table(t).
 _CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i) AS c FROM range(256) AS r(i)))"
@@ -239,4 +245,22 @@ SQL: dict[str, str] = {
         SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, d.best[1]::BIGINT AS cost, d.best[2] AS audit, sha256(d.best[3][2:]) AS repaired_sha256
         FROM done d LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM d.conv_id
     """,
+    "op11_prefix_trie": f"""
+        WITH {_CRC_TABLE}, ids AS (SELECT conv_id AS c, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table), turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations
+        ), built AS (
+            SELECT c, p, role, text FROM ids JOIN turns ON conv_id = c AND p >= h UNION ALL SELECT c, p, role, text FROM ids JOIN turns ON conv_id = c - c % 100 AND p < h
+        ), paths AS (
+            SELECT c, row_number() OVER w AS depth, string_agg(md5(len(role) || ':' || role || text), '') OVER w AS path, len(text) AS chars FROM built WINDOW w AS (PARTITION BY c ORDER BY p)
+            UNION ALL SELECT c, 0, '', 0 FROM ids
+        ), ends AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(path, depth) AS path FROM paths GROUP BY c) GROUP BY path), nodes AS (
+            SELECT path, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM paths GROUP BY path
+        ), parents AS (SELECT path[1:-33] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1), known AS (
+            SELECT n.*, coalesce(p.n, 0) AS n_children FROM nodes n LEFT JOIN parents p USING (path)
+        ), sums AS (
+            SELECT left(path, 32 * k::BIGINT) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS k FROM known) GROUP BY 1
+        )
+        SELECT k.conv_id, k.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM known k JOIN sums s USING (path) LEFT JOIN ends e USING (path) LEFT JOIN nodes u ON k.depth > 0 AND u.path = k.path[1:-33]
+    """,
 }
