@@ -123,12 +123,13 @@ def _exact(vectors: DataFrame, asked: list[tuple[int, np.ndarray]], k: int) -> d
                         some = ids != own
                         ids_, x_ = np.concatenate([have[0], ids[some]]), np.concatenate([have[1], x[some]])
                         d = np.concatenate([have[2], ((x[some] - q) ** 2).sum(axis=1)])
-                        keep = np.lexsort((ids_, d))[:k]
+                        order = np.lexsort((ids_, d))
+                        keep = order[np.sort(np.unique(ids_[order], return_index=True)[1])[:k]]
                         best[i] = ids_[keep], x_[keep], d[keep]
         rows = [(i, float(d), int(n), v.tolist()) for i, (ids, x, far) in best.items() for n, v, d in zip(ids, x, far, strict=True)]
         yield pa.RecordBatch.from_pylist([dict(zip(("i", "d", "id", "v"), r, strict=True)) for r in rows], schema=pa.schema([("i", pa.int32()), ("d", pa.float64()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))]))
 
-    found = vectors.mapInArrow(run, "i int, d double, id long, v array<double>").dropDuplicates(["i", "id"])
+    found = vectors.mapInArrow(run, "i int, d double, id long, v array<double>").groupBy("i", "id").agg(F.min_by("v", "d").alias("v"), F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "id"))
     out: dict[int, list[np.ndarray]] = {}
     for r in found.withColumn("rank", rank).where(F.col("rank") <= k).collect():  # at most k for each of the sampled queries
@@ -271,11 +272,12 @@ def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 10, tables: int = 8, recall: float = 0.97, seed: int = 7, plans: dict[int, tuple[int, int]] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) for vectors and queries of id (long), v (array of numbers).
 
-    plans: what ``fit_index`` gave; else it is fitted here, for a recall of about ``recall``.
+    plans: what ``fit_index`` gave; else it is fitted here, for a recall of about ``recall``.  Rows and queries without an id
+    take no part.
     """
     ship(vectors.sparkSession)
     kept = lambda x: F.col("v") if dict(x.dtypes)["v"] == "array<float>" else F.col("v").cast("array<double>").alias("v")
-    vectors, queries = (x.where(usable(F.col("v"))).select("id", kept(x)) for x in (vectors, queries))
+    vectors, queries = (x.where(usable(F.col("v")) & F.col("id").isNotNull()).select("id", kept(x)) for x in (vectors, queries))
     plans = fit_index(vectors, queries, k=k, tables=tables, recall=recall, seed=seed) if plans is None else plans
     n_blocks = max(1, -(-vectors.count() // ROWS))
     found = cut(_search(_hashed(vectors, plans, tables, seed, n_blocks, False), _hashed(queries, plans, tables, seed, n_blocks, True), k))

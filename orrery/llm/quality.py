@@ -4,13 +4,14 @@ Words are runs of letters and runs of other signs, as written; features are sing
 neighbours (two of the same word are one feature whatever the word), hashed to ``1 << BITS`` weights.  A text's feature has the value count / sqrt(number of words), and its
 score is the logistic function of the sparse dot product and a bias.
 
-Training reads at most about ``sample`` labelled rows (all, if there are fewer; else those with the smallest
-hashes of their ids), the only bounded thing here.  Tasks learn from parts of about ``PART`` rows and their
-weights are averaged, so no task or driver holds more than its part.
+An example is a document with a label; training reads at most about ``sample`` of them (all, if there are fewer; else
+those with the smallest hashes of id and text), the only bounded thing here.  Tasks learn from parts of about ``PART``
+examples, dealt by the same hash and the label, and their weights are averaged, so no task or driver holds more than its
+part, even where all examples have one id.
 
 Defined results: a null, empty or blank text scores the bias alone; a row without a label, or with a null one,
-isn't learned from; several labels of one id are as many examples, as are repeated rows; without examples every
-score is 0.5; an empty table gives no rows.
+isn't learned from; ids with several labels, or several texts, are an example for each; repeated rows are one example;
+without examples every score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,12 +77,15 @@ def _train_part(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from docs (doc_id, text) and labels (doc_id, label)."""
     ship(docs.sparkSession)
-    labels = labels.where("label is not null and doc_id is not null").withColumn("spread", F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))))
-    found = labels.count()
+    labels = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    # Counts of ids, so that one with many rows meets as one.
+    both = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(labels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")), "doc_id")
+    found = both.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
     share, parts = min(1.0, sample / max(1, found)), max(1, -(-min(found, sample) // PART))
-    chosen = labels.where(F.conv(F.substring("spread", 1, 8), 16, 10).cast("long") <= int(share * 2**32))
-    # Broadcast: chosen holds about `sample` rows of three short columns.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    spread = F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    chosen = docs.withColumn("spread", spread).where(F.conv(F.substring("spread", 1, 8), 16, 10).cast("long") <= int(share * 2**32))
+    rows = chosen.join(labels, "doc_id").dropDuplicates(["spread", "label"])
 
     def run(batches):
         for batch in batches:
@@ -93,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("spread"), batch.column("label"), pa.array(words, pa.int64()), pa.array(blobs, pa.binary())], names=["spread", "label", "words", "features"])
 
     rows = rows.select("text", "spread", F.col("label").cast("int")).mapInArrow(run, "spread string, label int, words long, features binary")
-    part = F.conv(F.substring("spread", 9, 4), 16, 10).cast("int") % parts
+    part = F.pmod(F.xxhash64("spread", "label"), F.lit(parts))
     # One array of fixed size for each part.
     found = rows.groupBy(part.alias("part")).applyInPandas(_train_part, "examples long, weights binary").collect()
     if not found:

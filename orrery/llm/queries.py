@@ -172,24 +172,13 @@ SQL: dict[str, str] = {
         ), levels AS (
             SELECT *, greatest(sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER w, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM caps
             WINDOW w AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-        ), targets AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM levels), bounds AS (
-            SELECT *, CASE WHEN sum(target) OVER () > 0 THEN floor(sum(target) OVER (ORDER BY place) / sum(target) OVER () * 2147483648)::BIGINT ELSE 0 END AS high,
-                ceil(sum(target) OVER () / 128)::BIGINT AS n, (source_size + 127) // 128 AS blocks FROM targets
-        ), ranges AS (SELECT *, coalesce(lag(high) OVER (ORDER BY place), 0) AS low FROM bounds), slots AS (
-            SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range((SELECT max(n) FROM bounds))) AS slot)
-        ), ranked AS (
-            SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS r FROM slots JOIN ranges ON point >= low AND point < high
-        ), used AS (SELECT place, r % blocks AS block, count(*) AS times FROM ranked WHERE r // blocks < 2 GROUP BY 1, 2), streams AS (
-            SELECT doc_id, place, size, source_size, target, sum(size) OVER (PARTITION BY place ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS start
-            FROM docs JOIN ranges ON docs.source IS NOT DISTINCT FROM ranges.source
-        ), pieces AS (
-            SELECT doc_id, place, size, start, unnest(range((start // 128)::BIGINT, ((start + size - 1) // 128)::BIGINT + 1)) AS block FROM streams WHERE size > 0
-        ), taken AS (
-            SELECT doc_id, p.place, start, sum((least(start + size, (p.block + 1) * 128) - greatest(start, p.block * 128)) * times) AS taken
-            FROM pieces p JOIN used u ON u.place = p.place AND u.block = p.block GROUP BY 1, 2, 3
+        ), targets AS (
+            SELECT *, floor(target + 0.5)::BIGINT AS words FROM (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM levels)
+        ), streams AS (
+            SELECT doc_id, docs.source, size, source_size, target, words, sum(size) OVER (PARTITION BY place ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS start
+            FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
         )
-        SELECT s.doc_id, r.source, s.size, s.source_size, s.target, coalesce(t.taken, 0)::BIGINT AS taken FROM streams s JOIN ranges r ON r.place = s.place
-        LEFT JOIN taken t ON t.doc_id IS NOT DISTINCT FROM s.doc_id AND t.place = s.place AND t.start = s.start AND s.size > 0
+        SELECT doc_id, source, size, source_size, target, (greatest(least(start + size, words) - start, 0) + greatest(least(start + size + source_size, words) - start - source_size, 0))::BIGINT AS taken FROM streams
     """,
     "op4_top_k": """
         WITH whole AS (

@@ -12,7 +12,7 @@ inner product of that fragment alone.  A row's score is the sum over its lists.
 Lists are computed in blocks of at most ``ROWS`` rows and ``QUERIES`` queries.  Cutoffs reach the blocks by a
 join, since there are as many as queries; cutoffs are compared as whole numbers, ``score >= ceil(t / lists)``.
 
-Defined results: vectors that are null or that hold a null or non-finite component take no part; vectors of
+Defined results: vectors that are null or that hold a null or non-finite component, and rows without an id, take no part; vectors of
 different length aren't compared; empty vectors score 0 with one another; equal scores are ordered by the
 smaller id; rows that repeat an id count once, by their best vector; an empty table gives no rows.  Components,
 and ``lists`` times scores, have to fit in 64 bits.
@@ -91,7 +91,7 @@ def _best(scored: DataFrame, k: int, *by: str) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, lists: int = 2) -> DataFrame:
     """query_id, rank, vec_id, score for vectors and queries of id (long), v (array<long>; null: takes no part)."""
     ship(vectors.sparkSession)
-    vectors, queries = (x.where("v is not null").select("id", "v") for x in (vectors, queries))
+    vectors, queries = (x.where("v is not null and id is not null").select("id", "v") for x in (vectors, queries))
     rows, asked = _fragments(vectors, lists), _fragments(queries, lists)
     key, entry = ["size", "f"], "f int, query_id long, vec_id long, score long"
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -164,3 +165,56 @@ def test_probabilities_add_up(spark):
             p += (10 ** scores[ends[:-1] - 2]).sum() + 10 ** scores[ends[-1] - 1]
         assert p == pytest.approx(1, abs=1e-9)
     model.store.delete()
+
+
+def plain_ftrl(examples):
+    """Weights from dictionaries, one feature after another."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= Q.L1 else ((1 if zi > 0 else -1) * Q.L1 - zi) / ((Q.BETA + math.sqrt(n.get(i, 0.0))) / Q.ALPHA + Q.L2)
+
+    for _ in range(Q.EPOCHS):
+        for label, features in examples:
+            w = {i: weight(i) for i in features}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in features.items())))
+            for i, x in features.items():
+                g = (p - label) * x
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / Q.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return weight, set(z)
+
+
+def test_quality_beside_plain_ftrl(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["good", "bad", "word", "!!", "x1,y2", "é"]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    docs += [(3, "another text of one id"), (5, docs[5][1]), (None, "no id")]
+    labels = [(i, i % 2) for i in range(0, 80, 2)] + [(1, 1), (3, 0), (3, 1), (3, 1), (7, None), (None, 1)]
+    weights = Q.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int"))
+
+    def features(text):
+        ((_, _, found, _, n),) = Q._features(pa.array([text]))
+        count = Counter(found.tolist())
+        return {i: c / math.sqrt(max(1, int(n[0]))) for i, c in count.items()} | {1 << Q.BITS: 1.0}
+
+    examples = {}
+    for i, text in docs:
+        for j, label in labels:
+            if i == j and i is not None and label is not None:
+                spread = hashlib.md5(f"quality:{i}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
+                examples[spread, label] = (label, features(text))
+    weight, seen = plain_ftrl([examples[k] for k in sorted(examples)])
+    assert len(examples) == 45 and all(abs(weights[i] - weight(i)) < 1e-9 for i in seen)
+    assert all(weights[i] == 0 for i in range(len(weights)) if i not in seen)
+
+
+def test_examples_of_one_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PART", 100)
+    seen = []
+    docs = spark.range(2000).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    labels = spark.range(10_000).selectExpr("7L as doc_id", "cast(id % 2 as int) as label")
+    real = Q.np.average
+    monkeypatch.setattr(Q.np, "average", lambda x, axis, weights: seen.extend(weights) or real(x, axis=axis, weights=weights))
+    Q.fit(docs, labels, sample=400)
+    assert 300 <= sum(seen) <= 500 and len(seen) == 4 and max(seen) <= 150

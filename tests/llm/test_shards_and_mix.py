@@ -150,3 +150,28 @@ def test_mix_of_awkward_rows(spark):
     assert M.mix_sources(docs.limit(0))[0].count() == 0
     none = M.mix_sources(docs.where("doc_id in (3, 4, 5)"))[0].collect()
     assert len(none) == 3 and all(r.taken == 0 and r.target == 0 for r in none)
+
+
+def test_small_sources_reach_their_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, "large", 500) for i in range(400)]
+    for s in range(1000):
+        left = rng.randint(1, 200)
+        while left > 0:
+            n = min(left, rng.randint(1, 60))
+            rows.append((len(rows), f"s{s:04}", n))
+            left -= n
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mixed, slots = M.mix_sources(docs, per_part=64)
+    taken, target = Counter(), {}
+    for r in mixed.collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target) and len(target) == 1001
+    order = slots.collect()
+    assert len({r.slot for r in order}) == len(order) and sum(r.words for r in order) == sum(taken.values())
+    lengths = {}
+    for r in order:
+        lengths.setdefault(r.source, []).append(r.words)
+    assert all(max(x) - min(x) <= 1 for x in lengths.values()) and set(lengths) == {s for s in target if round(target[s]) > 0}

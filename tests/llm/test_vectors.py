@@ -173,3 +173,20 @@ def test_top_k_of_awkward_vectors(spark):
     assert [(r.vec_id, r.score) for r in U.top_k(far, far.where("id = 0"), k=3, lists=2).orderBy("rank").collect()] == [(1, 2 * big + 6), (2, 2 * big + 6), (3, 2 * big + 6)]
     big = np.array([[2**40, 3]])
     assert U.products(big, np.array([[2**20, 5]])).tolist() == [[2**60 + 15]]
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(None if i % 5 == 0 else i, [float(i % 7), float(i % 3), 1.0]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = vectors.where("id is null or id % 4 = 0")
+    ids = {i for i, _ in rows if i is not None}
+    for found in (A.nearest_neighbours(vectors, queries, k=3), U.top_k(vectors.withColumn("v", U.whole_numbers(F.col("v"), 8)), queries.withColumn("v", U.whole_numbers(F.col("v"), 8)), k=3)):
+        got = found.collect()
+        assert {r.query_id for r in got} == {i for i in ids if i % 4 == 0} and {r.vec_id for r in got} <= ids and len(got) == 3 * len({r.query_id for r in got})
+
+
+def test_ids_over_two_to_the_53(spark):
+    big = 2**60
+    vectors = spark.createDataFrame([(big + i, [i, 1]) for i in range(30)], "id long, v array<long>")
+    got = U.top_k(vectors, vectors.where(f"id = {big + 7}"), k=2).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, big + 29, 204), (2, big + 28, 197)]
