@@ -35,7 +35,7 @@ class Thresholds:
         return cls(*STRICTNESS.get(strictness or "", STRICTNESS["normal"]))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=-1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
@@ -55,10 +55,15 @@ class Groups:
         self.inside: dict[int, set] = {}
         self.in_video: dict[tuple, int] = {}
 
-    def _set(self, i: int, person: int, total: np.ndarray) -> None:
-        if i == len(self.owner):
+    def room(self, n: int) -> None:
+        """Space for n looks at least."""
+        while n > len(self.owner):
             self.sums, self.centres, self.owner = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.centres, self.owner))
-        self.sums[i], self.centres[i], self.owner[i] = total, _unit(total), person
+
+    def put(self, i: int, person: int, total: np.ndarray) -> None:
+        """Look i becomes one of a person, with this sum of vectors."""
+        self.room(i + 1)
+        self.sums[i], self.centres[i], self.owner[i] = total, unit(total), person
 
     def join(self, person: int, photo: int) -> None:
         self.photos.setdefault(person, set()).add(photo)
@@ -69,22 +74,22 @@ class Groups:
         own = np.flatnonzero(self.owner[: self.looks] == person)
         near = self.centres[own] @ e
         if len(own) and near.max() >= self.limits.join:
-            self._set(int(own[near.argmax()]), person, self.sums[own[near.argmax()]] + e)
+            self.put(int(own[near.argmax()]), person, self.sums[own[near.argmax()]] + e)
         else:
-            self._set(self.looks, person, e)
+            self.put(self.looks, person, e)
             self.looks += 1
         self.count[person] = self.count.get(person, 0) + 1
         self.clear[person] = sorted([*self.clear.get(person, []), (rank, e)], key=lambda x: -x[0])[:CLEAREST]
-        self._bound(person)
+        self.bound(person)
 
-    def _bound(self, person: int) -> None:
+    def bound(self, person: int) -> None:
         """Of more than MOST_LOOKS looks the two most alike become one."""
         while len(own := np.flatnonzero(self.owner[: self.looks] == person)) > MOST_LOOKS:
             alike = np.triu(self.centres[own] @ self.centres[own].T, 1) + np.tril(np.full((len(own),) * 2, -9.0))
             i, j = (int(own[k]) for k in np.unravel_index(alike.argmax(), alike.shape))
-            self._set(i, person, self.sums[i] + self.sums[j])
+            self.put(i, person, self.sums[i] + self.sums[j])
             self.looks -= 1
-            self._set(j, int(self.owner[self.looks]), self.sums[self.looks])
+            self.put(j, int(self.owner[self.looks]), self.sums[self.looks])
             self.owner[self.looks] = 0
 
     def nearest(self, e: np.ndarray, least: float, out: set) -> int | None:
@@ -154,7 +159,7 @@ class Groups:
         for photo in self.photos.pop(gone):
             self.join(keep, photo)
             self.inside[photo].discard(gone)
-        self._bound(keep)
+        self.bound(keep)
 
 
 _PLACED = "block long, id long, person long"
@@ -166,7 +171,7 @@ def _placed(limits: Thresholds, again: bool):
         if not len(pdf):
             return pd.DataFrame(columns=["block", "id", "person"])
         number = lambda x: None if pd.isna(x) else int(x)
-        vectors = dict(zip(pdf.id.tolist(), _unit(np.stack(pdf.embedding.to_numpy()).astype(np.float64)), strict=True))
+        vectors = dict(zip(pdf.id.tolist(), unit(np.stack(pdf.embedding.to_numpy()).astype(np.float64)), strict=True))
         groups, found = Groups(len(pdf.embedding.iloc[0]), limits), {}
         for r in pdf[pdf.person_id.notna()].sort_values(["rank", "id"], ascending=[False, True]).itertuples():
             if r.good:
@@ -269,7 +274,7 @@ def two_groups(faces: DataFrame, least_share: float = 0.1, rounds: int = 15) ->
                     side = (clear @ centres[0] < clear @ centres[1]).astype(int)
                     if not 0 < side.sum() < len(side):
                         break
-                    moved = _unit(np.stack([clear[side == k].sum(axis=0) for k in (0, 1)]))
+                    moved = unit(np.stack([clear[side == k].sum(axis=0) for k in (0, 1)]))
                     still = ((moved * centres).sum(axis=1) >= 0.9999).all()
                     centres = moved
                     if still:
@@ -353,9 +358,9 @@ def merge_groups(groups: DataFrame, limits: Thresholds) -> DataFrame:
         kept: list[dict] = []
         out = []
         for g in pdf.sort_values(["n", "id"], ascending=[False, True]).itertuples():
-            e, media, best = _unit(np.asarray(g.centroid, np.float64)), set(g.media), (limits.merge, None)
+            e, media, best = unit(np.asarray(g.centroid, np.float64)), set(g.media), (limits.merge, None)
             for k in kept:
-                near = float(_unit(k["sum"]) @ e)
+                near = float(unit(k["sum"]) @ e)
                 if near >= best[0] and not (k["pinned"] and g.pinned) and not (k["named"] and g.named) and not media & k["media"]:
                     best = (near, k)
             if best[1] is None:
