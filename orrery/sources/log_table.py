@@ -75,6 +75,7 @@ class Log:
     """What the driver and the tasks know of a log at a path."""
 
     path: str
+    cut: int = CUT
 
     def __post_init__(self) -> None:
         self.fs, self.name = pafs.FileSystem.from_uri(self.path)
@@ -138,7 +139,7 @@ class Log:
         with self.fs.open_input_file(self.file(file["name"])) as log:
             dim, out, begin, end = self.dim(log), [], max(first, 12), max(first, 12)
             for _, end in whole_records(log, begin, dim, log.size() if last is None else last):
-                if end - begin >= CUT:
+                if end - begin >= self.cut:
                     out.append((begin, end))
                     begin = end
         return [*out, (begin, end)] if end > begin else out
@@ -156,7 +157,7 @@ class _Reads:
     """Reading of pieces, for batches and streams alike."""
 
     def __init__(self, options: dict) -> None:
-        self.log = Log(options["path"])
+        self.log = Log(options["path"], int(options.get("cut", CUT)))
         self.vectors = options.get("vectors", "true").lower() != "false"
         self.folder: str | None = None
 
@@ -258,7 +259,7 @@ class LogWriter(DataSourceWriter):
     """
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
-        self.log, self.overwrite = Log(options["path"]), overwrite
+        self.log, self.overwrite = Log(options["path"], int(options.get("cut", CUT))), overwrite
         self.dim, self.base = int(options["dim"]), int(options["base"]) if "base" in options else None
         self.places = [schema.names.index(c) for c in WRITTEN]
 
@@ -272,7 +273,7 @@ class LogWriter(DataSourceWriter):
                 path, folder, hash_, video, ts, vector = (row[i] for i in self.places)
                 if vector is None or len(vector) != self.dim:
                     raise ValueError(f"a vector of {None if vector is None else len(vector)} numbers in a log of {self.dim}")
-                if not cuts or at - cuts[-1] >= CUT:
+                if not cuts or at - cuts[-1] >= self.log.cut:
                     cuts.append(at)
                 data = record(path, folder, hash_, video, ts, vector)
                 out.write(data)
@@ -301,7 +302,7 @@ class LogWriter(DataSourceWriter):
 
 
 class VectorLog(DataSource):
-    """Options: path; vectors (false: not decoded); dim and base for writing."""
+    """Options: path; vectors (false: not decoded); cut, bytes between cuts; dim and base for writing."""
 
     @classmethod
     def name(cls) -> str:
@@ -328,16 +329,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(VectorLog)
 
 
-def read_table(spark: SparkSession, path: str, vectors: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, vectors: bool = True, cut: int = CUT) -> DataFrame:
     """Rows of SCHEMA of a log; start tells rows of a file apart, and orders them."""
     register(spark)
-    return spark.read.format("vector_log").option("vectors", str(vectors)).load(path)
+    return spark.read.format("vector_log").option("vectors", str(vectors)).option("cut", cut).load(path)
 
 
-def append(rows: DataFrame, path: str, dim: int) -> None:
+def append(rows: DataFrame, path: str, dim: int, cut: int = CUT) -> None:
     """Add rows (those of WRITTEN) to a log; a vector of another length fails the whole write, and the log stays as it is."""
     register(rows.sparkSession)
-    rows.select(*WRITTEN).write.format("vector_log").mode("append").option("dim", dim).save(path)
+    rows.select(*WRITTEN).write.format("vector_log").mode("append").option("dim", dim).option("cut", cut).save(path)
 
 
 def rewrite(log: DataFrame, path: str, dim: int, base: int) -> None:
