@@ -476,7 +476,7 @@ def mutual_matches(x: Library) -> DataFrame:
 
 
 @query("""SELECT ord, folder_id AS person, round(s, 6) AS score FROM (SELECT i.ord, c.folder_id, list_inner_product(i.embedding::DOUBLE[], c.v) AS s, row_number() OVER (PARTITION BY i.ord ORDER BY list_inner_product(i.embedding::DOUBLE[], c.v) DESC, c.folder_id) AS r
-  FROM idx i, (SELECT folder_id, list(x / sqrt(q) ORDER BY k) AS v FROM (SELECT folder_id, k, sum(embedding[k]::DOUBLE) AS x, sum(sum(embedding[k]::DOUBLE) ^ 2) OVER (PARTITION BY folder_id) AS q FROM idx, generate_series(1, 64) AS g(k) GROUP BY folder_id, k) GROUP BY folder_id) c) WHERE r = 1 AND s >= 0.1""")
+  FROM idx i, (SELECT folder_id, list(x / sqrt(q) ORDER BY k) AS v FROM (SELECT folder_id, k, sum(x) AS x, sum(sum(x) ^ 2) OVER (PARTITION BY folder_id) AS q FROM (SELECT folder_id, k, embedding[k]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM idx, generate_series(1, 64) AS g(k)) GROUP BY folder_id, k) GROUP BY folder_id) c) WHERE r = 1 AND s >= 0.1""")
 def identified(x: Library) -> DataFrame:
     people = V.centroid(x.index(), "folder_id").select(F.col("folder_id").alias("person"), F.col("centroid").alias("embedding"))
     return C.identify(x.index().select("ord", "embedding"), people, 0.1).select("ord", "person", r6("score"))

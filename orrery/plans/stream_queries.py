@@ -1,4 +1,4 @@
-"""Queries that run as streams over a table's file, until all there is has gone through."""
+"""Queries that run as streams over a table in several batches, until all there is has gone through."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from orrery.streaming import ingest as I
 
 
 def _events(x: Library) -> DataFrame:
-    rows = I.follow(x.spark, x.sf_dir, x.table("events").schema, pattern="events.parquet")
+    rows = I.in_parts(x.table("events"), "ts")
     return rows.select("event_id", F.col("user_id").alias("person"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("video"))
 
 
@@ -40,7 +40,7 @@ def stream_rates(x: Library) -> DataFrame:
 
 @query()
 def stream_clusters(x: Library) -> DataFrame:
-    rows = I.follow(x.spark, x.sf_dir, x.table("embeddings").schema, pattern="embeddings.parquet")
+    rows = I.in_parts(x.table("embeddings"), "vec_id")
     faces = rows.select(F.col("label").cast("long").alias("block"), F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 3).alias("media_key"), (F.col("vec_id") % 5 != 0).alias("good"), F.col("embedding").cast("array<double>").alias("embedding"))
     return I.drained(I.cluster_stream(faces, Thresholds()))
 

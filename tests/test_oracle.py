@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import orrery.plans.log_queries  # noqa: F401  registers its queries
 import orrery.plans.moment_queries  # noqa: F401  registers its queries
 import orrery.plans.state_queries  # noqa: F401  likewise
 import orrery.plans.stream_queries  # noqa: F401  likewise
