@@ -85,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     share, parts = min(1.0, sample / max(1, found)), max(1, -(-min(found, sample) // PART))
     spread = F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     chosen = docs.withColumn("spread", spread).where(F.conv(F.substring("spread", 1, 8), 16, 10).cast("long") <= int(share * 2**32))
-    rows = chosen.join(labels, "doc_id").dropDuplicates(["spread", "label"])
+    # Broadcast: about ``sample`` rows of two short columns, so no text moves before it is features.
+    rows = chosen.drop("doc_id").join(F.broadcast(chosen.select("doc_id", "spread").join(labels, "doc_id").select("spread", "label").distinct()), "spread")
 
     def run(batches):
         for batch in batches:
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 words += n.tolist()
             yield pa.RecordBatch.from_arrays([batch.column("spread"), batch.column("label"), pa.array(words, pa.int64()), pa.array(blobs, pa.binary())], names=["spread", "label", "words", "features"])
 
-    rows = rows.select("text", "spread", F.col("label").cast("int")).mapInArrow(run, "spread string, label int, words long, features binary")
+    rows = rows.select("text", "spread", F.col("label").cast("int")).mapInArrow(run, "spread string, label int, words long, features binary").dropDuplicates(["spread", "label"])
     part = F.pmod(F.xxhash64("spread", "label"), F.lit(parts))
     # One array of fixed size for each part.
     found = rows.groupBy(part.alias("part")).applyInPandas(_train_part, "examples long, weights binary").collect()
