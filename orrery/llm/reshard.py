@@ -6,7 +6,9 @@ stays costs nothing, one that moves costs one.  A flow becomes a range of the ol
 whole blocks and, at the ends of ranges, rows of one block are transferred, a row by the place of its middle.
 
 Rows are placed in three rounds, long ones first (over an 8th of a shard, over a 64th, the rest): each round is
-split as what is left of the flow, so shorter rows level out what longer ones could not split.
+split as what is left of the flow, so shorter rows level out what longer ones could not split.  A row that is longer than
+an equal share of what is left beside longer ones, as fewer rows than shards can be, has a shard alone, its own old one
+where that is free; the flow then levels the rest over the other shards.
 
 Defined results: a null text has size 1 and CRC 0 like an empty one; a null shard key is an old shard of its
 own; repeated rows are rows of their own; an empty table gives no rows.
@@ -86,6 +88,14 @@ def shares(total: int, weights: list[int]) -> list[int]:
     return out
 
 
+def alone(longest: list[int], total: int, shards: int) -> int:
+    """How many of the longest rows (sizes, in falling order) are longer than an equal share of all but those before them."""
+    k = 0
+    while k < len(longest) and longest[k] * (shards - k) > total:
+        total, k = total - longest[k], k + 1
+    return k
+
+
 def reshard(rows: DataFrame, shards: int) -> DataFrame:
     """rows (size, old_shard from 0, and others) with shard and slot, gapless from 0 in each shard; columns of these two
     names are replaced."""
@@ -93,8 +103,11 @@ def reshard(rows: DataFrame, shards: int) -> DataFrame:
     others = [c for c in rows.columns if c not in ("shard", "slot")]
     rows = cut(rows.select("size", "old_shard", F.struct(*others).alias("row")))
     total, n, olds = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("old_shard"), F.lit(-1)) + 1).first()
-    share = total / shards
-    level = F.when(F.col("size") * ROUNDS[0] > share, 0).when(F.col("size") * ROUNDS[1] > share, 1).otherwise(2)
+    longest = [r.size for r in rows.select("size").orderBy(F.desc("size")).limit(shards).collect()]
+    giants = alone(longest, total, shards)
+    share = (total - sum(longest[:giants])) / (shards - giants)
+    least = longest[giants - 1] if giants else (longest[0] + 1 if longest else 1)
+    level = F.when(F.col("size") >= least, 0).when(F.col("size") * ROUNDS[0] > share, 1).when(F.col("size") * ROUNDS[1] > share, 2).otherwise(3)
     rows = rows.withColumn("level", level).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(-(-n // PER_BLOCK) or 1)))
     key = ["level", "old_shard", "block"]
     before = Window.partitionBy("level", "old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,16 +118,29 @@ def reshard(rows: DataFrame, shards: int) -> DataFrame:
 
     spark = rows.sparkSession
     sizes = {(r.level, r.old_shard): r.size for r in rows.groupBy("level", "old_shard").agg(F.sum("size").alias("size")).collect()}  # at most 3 x old numbers
-    flow = least_moves([sum(sizes.get((k, i), 0) for k in range(len(ROUNDS) + 1)) for i in range(olds)], shares(total, [1] * shards))
-    left = [list(x) for x in flow]
+    rounds = range(1, len(ROUNDS) + 2)
+    rest = [sum(sizes.get((k, i), 0) for k in rounds) for i in range(olds)]
+    free = sorted(range(shards), key=lambda j: rest[j] if j < olds else 0)
     moves: list[tuple[int, int, int, int, int]] = []
+    # Fewer rows than shards: those that keep their shard first.
+    single = rows.where("level = 0").select("old_shard", "middle", "size").orderBy(F.desc("size"), "old_shard", "middle").collect()
+    for stays in (True, False):
+        for r in list(single):
+            if not stays or r.old_shard in free:
+                to = r.old_shard if stays else free[0]
+                free.remove(to)
+                single.remove(r)
+                moves.append((0, r.old_shard, to, (r.middle - r.size) // 2, (r.middle + r.size) // 2))
+    equal = iter(shares(sum(rest), [1] * len(free)))
+    flow = least_moves(rest, [next(equal) if j in free else 0 for j in range(shards)])
+    left = [list(x) for x in flow]
     schema = "level int, old_shard int, shard int, begin long, end long"
 
     def placed(found: list[tuple[int, int, int, int, int]]) -> DataFrame:
         to = F.broadcast(spark.createDataFrame(found, schema))  # at most 3 x old x new rows
         return rows.join(to, ["level", "old_shard"]).where("middle >= 2 * begin and middle < 2 * end").drop("begin", "end")
 
-    for k in range(len(ROUNDS) + 1):
+    for k in rounds:
         # This round's bytes of an old shard are split as what is left of its flow.
         split = [shares(sizes.get((k, i), 0), [max(0, x) for x in left[i]] if any(x > 0 for x in left[i]) else [*flow[i][:-1], flow[i][-1] + (not sum(flow[i]))]) for i in range(olds)]
         own = [(k, *x) for x in ranges(split)]

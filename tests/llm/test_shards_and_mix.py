@@ -175,3 +175,23 @@ def test_small_sources_reach_their_targets(spark):
     for r in order:
         lengths.setdefault(r.source, []).append(r.words)
     assert all(max(x) - min(x) <= 1 for x in lengths.values()) and set(lengths) == {s for s in target if round(target[s]) > 0}
+
+
+@pytest.mark.parametrize("long", [[100_000], [100_000, 5_000, 5_000], [9_000] * 4, [400] * 3])
+def test_rows_longer_than_a_share_leave_the_rest_level(spark, long):
+    rng = random.Random(11)
+    sizes = [*long, *(rng.randint(1, 80) for _ in range(600))]
+    rows = spark.createDataFrame([(i, n, rng.randrange(5)) for i, n in enumerate(sizes)], "doc_id long, size long, old_shard int")
+    found = R.reshard(rows, 16).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(sizes)))
+    loads, at = Counter(), defaultdict(list)
+    for r in found:
+        loads[r.shard] += r["size"]
+        at[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in at.values())
+    alone = R.alone(sorted(sizes, reverse=True)[:16], sum(sizes), 16)
+    assert alone == (len(long) if long[0] > 2000 else 0)
+    single = {r.shard for r in found if r["size"] >= 5000}
+    assert len(single) == alone and all(loads[s] == max(r["size"] for r in found if r.shard == s) for s in single)
+    rest = [loads[s] for s in range(16) if s not in single]
+    assert max(rest) - min(rest) <= 2 * 80 + (400 if not alone else 0)
