@@ -86,17 +86,20 @@ def people_counts(faces: DataFrame, chosen: list[int]) -> DataFrame:
 
 def together_within(seen: DataFrame, window_ms: int = 3000) -> DataFrame:
     """seen: video, ts_ms, person -> video, ts_ms, people seen in it from then until window_ms later."""
-    ahead = Window.partitionBy("video").orderBy("ts_ms").rangeBetween(0, window_ms)
-    people = F.array_sort(F.array_distinct(F.collect_list("person").over(ahead)))
-    return seen.select("video", "ts_ms", people.alias("people")).dropDuplicates(["video", "ts_ms"])
+    # A stretch of a video as long as the window meets itself and the next one, so a long video is many groups.
+    stretch = F.floor(F.col("ts_ms") / window_ms)
+    starts = seen.select("video", F.col("ts_ms").alias("at")).distinct().withColumn("stretch", F.floor(F.col("at") / window_ms))
+    others = seen.select("video", "ts_ms", "person", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    met = starts.join(others, ["video", "stretch"]).where(F.col("ts_ms").between(F.col("at"), F.col("at") + window_ms))
+    return met.groupBy("video", F.col("at").alias("ts_ms")).agg(F.array_sort(F.collect_set("person")).alias("people"))
 
 
 def pair_photos(faces: DataFrame, photos: DataFrame, dates: DataFrame, a: int, b: int) -> DataFrame:
     """Still photos with reliable dates that show both people for sure, and how many faces they hold, by time."""
-    sure = confident(faces)
-    keys = sure.where(F.col("person_id") == a).select("media_key").intersect(sure.where(F.col("person_id") == b).select("media_key"))
-    found = keys.join(photos.where("not is_video"), F.col("media_key") == F.col("hash")).join(reliable(dates), F.col("media_key") == F.col("key"))
-    counts = faces.join(keys, "media_key", "left_semi").groupBy("media_key").agg(F.count(F.lit(1)).alias("n_faces"))
+    own = F.col("person_id").isin(a, b)
+    both = confident(faces).where(own).groupBy("media_key").agg(F.countDistinct("person_id").alias("n")).where(F.col("n") == len({a, b})).select("media_key")
+    found = both.join(photos.where("not is_video"), F.col("media_key") == F.col("hash")).join(reliable(dates), F.col("media_key") == F.col("key"))
+    counts = faces.join(both, "media_key", "left_semi").groupBy("media_key").agg(F.count(F.lit(1)).alias("n_faces"))
     return found.join(counts, "media_key").select("media_key", "uri", "taken_ms", "n_faces").orderBy("taken_ms", "media_key")
 
 
@@ -111,8 +114,9 @@ def person_stats(people: DataFrame, faces: DataFrame, photos: DataFrame, dates:
 def face_scores(faces: DataFrame) -> DataFrame:
     """media_key, score: the three best ranks of a media item, of unsure faces 0.3 of it."""
     weight = F.col("rank") * F.when(is_confident(), 1.0).otherwise(0.3)
-    best = F.slice(F.sort_array(F.collect_list(weight), asc=False), 1, 3)
-    return faces.where("person_id is not null").groupBy("media_key").agg(best.alias("best")).select("media_key", F.aggregate("best", F.lit(0.0), lambda s, x: s + x).alias("score"))
+    rows = faces.where("person_id is not null").select("media_key", weight.alias("weight"))
+    place = F.row_number().over(Window.partitionBy("media_key").orderBy(F.desc("weight")))
+    return rows.withColumn("place", place).where("place <= 3").groupBy("media_key").agg(F.sum("weight").alias("score"))
 
 
 def best_faces(faces: DataFrame) -> DataFrame:

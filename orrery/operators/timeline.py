@@ -68,8 +68,13 @@ def reunion_candidates(groups: DataFrame, least: int = 3, most: int = 12, gap_da
     may have met within gap_days, and two people at least must be of pairs that meet again; gap is the least one.
     """
     day = F.floor(F.col("ms") / DAY_MS)
-    meets = pairs_of(groups.where(F.size("people") >= 2).withColumn("day", day))
-    days = meets.select("a", "b", "day").distinct()
+    few = groups.where(F.size("people").between(2, most)).withColumn("day", day)
+    meets = pairs_of(few)
+    wanted = meets.where(F.size("people") >= least).select("a", "b").distinct()
+    # Larger groups are meetings, too, but only of pairs that are asked for: they aren't made into pairs.
+    crowd = groups.where(F.size("people") > most).select("media_key", day.alias("day"), F.explode("people").alias("a"))
+    crowded = wanted.join(crowd, "a").join(crowd.select("media_key", F.col("a").alias("b")), ["media_key", "b"])
+    days = meets.select("a", "b", "day").union(crowded.select("a", "b", "day")).distinct()
     last = days.withColumn("last", F.lag("day").over(Window.partitionBy("a", "b").orderBy("day")))
     again = meets.where(F.size("people").between(least, most)).join(last, ["a", "b", "day"]).where("last is not null").withColumn("gap", F.col("day") - F.col("last"))
     found = again.groupBy("media_key", "day", "ms", F.size("people").alias("n")).agg(F.min("gap").alias("gap"), F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))).alias("back"))

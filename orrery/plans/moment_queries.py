@@ -32,14 +32,14 @@ def person_dated_faces(x: Library) -> DataFrame:
     return _dated(x).select("person_id", "key", "taken_ms", "n_faces", r6("suited"))
 
 
-@query(_COMPANIONS + """, t AS (SELECT month(make_timestamp(first_ms * 1000)) AS m, day(make_timestamp(first_ms * 1000)) AS d FROM best WHERE person = 1),
+@query(_COMPANIONS + """, t AS (SELECT month(make_timestamp(first_ms * 1000)) AS m, day(make_timestamp(first_ms * 1000)) AS d FROM best WHERE n >= 3 AND person % 4 <> 0 AND companion % 4 <> 0 ORDER BY person LIMIT 1),
 due AS (SELECT least(person, companion) AS a, greatest(person, companion) AS b, 2002 - year(make_timestamp(first_ms * 1000)) AS years FROM best, t
   WHERE n >= 3 AND month(make_timestamp(first_ms * 1000)) = m AND day(make_timestamp(first_ms * 1000)) = d)
 SELECT a, b, max(years)::INTEGER AS years FROM due WHERE years > 0 AND a IN (SELECT id FROM people WHERE name IS NOT NULL) AND b IN (SELECT id FROM people WHERE name IS NOT NULL) GROUP BY a, b""")
 def anniversaries(x: Library) -> DataFrame:
     c = L.companions(L.groups(x.faces(), x.media_dates()))
     t = F.timestamp_millis("first_ms")
-    today = c.where("person = 1").select(F.lit(2002).alias("year"), F.month(t).alias("month"), F.dayofmonth(t).alias("day"))
+    today = c.where("n >= 3 and person % 4 <> 0 and companion % 4 <> 0").orderBy("person").limit(1).select(F.lit(2002).alias("year"), F.month(t).alias("month"), F.dayofmonth(t).alias("day"))
     return O.anniversaries(c, x.people(), today)
 
 

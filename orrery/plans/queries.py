@@ -153,9 +153,11 @@ def indexed_media(x: Library) -> DataFrame:
     return V.first_by(x.index(), ["media_key"], "ord").select("media_key", "ord")
 
 
-@query("SELECT ord, folder_id, timestamp_ms FROM idx WHERE media_key = 9 AND is_video AND timestamp_ms = 1000 LIMIT 1")
+@query("SELECT ord, folder_id, timestamp_ms FROM idx WHERE media_key = (SELECT min(media_key) FROM idx WHERE is_video) AND is_video AND timestamp_ms = 1000 LIMIT 1")
 def find_embedding(x: Library) -> DataFrame:
-    return x.index().where("media_key = 9 and is_video and timestamp_ms = 1000").select("ord", "folder_id", "timestamp_ms").limit(1)
+    first = x.index().where("is_video").agg(F.min("media_key").alias("first"))
+    found = x.index().where("is_video and timestamp_ms = 1000").join(F.broadcast(first), F.col("media_key") == F.col("first"))
+    return found.select("ord", "folder_id", "timestamp_ms").limit(1)
 
 
 @query("SELECT ord, media_key, media_key IN (SELECT media_key FROM idx WHERE folder_id = 1) AS fresh FROM idx")
@@ -225,10 +227,14 @@ def people_counts(x: Library) -> DataFrame:
     return P.people_counts(x.faces(), CHOSEN)
 
 
-@query(""", k AS (SELECT media_key FROM confident WHERE person_id = 1 INTERSECT SELECT media_key FROM confident WHERE person_id = 2)
+@query(""", two AS (SELECT min(person_id) AS a, max(person_id) AS b FROM confident JOIN reliable ON key = media_key JOIN photos ON hash = media_key WHERE NOT is_video GROUP BY media_key HAVING count(DISTINCT person_id) >= 2 ORDER BY media_key LIMIT 1),
+k AS (SELECT media_key FROM confident WHERE person_id = (SELECT a FROM two) INTERSECT SELECT media_key FROM confident WHERE person_id = (SELECT b FROM two))
 SELECT media_key, uri, taken_ms, (SELECT count(*) FROM faces f WHERE f.media_key = k.media_key) AS n_faces FROM k JOIN photos ON hash = media_key JOIN reliable ON key = media_key WHERE NOT is_video""")
 def pair_photos(x: Library) -> DataFrame:
-    return P.pair_photos(x.faces(), x.photos(), x.media_dates(), 1, 2)
+    """For the first two people of the first photo that shows several."""
+    rows = P.confident(x.faces()).join(P.reliable(x.media_dates()), F.col("media_key") == F.col("key")).join(x.photos().where("not is_video"), F.col("media_key") == F.col("hash"))
+    some = rows.groupBy("media_key").agg(F.min("person_id").alias("a"), F.max("person_id").alias("b")).where("a < b").orderBy("media_key").first()
+    return P.pair_photos(x.faces(), x.photos(), x.media_dates(), *((some.a, some.b) if some else (0, 0)))
 
 
 @query("""SELECT person_id AS id, count(DISTINCT media_key) AS n_media, min(taken_ms) AS first_ms, max(taken_ms) AS last_ms FROM confident JOIN reliable ON key = media_key
@@ -414,9 +420,9 @@ def comebacks(x: Library) -> DataFrame:
     return L.comebacks(L.timeline_months(x.faces(), x.media_dates()), gap=4)
 
 
-@query(_MONTHS + "SELECT person_id, sum(n)::BIGINT AS total, max(month) AS last_month FROM months GROUP BY person_id HAVING sum(n) >= 6 AND 24024 - max(month) >= 12")
+@query(_MONTHS + "SELECT person_id, sum(n)::BIGINT AS total, max(month) AS last_month FROM months GROUP BY person_id HAVING sum(n) >= 6 AND 24036 - max(month) >= 12")
 def quiet_people(x: Library) -> DataFrame:
-    return L.quiet_people(L.timeline_months(x.faces(), x.media_dates()), 24024)
+    return L.quiet_people(L.timeline_months(x.faces(), x.media_dates()), 24036)
 
 
 @query(_MONTHS + "SELECT month, round(sqrt(sum(n) / max(sum(n)) OVER ()), 6) AS height FROM months GROUP BY month")
@@ -444,11 +450,12 @@ def trimmed_months(x: Library) -> DataFrame:
     return L.trim_lone_months(L.timeline_months(x.faces(), x.media_dates()), gap=2)
 
 
-@query(_MONTHS + """, f AS (SELECT person_id, min(month) AS month, sum(n) AS total FROM months GROUP BY person_id), y AS (SELECT *, month // 12 AS year FROM f),
+@query(_MONTHS + """, f AS (SELECT person_id, min(month) AS month, sum(n) AS total FROM months WHERE n >= 3 GROUP BY person_id), y AS (SELECT *, month // 12 AS year FROM f),
 s AS (SELECT year, count(*) AS n, list(month ORDER BY month) AS m FROM y WHERE year > (SELECT min(year) FROM y) AND total >= 4 GROUP BY year HAVING count(*) >= 1)
 SELECT year::BIGINT AS year, n, m[n // 2 + 1] AS month FROM s""")
 def new_arrivals(x: Library) -> DataFrame:
-    return L.new_arrivals(L.timeline_months(x.faces(), x.media_dates()), people=1)
+    """People who first have three photos in a month."""
+    return L.new_arrivals(L.timeline_months(x.faces(), x.media_dates()).where("n >= 3"), people=1)
 
 
 @query(_MONTHS + """, s AS (SELECT month, n AS importance, person_id AS id, row_number() OVER (PARTITION BY month // 12 ORDER BY n DESC, month, person_id) AS place FROM months)

@@ -204,10 +204,10 @@ def hero_candidates(x: Library) -> DataFrame:
     return K.hero_candidates(c, 19700)
 
 
-@query("SELECT hash FROM photos WHERE hash NOT IN (SELECT media_key FROM idx) ORDER BY md5(hash || ':5'), hash LIMIT 100")
+@query("SELECT hash FROM photos WHERE hash NOT IN (SELECT media_key FROM idx) ")
 def shuffled_new_files(x: Library) -> DataFrame:
     new = V.new_files(x.photos(), x.index().select(F.col("media_key").alias("hash")))
-    return K.shuffled(new, "hash", 5).limit(100).select("hash")
+    return K.shuffled(new, "hash", 5).select("hash")
 
 
 _BUILT_IN = ", ".join("('{}', '{}', {}, {})".format(i, name, sensitivity, len(prompts)) for i, name, sensitivity, prompts in K.BUILT_IN)

@@ -24,7 +24,7 @@ def duck():
 def plain(x):
     if isinstance(x, (list, tuple)):
         return tuple(map(plain, x))
-    return round(x, 5) + 0.0 if isinstance(x, float) else x
+    return float(f"{x:.9g}") + 0.0 if isinstance(x, float) else x
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -41,4 +41,6 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    df = QUERIES[name](spark, FOLDER)
+    rows = df.collect()
+    assert rows and df.columns == list(dict.fromkeys(df.columns)) and not all(v is None for v in rows[0])
