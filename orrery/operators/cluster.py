@@ -321,16 +321,14 @@ def tracks(detections: DataFrame, reach: float = 1.0, low: float = 0.55, high: f
 def recognition_picks(tracked: DataFrame) -> DataFrame:
     """video, track, id, role: the best face of a track, a second two frames away (or the next), and up to two more."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["rank", "id"], ascending=[False, True]).itertuples())
-        first, rest = rows[0], rows[1:]
-        second = next((r for r in rest if abs(r.frame - first.frame) >= 2), rest[0] if rest else None)
-        rest = [r for r in rest if r is not second]
-        rest = rest if len(rest) <= 2 else [rest[0], rest[-1]]
-        out = [(first, "best"), *([(second, "second")] if second else []), *((r, "extra") for r in rest)]
-        return pd.DataFrame([(r.video, r.track, r.id, role) for r, role in out], columns=["video", "track", "id", "role"])
-
-    return tracked.select("video", "track", "id", "frame", "rank").groupBy("video", "track").applyInPandas(run, "video long, track int, id long, role string")
+    track = Window.partitionBy("video", "track")
+    order = track.orderBy(F.desc("rank"), "id")
+    x = tracked.select("video", "track", "id", F.row_number().over(order).alias("place"), (F.abs(F.col("frame") - F.first("frame").over(order)) >= 2).alias("far"))
+    x = x.withColumn("second", F.coalesce(F.min(F.when((F.col("place") > 1) & F.col("far"), F.col("place"))).over(track), F.lit(2)))
+    role = F.when(F.col("place") == 1, "best").when(F.col("place") == F.col("second"), "second").otherwise("extra")
+    same = Window.partitionBy("video", "track", "role")
+    x = x.withColumn("role", role).withColumn("at", F.row_number().over(same.orderBy("place"))).withColumn("n", F.count(F.lit(1)).over(same))
+    return x.where((F.col("role") != "extra") | (F.col("at") == 1) | (F.col("at") == F.col("n"))).select("video", "track", "id", "role")
 
 
 def suppressed(boxes: DataFrame, limit: float = 0.4) -> DataFrame:
