@@ -109,7 +109,7 @@ def stream_batches(x: Library) -> DataFrame:
 def stream_pairs(x: Library) -> DataFrame:
     rows = x.sightings().select(F.col("kind").alias("video"), F.timestamp_millis("ts_ms").alias("ts"), "person")
     parts = I.split(rows, "ts")
-    found = I.drained(B.together_stream(I.follow_parts(x.spark, parts, rows), I.follow_parts(x.spark, parts, rows), 60_000))
+    found = I.drained(B.together_stream(I.follow_parts(x.spark, parts, rows), I.follow_parts(x.spark, parts, rows), 600_000))
     return found.select("video", F.unix_millis("ts").alias("ts_ms"), "person", "other", F.unix_millis("other_ts").alias("other_ms"))
 
 
