@@ -25,3 +25,12 @@ def test_new_arrivals_counts_every_month(spark, tmp_path):
     assert have == [(1997, 1)] == [row[:2] for row in duck.execute(SQL["new_arrivals"]).fetchall()]
     months = spark.createDataFrame([(1, 0, 9)] + [(2, 24 + k, 1) for k in range(4)], "person_id long, month int, n long")
     assert [(r.year, r.n, r.month) for r in L.new_arrivals(months, people=1).collect()] == [(2, 1, 24)]
+
+
+def test_on_this_day_looks_at_every_photo(spark):
+    """The best photo is the last of 1,600 in a day."""
+    at = 1_000 * DAY
+    dates = spark.range(1600).selectExpr("id AS key", f"{at} + id AS taken_ms", "1 AS src", "false AS junk")
+    scores = spark.range(1600).selectExpr("id AS media_key", "if(id = 1599, 250.0D, 3.0D) AS score")
+    ranges = spark.createDataFrame([(1972, at, at + DAY)], "year int, start long, end long")
+    assert [(r.total, r.best) for r in M.on_this_day(dates, scores, ranges).collect()] == [(1600, 250.0)]
