@@ -6,6 +6,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +73,29 @@ def entry_cost(size: Column, path: Column, listed: bool) -> Column:
 def parts(entries: DataFrame, limit: int) -> DataFrame:
     """job, ord, part of entries (job, ord, cost): the next part begins where one more would pass limit - RESERVE.
 
-    limit 0: one part.  A fold over a job's costs, in the JVM, keeps only where parts begin; an entry's part is how many
-    have begun by then.  A job is one user's export, and ord numbers its entries.
+    limit 0: one part.  A job's entries come sorted to their task and are gone through as they come, with the room used and
+    the number of the part as all that is kept.  A job is one user's export, and ord numbers its entries.
     """
     room = limit - RESERVE if limit else 0
-    entries = entries.select("job", F.col("ord").cast("long").alias("ord"), F.col("cost").cast("long").alias("cost"))
-    items = F.sort_array(F.collect_list(F.struct("ord", "cost")))
-
-    def step(s: Column, x: Column) -> Column:
-        over = (F.lit(room) > 0) & (s["used"] > 0) & (s["used"] + x["cost"] > room)
-        begins = F.when(over, F.concat(s["begins"], F.array(x["ord"]))).otherwise(s["begins"])
-        return F.struct(F.when(over, x["cost"]).otherwise(s["used"] + x["cost"]).alias("used"), begins.alias("begins"))
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("begins"))
-    begins = entries.groupBy("job").agg(F.aggregate(items, start, step)["begins"].alias("begins"))
-    # One row for each beginning, so that parts are a running count.
-    marks = begins.select("job", F.explode("begins").alias("ord"), F.lit(1).alias("mark"))
-    found = entries.join(marks, ["job", "ord"], "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
-    so_far = Window.partitionBy("job").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return found.select("job", "ord", F.sum("mark").over(so_far).cast("int").alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, part = (), 0, 0
+        for batch in batches:
+            found = []
+            for job, cost in zip(batch["job"].to_pylist(), batch["cost"].to_pylist(), strict=True):
+                if (job,) != now:
+                    now, used, part = (job,), 0, 0
+                # A sum with an unknown cost stays unknown, as in SQL.
+                total = None if used is None or cost is None else used + cost
+                if total is not None and room > 0 and used > 0 and total > room:
+                    part, total = part + 1, cost
+                used = total
+                found.append(part)
+            yield pa.RecordBatch.from_arrays([batch["job"], batch["ord"], pa.array(found, pa.int32())], ["job", "ord", "part"])
+
+    rows = entries.select("job", F.col("ord").cast("long").alias("ord"), F.col("cost").cast("long").alias("cost"))
+    kind = rows.schema["job"].dataType.simpleString()
+    return rows.repartition("job").sortWithinPartitions("job", "ord", "cost").mapInArrow(run, f"job {kind}, ord long, part int")
 
 
 def part_name(base: Column, part: Column, n: Column) -> Column:
