@@ -29,14 +29,18 @@ def mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
     """id, person, at: people of people (id, name) named in texts (id, text) as whole words, whatever the case.
 
     A name that several people have says nothing, and is left out.  at: place of the first match, from 0.  Candidates
-    meet on the first word of a name, so texts and people are joined by key.
+    meet on the first word of a name, so texts and people are joined by key; what is dealt out for that is a text's id and
+    words, and the text itself once.
     """
     named = people.where("trim(name) <> ''")
     alone = named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).where("n = 1").select(F.col("id").alias("person"), "name")
     alone = alone.withColumn("word", F.regexp_extract(F.lower("name"), "[a-z0-9_]+", 0))
-    words = texts.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
     pattern = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), F.col("name"), F.lit(r"\E(?![A-Za-z0-9_])"))
-    found = words.join(alone, "word").withColumn("at", F.regexp_instr("text", pattern) - 1).where("at >= 0")
+    # Once for each id, with its people in one row, so that a text isn't copied for them.
+    asked = words.join(alone, "word").groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("person", "name")).alias("asked"))
+    found = texts.select("id", "text").join(asked, F.col("id").eqNullSafe(F.col("of"))).select("id", "text", F.inline("asked"))
+    found = found.withColumn("at", F.regexp_instr("text", pattern) - 1).where("at >= 0")
     return found.select("id", "person", "name", "at").distinct()
 
 
