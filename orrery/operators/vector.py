@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: How many rows of a block meet another block at once.
+AT_ONCE = 256
+
 #: How many collections are scored at once.
 MOST_SPECS = 1024
 
@@ -52,7 +55,8 @@ def knn(index: DataFrame, query: DataFrame, k: int, content: str = "all", keys:
 def block_join(left: DataFrame, right: DataFrame, meet: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, size: int = 4096) -> DataFrame:
     """What meet(left ids, left vectors, right ids, right vectors) gives for all blocks of ``size`` rows of both sides (id, v).
 
-    Every task holds two blocks, however many rows there are; vectors of other lengths than a block's left ones aren't met.
+    Every task holds two blocks, however many rows there are, of which AT_ONCE left rows meet all right ones at a time, so its
+    products are small; meet sees each left row once for a block of right ones.  Vectors of other lengths than a block's left ones aren't met.
     """
     parts = [max(1, -(-x.count() // size)) for x in (left, right)]
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -66,7 +70,8 @@ def block_join(left: DataFrame, right: DataFrame, meet: Callable[[np.ndarray, np
         if not own.any() or own.all():
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         ids, x = pdf.id.to_numpy(), np.stack(pdf.v.to_numpy()).astype(np.float64)
-        return meet(ids[own], x[own], ids[~own], x[~own])
+        left_ids, left, right_ids, right = ids[own], x[own], ids[~own], x[~own]
+        return pd.concat([meet(left_ids[k : k + AT_ONCE], left[k : k + AT_ONCE], right_ids, right) for k in range(0, len(left), AT_ONCE)], ignore_index=True)
 
     return left.unionByName(right).groupBy("length", "i", "j").applyInPandas(run, schema)
 
