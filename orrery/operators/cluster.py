@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,29 +295,39 @@ def two_groups(faces: DataFrame, least_share: float = 0.1, rounds: int = 15) ->
 
 def tracks(detections: DataFrame, reach: float = 1.0, low: float = 0.55, high: float = 1.8) -> DataFrame:
     """video, id, track of detections (video, id, frame, cx, cy, size, rank): each face, clearest first, continues the
-    nearest unused one of the frame before within reach (in face sizes) and of like size, or starts a track."""
+    nearest unused one of the frame before within reach (in face sizes) and of like size, or starts a track.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before, count = [], [], 0
-        for _, frame in pdf.sort_values(["frame", "rank", "id"], ascending=[True, False, True]).groupby("frame"):
-            now, used = [], set()
-            for d in frame.itertuples():
-                best = (reach, None)
-                for k, (p, track) in enumerate(before):
-                    apart = float(np.hypot(d.cx - p.cx, d.cy - p.cy)) / max(d.size, p.size)
-                    if k not in used and apart < best[0] and low <= d.size / p.size <= high:
-                        best = (apart, k)
-                if best[1] is None:
+    Faces come sorted to their task and are gone through as they come: what is kept are those of two frames.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, frame, before, now, used, count = (), None, [], [], set(), 0
+        for batch in batches:
+            found = []
+            for v, f, x, y, size in zip(*(batch[c].to_pylist() for c in ("video", "frame", "cx", "cy", "size")), strict=True):
+                if (v,) != video:
+                    video, frame, before, now, used, count = (v,), f, [], [], set(), 0
+                elif f != frame:
+                    frame, before, now, used = f, now, [], set()
+                best, at = reach, None
+                for k, (px, py, other, _) in enumerate(before):
+                    if k not in used:
+                        apart = abs(complex(x - px, y - py)) / max(size, other)
+                        if apart < best and low <= size / other <= high:
+                            best, at = apart, k
+                if at is None:
                     track, count = count, count + 1
                 else:
-                    track = before[best[1]][1]
-                    used.add(best[1])
-                now.append((d, track))
-                out.append((d.video, d.id, track))
-            before = now
-        return pd.DataFrame(out, columns=["video", "id", "track"])
-
-    return detections.select("video", "id", "frame", "cx", "cy", "size", "rank").groupBy("video").applyInPandas(run, "video long, id long, track int")
+                    track = before[at][3]
+                    used.add(at)
+                now.append((x, y, size, track))
+                found.append(track)
+            yield pa.RecordBatch.from_arrays([batch["video"], batch["id"], pa.array(found, pa.int32())], ["video", "id", "track"])
+
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    rows = detections.where("frame is not null").select(F.col("video").cast("long").alias("video"), F.col("id").cast("long").alias("id"), "frame", *map(number, ("cx", "cy", "size", "rank")))
+    rows = rows.repartition("video").sortWithinPartitions("video", "frame", F.desc(F.nullif(F.col("rank"), F.lit(float("nan")))), "id")
+    return rows.mapInArrow(run, "video long, id long, track int")
 
 
 def recognition_picks(tracked: DataFrame) -> DataFrame:
