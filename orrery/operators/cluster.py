@@ -240,18 +240,34 @@ def identify(faces: DataFrame, people: DataFrame, least: float) -> DataFrame:
     return found.where(F.col("score") >= least).select(F.col("query").alias("ord"), F.col("ord").alias("person"), "score")
 
 
-def mutual_match(a: DataFrame, b: DataFrame) -> DataFrame:
+def mutual_match(a: DataFrame, b: DataFrame, size: int = 2048) -> DataFrame:
     """pair, score: for pairs of faces' groups (pair, id, embedding) the smaller of both sides' mean of their three best
-    per-face bests; pairs with fewer than two faces on a side fall out.  A pair's faces meet by key."""
-    x = a.select("pair", F.col("id").alias("ia"), F.col("embedding").alias("ea")).join(b.select("pair", F.col("id").alias("ib"), F.col("embedding").alias("eb")), "pair")
-    x = x.withColumn("s", dot(F.col("ea"), F.col("eb")))
-    sides = []
-    for own in ("ia", "ib"):
-        best = x.groupBy("pair", own).agg(F.max("s").alias("s"))
-        rank = F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("s")))
-        top = best.withColumn("place", rank).groupBy("pair").agg(F.avg(F.when(F.col("place") <= 3, F.col("s"))).alias("mean"), F.count(F.lit(1)).alias("n"))
-        sides.append(top.where("n >= 2").select("pair", F.col("mean").alias(own)))
-    return sides[0].join(sides[1], "pair").select("pair", F.least("ia", "ib").alias("score"))
+    per-face bests; pairs with fewer than two faces on a side fall out.
+
+    A pair's faces meet in blocks of about ``size`` of both sides, of which only the best of each face is kept.
+    """
+    parts = lambda x, n: x.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n))
+    both = parts(a, "ni").join(parts(b, "nj"), "pair")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(both, "pair").select("pair", "id", "embedding", own("ni").alias("i"), each("nj").alias("j"), F.lit(True).alias("is_left"))
+    right = b.join(both, "pair").select("pair", "id", "embedding", each("ni").alias("i"), own("nj").alias("j"), F.lit(False).alias("is_left"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = np.full(len(pdf), np.nan)
+        side, length = pdf.is_left.to_numpy(bool), pdf.embedding.map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for n in set(length[side]) & set(length[~side]) - {-1}:
+            x, y = (np.flatnonzero(s & (length == n)) for s in (side, ~side))
+            vectors = lambda at: np.stack(pdf.embedding.to_numpy()[at]).astype(np.float64)
+            near = vectors(x) @ vectors(y).T
+            best[x], best[y] = np.fmax.reduce(near, axis=1), np.fmax.reduce(near, axis=0)
+        return pd.DataFrame({"pair": pdf.pair, "is_left": side, "id": pdf.id, "s": best})
+
+    found = left.unionByName(right).groupBy("pair", "i", "j").applyInPandas(run, f"pair {a.schema['pair'].dataType.simpleString()}, is_left boolean, id {a.schema['id'].dataType.simpleString()}, s double")
+    best = found.groupBy("pair", "is_left", "id").agg(F.max(F.nullif(F.col("s"), F.lit(float("nan")))).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("pair", "is_left").orderBy(F.desc("s")))
+    top = best.withColumn("place", rank).groupBy("pair", "is_left").agg(F.avg(F.when(F.col("place") <= 3, F.col("s"))).alias("mean"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return top.groupBy("pair").agg(F.count(F.lit(1)).alias("sides"), F.min("mean").alias("score")).where("sides = 2").select("pair", "score")
 
 
 def two_groups(faces: DataFrame, least_share: float = 0.1, rounds: int = 15) -> DataFrame:
