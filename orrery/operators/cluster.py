@@ -56,6 +56,7 @@ class Groups:
         self.photos: dict[int, set] = {}
         self.inside: dict[int, set] = {}
         self.in_video: dict[tuple, int] = {}
+        self.changed: set[int] = set()  # whose looks or clearest faces are others than when people were merged last
 
     def room(self, n: int) -> None:
         """Space for n looks at least."""
@@ -80,6 +81,7 @@ class Groups:
         else:
             self.put(self.looks, person, e)
             self.looks += 1
+        self.changed.add(person)
         self.count[person] = self.count.get(person, 0) + 1
         self.clear[person] = sorted([*self.clear.get(person, []), (rank, e)], key=lambda x: -x[0])[:CLEAREST]
         self.bound(person)
@@ -97,9 +99,8 @@ class Groups:
     def nearest(self, e: np.ndarray, least: float, out: set) -> int | None:
         """The person with the look nearest to e, at ``least`` or above and not among ``out``."""
         near = self.centres[: self.looks] @ e
-        for i in np.argsort(-near, kind="stable"):
-            if near[i] < least:
-                return None
+        enough = np.flatnonzero(near >= least)
+        for i in enough[np.argsort(-near[enough], kind="stable")]:
             if int(self.owner[i]) not in out:
                 return int(self.owner[i])
         return None
@@ -131,31 +132,77 @@ class Groups:
         """
         into: dict[int, int] = {}
         order = sorted(self.count, key=lambda p: (-self.count[p], -p))
+        place = {p: k for k, p in enumerate(order)}
+        # A pair that did not merge last time and has not changed since does not merge now: photos only add up.
+        changed = [p for p in order if p in self.changed]
+        self.changed.clear()
+        partners: dict[int, set] = {}
+
+        def compare(people: list[int]) -> None:
+            for a, b in self.alike(people):
+                partners.setdefault(a, set()).add(b)
+                partners.setdefault(b, set()).add(a)
+
+        # Of two that merge the larger has two faces and more.
+        compare([p for p in changed if self.count[p] > 1] if len(changed) == len(order) else changed)
         for k, a in enumerate(order):
             if a in into:
                 continue
             if self.count[a] <= 1:
                 break
-            for b in order[k + 1 :]:
-                if b in into or (a in pinned and b in pinned) or (a in named and b in named) or (min(a, b), max(a, b)) in rejected:
-                    continue
-                x, y = (self.owner[: self.looks] == p for p in (a, b))
-                near = (self.centres[: self.looks][x] @ self.centres[: self.looks][y].T).max(initial=-1.0)
-                if near < BEFORE_LINK or self.photos[a] & self.photos[b]:
-                    continue
-                if near < self.limits.merge:
-                    pairs = np.sort((np.stack([e for _, e in self.clear[a]]) @ np.stack([e for _, e in self.clear[b]]).T).ravel())
-                    if len(pairs) < 3 or pairs[-3:].mean() < self.limits.link:
+            at, gone = k, None
+            while gone != a and (left := [place[b] for b in partners.get(a, ()) if place[b] > at]):
+                for at in sorted(left):
+                    b = order[at]
+                    if b in into or (a in pinned and b in pinned) or (a in named and b in named) or (min(a, b), max(a, b)) in rejected or self.photos[a] & self.photos[b]:
                         continue
-                keep, gone = (b, a) if b in named or (b in pinned and a not in named) else (a, b)
-                into[gone] = keep
-                self._absorb(keep, gone)
-                if gone == a:
+                    keep, gone = (b, a) if b in named or (b in pinned and a not in named) else (a, b)
+                    into[gone] = keep
+                    self._absorb(keep, gone)
+                    for p in (keep, gone):
+                        for q in partners.pop(p, ()):
+                            partners.get(q, set()).discard(p)
+                    compare([keep])
+                    break
+                else:
                     break
         return into
 
+    def alike(self, people: list[int], size: int = 256) -> Iterator[tuple[int, int]]:
+        """Pairs of these people and any others whose looks are as near as ``merge``, or BEFORE_LINK and their clearest faces
+        as near as ``link``; vectors of some of these people meet those of all at a time."""
+        owner, centres = self.owner[: self.looks], self.centres[: self.looks]
+        known = list(self.clear)
+        faces = np.stack([e for p in known for _, e in self.clear[p]]) if known else centres[:0]
+        whose = np.repeat(np.array(known, np.int64), [len(self.clear[p]) for p in known])
+        for start in range(0, len(people), size // 4):
+            some = np.array(people[start : start + size // 4], np.int64)
+            near: dict[tuple[int, int], float] = {}
+            for own in self._slices(np.flatnonzero(np.isin(owner, some)), size):
+                s = centres[own] @ centres.T
+                i, j = np.nonzero(s >= BEFORE_LINK)
+                for pair, value in zip(zip(owner[own[i]].tolist(), owner[j].tolist(), strict=True), s[i, j].tolist(), strict=True):
+                    if pair[0] != pair[1] and value > near.get(pair, -1.0):
+                        near[pair] = value
+            may = set()
+            for own in self._slices(np.flatnonzero(np.isin(whose, some)), size):
+                i, j = np.nonzero(faces[own] @ faces.T >= self.limits.link - 1e-9)
+                may.update(zip(whose[own[i]].tolist(), whose[j].tolist(), strict=True))
+            for (a, b), value in near.items():
+                if value >= self.limits.merge or ((a, b) in may and self._linked(a, b)):
+                    yield a, b
+
+    @staticmethod
+    def _slices(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        return (rows[k : k + size] for k in range(0, len(rows), size))
+
+    def _linked(self, a: int, b: int) -> bool:
+        pairs = np.sort((np.stack([e for _, e in self.clear[a]]) @ np.stack([e for _, e in self.clear[b]]).T).ravel())
+        return len(pairs) >= 3 and pairs[-3:].mean() >= self.limits.link
+
     def _absorb(self, keep: int, gone: int) -> None:
         self.owner[: self.looks][self.owner[: self.looks] == gone] = keep
+        self.changed.add(keep)
         self.count[keep] += self.count.pop(gone)
         self.clear[keep] = sorted(self.clear[keep] + self.clear.pop(gone), key=lambda x: -x[0])[:CLEAREST]
         for photo in self.photos.pop(gone):

@@ -91,6 +91,7 @@ class People(StatefulProcessor):
             for i, look in zip(at.tolist(), np.frombuffer(looks).reshape(len(at), -1), strict=True):
                 groups.put(i, person, look)
             if n:
+                groups.changed.add(person)
                 groups.count[person] = n
                 groups.clear[person] = list(zip(np.frombuffer(ranks).tolist(), np.frombuffer(clear).reshape(-1, dim), strict=True))
         groups.looks = total
