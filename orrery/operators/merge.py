@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.cluster import BEFORE_LINK, CLEAREST, MOST_LOOKS, Groups, Thresholds, unit
-from orrery.operators.vector import block_join, dot
+from orrery.operators.cluster import BEFORE_LINK, CLEAREST, Groups, Thresholds, unit
+from orrery.operators.vector import AT_ONCE, block_join
 from orrery.shared import written
 
+#: Bytes of vectors in a block of people.
+BLOCK_BYTES = 1 << 23
 _PROFILE = "person long, n long, looks array<array<double>>, clear array<struct<rank:double,e:array<double>>>"
 
 
@@ -50,37 +53,78 @@ def profiles(faces: DataFrame, limits: Thresholds) -> DataFrame:
     return rows.repartition("person").sortWithinPartitions("person", F.desc("rank"), "id").select("person", "rank", "embedding").mapInPandas(run, _PROFILE)
 
 
-def _looks(people: DataFrame) -> DataFrame:
-    """id, v for every look; an id is the person's with the look's place in its last three bits."""
-    looks = people.select("person", F.posexplode("looks").alias("place", "v"))
-    return looks.select((F.col("person") * 8 + F.col("place")).alias("id"), "v")
+def like_pairs(changed: DataFrame, people: DataFrame, limits: Thresholds) -> DataFrame:
+    """a, b (a < b), near: pairs of a changed and any person that are alike enough; near: of their most alike looks.
 
-
-def look_pairs(changed: DataFrame, people: DataFrame) -> DataFrame:
-    """a, b (a < b), near: pairs of a changed and any person whose looks are BEFORE_LINK alike and more."""
-
-    def meet(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        near = unit(x) @ unit(y).T
-        i, j = np.nonzero(near >= BEFORE_LINK)
-        pairs = pd.DataFrame({"a": a[i] // 8, "b": b[j] // 8, "near": near[i, j]})
-        return pairs[pairs.a != pairs.b].groupby(["a", "b"], as_index=False).near.max()
-
-    met = block_join(_looks(changed), _looks(people), meet, "a long, b long, near double")
+    Alike enough: looks at ``merge``, or looks at BEFORE_LINK and of three pairs of clear faces and more the best three at ``link``
+    on average.  A task holds two blocks of about BLOCK_BYTES of vectors, of which AT_ONCE faces of whole people meet all others
+    at a time, and only the like pairs leave it.
+    """
+    vectors = (F.flatten("looks").alias("looks"), F.flatten(F.transform("clear", lambda c: c["e"])).alias("faces"))
+    sides = [x.select("person", F.size(F.col("looks")[0]).alias("length"), *vectors) for x in (changed, people)]
+    parts = [max(1, -(-8 * (x.agg(F.sum(F.size("looks") + F.size("faces"))).first()[0] or 0) // BLOCK_BYTES)) for x in sides]
+    part = lambda n: F.pmod(F.xxhash64("person"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sides[0].select("*", part(parts[0]).alias("i"), each(parts[1]).alias("j"), F.lit(True).alias("is_left"))
+    right = sides[1].select("*", each(parts[0]).alias("i"), part(parts[1]).alias("j"), F.lit(False).alias("is_left"))
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table["is_left"].to_numpy()
+        n, found = table["length"][0].as_py(), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+        def side(some: np.ndarray) -> tuple[np.ndarray, ...]:
+            rows = table.filter(pa.array(some))
+            out = [rows["person"].to_numpy()]
+            for c in ("looks", "faces"):
+                lists = rows[c].combine_chunks()
+                out += [lists.flatten().to_numpy().reshape(-1, n), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy() // n)])]
+            out[1] = unit(out[1])
+            return tuple(out)
+
+        def places(ends: np.ndarray, none: int) -> np.ndarray:
+            """Where each person's clear faces are, none for those that they lack."""
+            at = ends[:-1, None] + np.arange(CLEAREST)
+            return np.where(at < ends[1:, None], at, none)
+
+        def meet(a: tuple, b: tuple, low: int, high: int) -> None:
+            ids, looks, ends, faces, face_ends = a
+            others, other_looks, other_ends, other_faces, other_face_ends = b
+            near = looks[ends[low] : ends[high]] @ other_looks.T
+            near = np.maximum.reduceat(np.maximum.reduceat(near, other_ends[:-1], axis=1), ends[low:high] - ends[low], axis=0)
+            like = near >= limits.merge
+            # The best three can be at ``link`` on average only where the best is.
+            face = np.full((face_ends[high] - face_ends[low] + 1, len(other_faces) + 1), -9.0)
+            face[:-1, :-1] = faces[face_ends[low] : face_ends[high]] @ other_faces.T
+            i, j = np.nonzero(face >= limits.link - 1e-9)
+            may = np.zeros_like(like)
+            may[np.searchsorted(face_ends[low : high + 1] - face_ends[low], i, "right") - 1, np.searchsorted(other_face_ends, j, "right") - 1] = True
+            may &= ~like & (near >= BEFORE_LINK) & (np.diff(face_ends[low : high + 1])[:, None] * np.diff(other_face_ends) >= 3)
+            i, j = np.nonzero(may)
+            rows, cols = places(face_ends[low : high + 1] - face_ends[low], len(face) - 1), places(other_face_ends, len(other_faces))
+            for k in range(0, len(i), 1 << 14):
+                p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                best = np.partition(face[rows[p][:, :, None], cols[q][:, None, :]].reshape(len(p), -1), (-3, -2, -1), axis=1)[:, -3:]
+                like[p, q] = (best[:, 2] + best[:, 1] + best[:, 0]) / 3 >= limits.link
+            i, j = np.nonzero(like)
+            other = ids[low:high][i] != others[j]
+            found.append((ids[low:high][i[other]], others[j[other]], near[i[other], j[other]]))
+
+        if own.any() and not own.all():
+            a, b = side(own), side(~own)
+            step = max(1, AT_ONCE // CLEAREST)
+            for low in range(0, len(a[0]), step):
+                meet(a, b, low, min(low + step, len(a[0])))
+        return pa.table(dict(zip(("a", "b", "near"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    met = left.unionByName(right).groupBy("length", "i", "j").applyInArrow(run, "a long, b long, near double")
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near"))
 
 
-def strong(pairs: DataFrame, people: DataFrame, rejected: DataFrame, limits: Thresholds) -> DataFrame:
-    """a, b, near of the pairs that may be one: alike enough, not both pinned or both named, not rejected.
-
-    Alike enough: looks at ``merge``, or of three pairs of clear faces and more the best three at ``link`` on average.
-    """
-    side = lambda p: people.select(F.col("person").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("clear", "pinned", "named")))
+def allowed(pairs: DataFrame, people: DataFrame, rejected: DataFrame) -> DataFrame:
+    """a, b, near of the pairs that may be one: not both pinned or both named, not rejected."""
+    side = lambda p: people.select(F.col("person").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("pinned", "named")))
     x = pairs.join(rejected.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b")
-    x = x.where(~(F.col("pinned_a") & F.col("pinned_b")) & ~(F.col("named_a") & F.col("named_b")))
-    each = F.flatten(F.transform("clear_a", lambda p: F.transform("clear_b", lambda q: dot(p["e"], q["e"]))))
-    best = F.slice(F.sort_array(each, asc=False), 1, 3)
-    mean: Column = F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / 3
-    return x.where((F.col("near") >= limits.merge) | ((F.size(each) >= 3) & (mean >= limits.link))).select("a", "b", "near")
+    return x.where(~(F.col("pinned_a") & F.col("pinned_b")) & ~(F.col("named_a") & F.col("named_b"))).select("a", "b", "near")
 
 
 def apart(pairs: DataFrame, photos: DataFrame) -> DataFrame:
@@ -130,7 +174,7 @@ def merge_people(faces: DataFrame, people: DataFrame, rejected: DataFrame, limit
     photos = written(faces.where("person is not null").select("person", "media_key").distinct())
     no = written(rejected.select("a", "b"))
     into = written(own.select("person", F.col("person").alias("into")))
-    pairs = written(apart(strong(look_pairs(own, own), own, no, limits), photos))
+    pairs = written(apart(allowed(like_pairs(own, own, limits), own, no), photos))
     while not pairs.isEmpty():
         side = lambda p: own.select(F.col("person").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("n", "pinned", "named")))
         first = lambda p, q: F.struct(F.col(f"named_{p}"), F.col(f"pinned_{p}"), F.col(f"n_{p}"), F.col(p)) > F.struct(F.col(f"named_{q}"), F.col(f"pinned_{q}"), F.col(f"n_{q}"), F.col(q))
@@ -151,7 +195,7 @@ def merge_people(faces: DataFrame, people: DataFrame, rejected: DataFrame, limit
         old = pairs
         for c in ("a", "b"):
             old = old.join(touched.withColumnRenamed("person", c), c, "left_anti")
-        pairs = written(old.select("a", "b", "near").unionByName(apart(strong(look_pairs(changed, own), own, no, limits), photos)))
+        pairs = written(old.select("a", "b", "near").unionByName(apart(allowed(like_pairs(changed, own, limits), own, no), photos)))
     return into.where("person <> into")
 
 
@@ -192,5 +236,3 @@ def name_frames(faces: DataFrame, looks: DataFrame, least: float) -> DataFrame:
     named = wants.groupBy("frame").agg(F.aggregate(queue, start, choose).alias("named"))
     return named.select("frame", F.inline("named"))
 
-
-assert MOST_LOOKS <= 8, "the place of a look has three bits"

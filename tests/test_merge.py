@@ -72,6 +72,32 @@ def test_nobody_to_merge(spark):
     assert M.merge_people(spark.createDataFrame([], FACES), spark.createDataFrame([], PEOPLE), spark.createDataFrame([], PAIRS), LIMITS).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 23, 1 << 13])
+def test_like_pairs_meet_in_blocks(spark, monkeypatch, size):
+    """By looks, by three clear faces, and neither; only like pairs leave a task, so no pair is joined with its vectors."""
+    monkeypatch.setattr(M, "BLOCK_BYTES", size)
+    rng = np.random.default_rng(3)
+    people = []
+    for p in range(120):
+        centre = C.unit(rng.normal(size=6))
+        clear = [(float(-k), C.unit(centre + 0.6 * rng.normal(size=6)).tolist()) for k in range(int(rng.integers(1, 11)))]
+        people.append((p, len(clear), (2 * C.unit(centre + rng.normal(size=(int(rng.integers(1, 7)), 6)))).tolist(), clear, False, False))
+    limits = C.Thresholds(merge=0.93, link=0.94)
+    of = lambda rows: spark.createDataFrame(rows, f"{M._PROFILE}, pinned boolean, named boolean")
+    want, by_faces = {}, 0
+    for a in people[:50]:
+        for b in people:
+            near = float((C.unit(np.array(a[2])) @ C.unit(np.array(b[2])).T).max())
+            best = sorted((float(np.dot(x, y)) for _, x in a[3] for _, y in b[3]), reverse=True)[:3]
+            linked = near >= C.BEFORE_LINK and len(best) == 3 and sum(best) / 3 >= limits.link
+            by_faces += linked and near < limits.merge
+            if a[0] != b[0] and (near >= limits.merge or linked):
+                want[min(a[0], b[0]), max(a[0], b[0])] = round(near, 9)
+    found = M.like_pairs(of(people[:50]), of(people), limits)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert {(r.a, r.b): round(r.near, 9) for r in found.collect()} == want and 0 < by_faces < len(want)
+
+
 def test_faces_of_frames_are_named_once(spark):
     rng = np.random.default_rng(7)
     looks = [(p, (c / np.linalg.norm(c)).tolist()) for p in range(5) for c in rng.normal(size=(2, 6))]
