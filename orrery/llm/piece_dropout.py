@@ -21,7 +21,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from orrery.llm.columns import unused
 from orrery.llm.text import mix
 from orrery.shipping import ship
 
-SHORT, AT_ONCE = 60, 1 << 22
+SHORT, AT_ONCE = 60, 1 << 21
 _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,:;!?#%&*$|]"
 _UNITS = re.compile(rf" *(?:{_LETTER}+(?={_SIGN})|[^ \n]+)|\n| +")
 _REACHES = re.compile(rf"[^ ] |\n|{_LETTER}{_SIGN}")
@@ -249,8 +249,8 @@ class Encoder:
     def encode_texts(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts, and where those of each end."""
         found = [_UNITS.findall(f" {t}") if t else () for t in texts]
-        index: defaultdict[str, int] = defaultdict()
-        index.default_factory = index.__len__
+        # Counted by an iterator of its own: by its own length it would refer to itself, and all lots would stay in memory.
+        index: defaultdict[str, int] = defaultdict(count().__next__)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         unit = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, counts.sum())
         different = list(index)

@@ -1,7 +1,8 @@
 import base64
+import gc
 import itertools
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -32,6 +33,21 @@ def test_pieces_without_dropout_are_the_usual_ones(spark):
             assert own.encode(t, "").tolist() == sp.encode(t)
 
 
+def test_encoding_leaves_no_lot_in_memory():
+    """What a lot needs goes when it is done, and doesn't wait for a collection of cycles."""
+    encoder = P.Encoder(P.Vocabulary(vocabulary("piece_bpe_32k.model")), 0.1, 1)
+    held = lambda: sum(type(x) is defaultdict for x in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        before = held()
+        for k in range(5):
+            encoder.encode_texts([f"lot {k} of words", *TEXTS[-2:]], ["a", "b", "c"])
+        assert held() == before
+    finally:
+        gc.enable()
+
+
 def test_dropout_varies_and_decodes(spark):
     vocabulary_ = P.Vocabulary(model := vocabulary("piece_bpe_32k.model"))
     a, b, decoder = P.Encoder(vocabulary_, 0.1, 1), P.Encoder(vocabulary_, 0.1, 2), P.Decoder(vocabulary_)
