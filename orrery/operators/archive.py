@@ -73,9 +73,10 @@ def _joined(pieces: pd.Series) -> pd.DataFrame:
 def chunked(files: DataFrame, size: int = CHUNK) -> DataFrame:
     """job, part, ord, chunk, data of files (job, part, ord, content); an empty file has one empty chunk, a null one a null."""
     last = F.greatest(F.ceil(F.octet_length("content") / size) - 1, F.lit(0))
-    places = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)).cast("long")))
-    rows = files.select(*_KEY, "content", places.alias("chunk"))
-    return rows.select(*_KEY, "chunk", F.substring("content", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).cast("binary").alias("data"))
+    places = F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)).cast("long"))
+    # Cut before they are dealt out, so that no chunk's row carries the whole content.
+    pieces = F.transform(places, lambda k: F.substring(F.col("content"), (k * size + 1).cast("int"), F.lit(size)).cast("binary"))
+    return files.select(*_KEY, F.posexplode(pieces).alias("chunk", "data")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 def read_chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:

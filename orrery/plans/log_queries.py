@@ -163,11 +163,17 @@ def frame_names(x: Library) -> DataFrame:
 # ---- archives, folders, state and functions of callers
 
 
+#: Entries of archives that are listed at once.
+LISTED = 1024
+
+
 def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What an ordinary reader finds in archives: job, part, path, size, md5."""
+    """What an ordinary reader finds in archives: job, part, path, size, md5; LISTED entries at a time."""
     import hashlib
     import zipfile
 
+    found: list[tuple] = []
+    names = ["job", "part", "path", "size", "md5"]
     for pdf in frames:
         for job, part, name in zip(pdf.job.tolist(), pdf.part.tolist(), pdf.place.tolist(), strict=True):
             fs, path = pafs.FileSystem.from_uri(name)
@@ -178,7 +184,11 @@ def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         while data := entry.read(1 << 20):
                             digest.update(data)
                             size += len(data)
-                    yield pd.DataFrame([(job, part, info.filename, size, digest.hexdigest())], columns=["job", "part", "path", "size", "md5"])
+                    found.append((job, part, info.filename, size, digest.hexdigest()))
+                    if len(found) == LISTED:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+    yield pd.DataFrame(found, columns=names)
 
 
 @query("SELECT doc_id % 3 AS job, lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5 FROM documents WHERE doc_id % 10 <> 9")

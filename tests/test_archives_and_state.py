@@ -152,3 +152,18 @@ def test_fields_of_a_log(spark):
     with pytest.raises(Exception, match="doesn't know colour"):
         spark.sql("SELECT * FROM log_fields(TABLE(some_log), 'uri,colour')").collect()
 
+
+
+def test_archives_are_listed_many_entries_at_once(tmp_path):
+    import zipfile
+
+    import pandas as pd
+
+    from orrery.plans import log_queries as L
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as out:
+        for k in range(2 * L.LISTED + 5):
+            out.writestr(f"{k}.txt", b"x" * (k % 7))
+    frames = list(L._listed(iter([pd.DataFrame({"job": [1], "part": [0], "place": [str(tmp_path / "a.zip")]})])))
+    assert [len(f) for f in frames] == [L.LISTED, L.LISTED, 5]
+    assert pd.concat(frames)["size"].tolist() == [k % 7 for k in range(2 * L.LISTED + 5)]
