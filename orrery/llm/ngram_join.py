@@ -45,13 +45,15 @@ from orrery.llm.packed import batches, joined, packed, runs
 from orrery.shipping import ship
 
 UNIT, COMMON, BLOCK, PER_BUCKET, MOST_MATCHES = 1 << 21, 64, 4096, 1 << 21, 8
+#: Bytes of text whose words are looked at together, so that a worker's arrays are of a few MB.
+AT_ONCE = 1 << 18
 #: Bits of a shingle's hash that are kept, bits of it that are sent to its bucket, and where its rarity stands in a key.
 _TOKEN, _SENT, _CLASS = 54, 48, 56
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, shingles sorted by row and value, bounds of the rows, signature of each row)."""
-    for at, to, data, offsets in T.chunks(texts):
+    for at, to, data, offsets in T.chunks(texts, AT_ONCE):
         starts, stops, counts = T.words(data, offsets)
         hashes, rows = T.shingle_hashes(T.word_hashes(data, starts, stops, lower=True), counts, k)
         values, bounds = T.distinct_by_row(hashes, rows, to - at)
@@ -95,17 +97,22 @@ def _shingles(nodes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Rows bucket, kind, nodes, keys: of shingles (kind 0), their counts (1), and what goes on to nodes (2)."""
 
-    def unit(n: list, nodes: list, values: list):
-        n, nodes, values = map(np.concatenate, (n, nodes, values))
-        rows = np.repeat(np.arange(len(n)), n)
+    def unit(*held: list):
+        n, nodes, values = map(np.concatenate, held)
+        # What isn't needed any more goes at once: these arrays are a worker's largest.
+        for x in held:
+            x.clear()
+        rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
         _, first = np.unique(nodes, return_index=True)
         keep = np.zeros(len(n), bool)
         keep[first] = True
         keep &= n > 0
         here = keep[rows]
         tokens, rows = (values[here] >> np.uint64(64 - _TOKEN)).view(np.int64), rows[here]
+        del values, here
         order = np.argsort(tokens, kind="stable")
         tokens, rows = tokens[order], rows[order]
+        del order
         new = np.flatnonzero(np.diff(tokens, prepend=-1))
         count = np.diff(np.append(new, len(tokens)))
         common = np.repeat(count >= COMMON, count)
@@ -151,6 +158,7 @@ def _repeated(bits: int, spread: int):
         some = pdf[pdf.kind == 0]
         sent = [_shingles(*x) for x in zip(some.nodes, some["keys"], strict=True)] or [(np.empty(0, np.int64), np.empty(0, np.int64))]
         nodes, tokens = (np.concatenate(x) for x in zip(*sent, strict=True))
+        del sent
         tokens = tokens | (int(pdf.bucket.iloc[0]) >> (bits - _TOKEN + _SENT)) << _SENT
         heavy = pdf[pdf.kind == 1]
         known = np.unique(joined(heavy["keys"], np.int64))
@@ -162,6 +170,7 @@ def _repeated(bits: int, spread: int):
         keep = np.repeat((count > 1) | also, count)
         order = np.lexsort((nodes[keep], tokens[keep]))
         tokens, nodes = tokens[keep][order], nodes[keep][order]
+        del keep, order
         one = (np.diff(tokens, prepend=-1) != 0) | (np.diff(nodes, prepend=0) != 0)
         if len(one):
             one[0] = True

@@ -34,7 +34,7 @@ from orrery.llm.columns import unused
 from orrery.llm.text import mix
 from orrery.shipping import ship
 
-SHORT, AT_ONCE = 60, 1 << 21
+SHORT, AT_ONCE = 60, 1 << 20
 _LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,:;!?#%&*$|]"
 _UNITS = re.compile(rf" *(?:{_LETTER}+(?={_SIGN})|[^ \n]+)|\n| +")
 _REACHES = re.compile(rf"[^ ] |\n|{_LETTER}{_SIGN}")

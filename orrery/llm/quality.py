@@ -16,11 +16,11 @@ without examples every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -30,6 +30,8 @@ from orrery.llm.columns import unused
 from orrery.shipping import ship
 
 BITS, PART, EPOCHS, SAMPLE = 18, 5000, 3, 20_000
+#: Bytes of text whose words are looked at together, so that a worker's arrays are of a few MB.
+AT_ONCE = 1 << 18
 #: The feature of any word that follows itself.
 _SAME = np.uint64(0x5851F42D4C957F2D)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 1.0
@@ -37,7 +39,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 1.0
 
 def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, features, how many of them each row has, number of words of each row)."""
-    for at, to, data, offsets in T.chunks(texts):
+    for at, to, data, offsets in T.chunks(texts, AT_ONCE):
         starts, stops, counts = T.class_runs(data, offsets)
         one = T.word_hashes(data, starts, stops)
         rows = np.repeat(np.arange(to - at), counts)
@@ -50,7 +52,7 @@ def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield at, to, (both[order] >> np.uint64(64 - BITS)).astype(np.int32), np.bincount(of, minlength=to - at), counts
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+def train(examples: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Weights, the bias last, after EPOCHS passes over (label, features, values) in their order."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -66,12 +68,26 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     return weights(np.arange(len(z)))
 
 
-def _train_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    examples = []
-    for row in pdf.sort_values(["spread", "label", "words"]).itertuples():
-        i, count = np.unique(np.frombuffer(row.features, np.int32), return_counts=True)
-        examples.append((row.label, np.append(i, 1 << BITS), np.append(count / np.sqrt(max(1, row.words)), 1.0)))
-    return pd.DataFrame({"examples": [len(examples)], "weights": [train(examples).tobytes()]})
+class _Examples:
+    """(label, features, values) of a part's rows in their order; values, of eight bytes, are made anew in each pass."""
+
+    def __init__(self, part: pa.Table) -> None:
+        order = pc.sort_indices(part.select(["spread", "label", "words"]), [(c, "ascending") for c in ("spread", "label", "words")]).to_pylist()
+        label, words = part["label"].to_pylist(), part["words"].to_pylist()
+        self.rows = [(label[k], np.sqrt(max(1, words[k])), *self.counted(part["features"][k].as_buffer())) for k in order]
+
+    @staticmethod
+    def counted(features: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+        i, count = np.unique(np.frombuffer(features, np.int32), return_counts=True)
+        return np.append(i, np.int32(1 << BITS)), count.astype(np.min_scalar_type(count.max(initial=0)))
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for label, root, i, count in self.rows:
+            yield label, i, np.append(count / root, 1.0)
+
+
+def _train_part(part: pa.Table) -> pa.Table:
+    return pa.table({"examples": [part.num_rows], "weights": [train(_Examples(part)).tobytes()]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -90,17 +106,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            blobs, words = [], []
             for at, to, features, counts, n in _features(batch.column("text")):
                 ends = np.cumsum(counts)
-                blobs += [features[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                words += n.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("spread"), batch.column("label"), pa.array(words, pa.int64()), pa.array(blobs, pa.binary())], names=["spread", "label", "words", "features"])
+                blobs = pa.array([features[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([part.column("spread"), part.column("label"), pa.array(n, pa.int64()), blobs], names=["spread", "label", "words", "features"])
 
     rows = rows.select("text", "spread", F.col("label").cast("int")).mapInArrow(run, "spread string, label int, words long, features binary").dropDuplicates(["spread", "label"])
     part = F.pmod(F.xxhash64("spread", "label"), F.lit(parts))
     # One array of fixed size for each part.
-    found = rows.groupBy(part.alias("part")).applyInPandas(_train_part, "examples long, weights binary").collect()
+    found = rows.groupBy(part.alias("part")).applyInArrow(_train_part, "examples long, weights binary").collect()
     if not found:
         return np.zeros((1 << BITS) + 1)
     return np.average([np.frombuffer(r.weights) for r in found], axis=0, weights=[r.examples for r in found])
@@ -111,21 +126,24 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str, name: str = "quality
     ship(docs.sparkSession)
     kept = docs.select(*keep)
     names = [*kept.columns, name]
+    # A text that is kept is sent once.
+    own = keep.index("text") if "text" in keep and len(keep) == len(kept.columns) else len(kept.columns)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w = sent.value
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for at, to, features, counts, n in _features(batch.column(batch.num_columns - 1)):
+            # Given back as it is scored, so that no whole batch is in memory again on its way.
+            for at, to, features, counts, n in _features(batch.column(own)):
                 total = np.concatenate([[0.0], np.cumsum(w[features])])
                 ends = np.cumsum(counts)
-                out[at:to] = (total[ends] - total[ends - counts]) / np.sqrt(np.maximum(n, 1))
-            out = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=names)
+                out = (total[ends] - total[ends - counts]) / np.sqrt(np.maximum(n, 1))
+                out = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns[: len(names) - 1], pa.array(out)], names=names)
 
     schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
-    return docs.select(*keep, F.col("text").alias(unused(names, "text_to_score"))).mapInArrow(run, schema)
+    also = [] if own < len(kept.columns) else [F.col("text").alias(unused(names, "text_to_score"))]
+    return docs.select(*keep, *also).mapInArrow(run, schema)
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:

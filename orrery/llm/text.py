@@ -1,7 +1,7 @@
 """Words, word hashes and word shingles of whole texts, computed on the bytes of an Arrow column.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  All functions work on slices of
-a batch that hold about ``CHUNK`` bytes (or one longer text), so that memory stays bounded.
+a batch that hold about ``CHUNK`` bytes, or as many as are asked for (or one longer text), so that memory stays bounded.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ _powers: dict[int, np.ndarray] = {}
 def _pow(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        have = np.full(max(n, 2 * len(have) if have is not None else 0), base, np.uint64)
         have[0] = 1
         have = _powers[base] = np.multiply.accumulate(have)
     return have[:n]
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in these bytes); a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -54,7 +54,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
