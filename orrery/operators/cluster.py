@@ -19,6 +19,10 @@ from orrery.operators.vector import dot, knn_many
 STRICTNESS = {"normal": (0.365, 0.40, 0.45, 0.425), "strict": (0.445, 0.48, 0.53, 0.505), "loose": (0.305, 0.34, 0.39, 0.365)}
 
 
+#: Faces whose near looks are found in one product, looks or faces that meet others at a time, and what single precision may miss.
+AHEAD, AT_ONCE, SLACK = 128, 1 << 14, 1e-4
+
+
 #: Looks and clearest faces kept of a person, faces of a video that shape one, and what two looks need to be linked.
 MOST_LOOKS, CLEAREST, PER_VIDEO, BEFORE_LINK = 6, 10, 2, 0.26
 
@@ -42,15 +46,51 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def met(x: np.ndarray, y: np.ndarray, least: float, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y (counted from ``first``) whose product may be ``least`` or above, in single precision."""
+    near = (x.astype(np.float32) @ y.astype(np.float32, copy=False).T >= least - SLACK).ravel()
+    # Few are, so eight are looked at as one number first.
+    whole = len(near) // 8 * 8
+    some = (np.flatnonzero(near[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    i, j = np.divmod(np.concatenate([some[near[some]], whole + np.flatnonzero(near[whole:])]), max(len(y), 1))
+    return i, j + first
+
+
+class Clear:
+    """The clearest faces of all people as one matrix, while people merge."""
+
+    def __init__(self, clear: dict[int, list[tuple[float, np.ndarray]]], people: list[int], dim: int) -> None:
+        self.people = people
+        self.number = {p: k for k, p in enumerate(self.people)}
+        self.sizes = np.array([len(clear[p]) for p in self.people], np.int64)
+        self.faces = np.array([e for p in self.people for _, e in clear[p]], np.float32).reshape(-1, dim)
+        self.ranks = np.array([rank for p in self.people for rank, _ in clear[p]], np.float64)
+        self.whose = np.repeat(np.arange(len(self.people)), self.sizes)
+        self.rows = dict(zip(self.people, np.split(np.arange(len(self.whose)), np.cumsum(self.sizes)[:-1]), strict=True)) if self.people else {}
+
+    def absorb(self, keep: int, gone: int) -> None:
+        """As ``Groups`` keeps the clearest of both, in the order of rank."""
+        both = np.concatenate([self.rows[keep], self.rows.pop(gone)])
+        both = both[np.argsort(-self.ranks[both], kind="stable")]
+        self.whose[both] = -1
+        self.rows[keep] = both[:CLEAREST]
+        self.whose[self.rows[keep]] = self.number[keep]
+        self.sizes[self.number[keep]] = len(self.rows[keep])
+
+
 class Groups:
     """People of one block as looks (running means of like faces), their clearest faces, and the photos they are in.
 
-    Looks of all people are the rows of one matrix, so the nearest person is one product.
+    Looks of all people are the rows of one matrix, so the nearest person is one product, and those of the faces that come
+    next are another (``expect``): what changes meanwhile is compared again face by face.
     """
 
     def __init__(self, dim: int, limits: Thresholds) -> None:
         self.limits, self.looks = limits, 0
         self.sums, self.centres, self.owner = np.zeros((64, dim)), np.zeros((64, dim)), np.zeros(64, np.int64)
+        self.rows: dict[int, set[int]] = {}  # of a person's looks
+        self.moved: list[int] = []  # looks that are others than when faces were expected
+        self.is_moved = np.zeros(64, bool)
         self.count: dict[int, int] = {}
         self.clear: dict[int, list[tuple[float, np.ndarray]]] = {}
         self.photos: dict[int, set] = {}
@@ -61,20 +101,28 @@ class Groups:
     def room(self, n: int) -> None:
         """Space for n looks at least."""
         while n > len(self.owner):
-            self.sums, self.centres, self.owner = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.centres, self.owner))
+            self.sums, self.centres, self.owner, self.is_moved = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.centres, self.owner, self.is_moved))
 
     def put(self, i: int, person: int, total: np.ndarray) -> None:
         """Look i becomes one of a person, with this sum of vectors."""
         self.room(i + 1)
+        self.rows.get(int(self.owner[i]), set()).discard(i)
+        self.rows.setdefault(person, set()).add(i)
+        if not self.is_moved[i]:
+            self.is_moved[i] = True
+            self.moved.append(i)
         self.sums[i], self.centres[i], self.owner[i] = total, unit(total), person
 
+    def looks_of(self, person: int) -> np.ndarray:
+        return np.array(sorted(self.rows.get(person, ())), np.int64)
+
     def join(self, person: int, photo: int) -> None:
         self.photos.setdefault(person, set()).add(photo)
         self.inside.setdefault(photo, set()).add(person)
 
     def learn(self, person: int, e: np.ndarray, rank: float) -> None:
         """One more clear face of a person: it moves the nearest of their looks, or is a new one."""
-        own = np.flatnonzero(self.owner[: self.looks] == person)
+        own = self.looks_of(person)
         near = self.centres[own] @ e
         if len(own) and near.max() >= self.limits.join:
             self.put(int(own[near.argmax()]), person, self.sums[own[near.argmax()]] + e)
@@ -88,30 +136,48 @@ class Groups:
 
     def bound(self, person: int) -> None:
         """Of more than MOST_LOOKS looks the two most alike become one."""
-        while len(own := np.flatnonzero(self.owner[: self.looks] == person)) > MOST_LOOKS:
+        while len(own := self.looks_of(person)) > MOST_LOOKS:
             alike = np.triu(self.centres[own] @ self.centres[own].T, 1) + np.tril(np.full((len(own),) * 2, -9.0))
             i, j = (int(own[k]) for k in np.unravel_index(alike.argmax(), alike.shape))
             self.put(i, person, self.sums[i] + self.sums[j])
             self.looks -= 1
-            self.put(j, int(self.owner[self.looks]), self.sums[self.looks])
+            last = int(self.owner[self.looks])
+            self.put(j, last, self.sums[self.looks])
+            self.rows[last].discard(self.looks)
             self.owner[self.looks] = 0
 
-    def nearest(self, e: np.ndarray, least: float, out: set) -> int | None:
-        """The person with the look nearest to e, at ``least`` or above and not among ``out``."""
-        near = self.centres[: self.looks] @ e
-        enough = np.flatnonzero(near >= least)
-        for i in enough[np.argsort(-near[enough], kind="stable")]:
+    def expect(self, faces: np.ndarray) -> list[np.ndarray]:
+        """For each of the faces that come next the looks that may be near enough, ``may`` of ``nearest`` until the next call."""
+        self.is_moved[self.moved] = False
+        self.moved.clear()
+        found = [met(faces, self.centres[low : min(low + AT_ONCE, self.looks)], min(self.limits.join, self.limits.weak), low) for low in range(0, self.looks, AT_ONCE)]
+        i, j = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *found, strict=True))
+        by = np.argsort(i, kind="stable")
+        return np.split(j[by], np.searchsorted(i[by], np.arange(1, len(faces))))
+
+    def nearest(self, e: np.ndarray, least: float, out: set, may: np.ndarray | None = None) -> int | None:
+        """The person with the look nearest to e, at ``least`` or above and not among ``out``; may: see ``expect``."""
+        if may is None:
+            some = np.arange(self.looks)
+            near = self.centres[: self.looks] @ e
+        else:
+            some = np.concatenate([may[~self.is_moved[may]], np.array(self.moved, np.int64)])
+            some = some[some < self.looks]
+            near = np.einsum("ij,j->i", self.centres[some], e)
+        enough = near >= least
+        some, near = some[enough], near[enough]
+        for i in some[np.lexsort((some, -near))] if len(some) > 1 else some:
             if int(self.owner[i]) not in out:
                 return int(self.owner[i])
         return None
 
-    def place(self, face: int, photo: int, e: np.ndarray, good: bool, rank: float, blocked: int | None, video: int | None) -> int | None:
+    def place(self, face: int, photo: int, e: np.ndarray, good: bool, rank: float, blocked: int | None, video: int | None, may: np.ndarray | None = None) -> int | None:
         """The person a face goes to (a new one is named by the negative of the face), or None.
 
         A face that joins or starts a person shapes them only if it is good, and of one video at most PER_VIDEO faces do.
         """
         out = self.inside.get(photo, set()) | ({blocked} if blocked is not None else set())
-        person = self.nearest(e, self.limits.join if good else self.limits.weak, out)
+        person = self.nearest(e, self.limits.join if good else self.limits.weak, out, may)
         if person is None and not good:
             return None
         person = -face if person is None else person
@@ -137,14 +203,16 @@ class Groups:
         changed = [p for p in order if p in self.changed]
         self.changed.clear()
         partners: dict[int, set] = {}
+        clear = Clear(self.clear, order, len(self.sums[0]))
 
-        def compare(people: list[int]) -> None:
-            for a, b in self.alike(people):
+        def compare(people: list[int], every: bool = False) -> None:
+            for a, b in self.alike(people, clear, every):
                 partners.setdefault(a, set()).add(b)
                 partners.setdefault(b, set()).add(a)
 
         # Of two that merge the larger has two faces and more.
-        compare([p for p in changed if self.count[p] > 1] if len(changed) == len(order) else changed)
+        every = len(changed) == len(order)
+        compare([p for p in changed if self.count[p] > 1] if every else changed, every)
         for k, a in enumerate(order):
             if a in into:
                 continue
@@ -158,6 +226,7 @@ class Groups:
                         continue
                     keep, gone = (b, a) if b in named or (b in pinned and a not in named) else (a, b)
                     into[gone] = keep
+                    clear.absorb(keep, gone)
                     self._absorb(keep, gone)
                     for p in (keep, gone):
                         for q in partners.pop(p, ()):
@@ -168,40 +237,39 @@ class Groups:
                     break
         return into
 
-    def alike(self, people: list[int], size: int = 256) -> Iterator[tuple[int, int]]:
+    def alike(self, people: list[int], clear: Clear, first: bool = False, size: int = 256) -> Iterator[tuple[int, int]]:
         """Pairs of these people and any others whose looks are as near as ``merge``, or BEFORE_LINK and their clearest faces
-        as near as ``link``; vectors of some of these people meet those of all at a time."""
-        owner, centres = self.owner[: self.looks], self.centres[: self.looks]
-        known = list(self.clear)
-        faces = np.stack([e for p in known for _, e in self.clear[p]]) if known else centres[:0]
-        whose = np.repeat(np.array(known, np.int64), [len(self.clear[p]) for p in known])
+        as near as ``link``; vectors of some of these people meet AT_ONCE others at a time.  first: these people are the
+        first of ``clear`` in its order, so faces meet those that come after them only."""
         for start in range(0, len(people), size // 4):
-            some = np.array(people[start : start + size // 4], np.int64)
-            near: dict[tuple[int, int], float] = {}
-            for own in self._slices(np.flatnonzero(np.isin(owner, some)), size):
-                s = centres[own] @ centres.T
-                i, j = np.nonzero(s >= BEFORE_LINK)
-                for pair, value in zip(zip(owner[own[i]].tolist(), owner[j].tolist(), strict=True), s[i, j].tolist(), strict=True):
-                    if pair[0] != pair[1] and value > near.get(pair, -1.0):
-                        near[pair] = value
-            may = set()
-            for own in self._slices(np.flatnonzero(np.isin(whose, some)), size):
-                i, j = np.nonzero(faces[own] @ faces.T >= self.limits.link - 1e-9)
-                may.update(zip(whose[own[i]].tolist(), whose[j].tolist(), strict=True))
-            for (a, b), value in near.items():
-                if value >= self.limits.merge or ((a, b) in may and self._linked(a, b)):
+            some = people[start : start + size // 4]
+            like, may = set(), set()
+            own = np.concatenate([self.looks_of(p) for p in some])
+            for low in range(0, self.looks, AT_ONCE):
+                i, j = met(self.centres[own], self.centres[low : min(low + AT_ONCE, self.looks)], self.limits.merge, low)
+                enough = (self.centres[own[i]] * self.centres[j]).sum(axis=1) >= self.limits.merge
+                like.update(zip(self.owner[own[i[enough]]].tolist(), self.owner[j[enough]].tolist(), strict=True))
+            own = np.concatenate([clear.rows[p] for p in some])
+            for low in range(int(own[0]) if first else 0, len(clear.whose), AT_ONCE):
+                i, j = met(clear.faces[own], clear.faces[low : low + AT_ONCE], self.limits.link, low)
+                i, j = clear.whose[own[i]], clear.whose[j]
+                # Those with fewer than three pairs of faces are never linked; -1 is nobody's any more.
+                enough = (j >= 0) & (clear.sizes[i] * clear.sizes[j] >= 3)
+                may.update((clear.people[a], clear.people[b]) for a, b in set(zip(i[enough].tolist(), j[enough].tolist(), strict=True)))
+            for a, b in like | may:
+                if a != b and ((a, b) in like or (self._near(a, b) >= BEFORE_LINK and self._linked(a, b))):
                     yield a, b
 
-    @staticmethod
-    def _slices(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        return (rows[k : k + size] for k in range(0, len(rows), size))
+    def _near(self, a: int, b: int) -> float:
+        return float((self.centres[self.looks_of(a)] @ self.centres[self.looks_of(b)].T).max(initial=-1.0))
 
     def _linked(self, a: int, b: int) -> bool:
         pairs = np.sort((np.stack([e for _, e in self.clear[a]]) @ np.stack([e for _, e in self.clear[b]]).T).ravel())
         return len(pairs) >= 3 and pairs[-3:].mean() >= self.limits.link
 
     def _absorb(self, keep: int, gone: int) -> None:
-        self.owner[: self.looks][self.owner[: self.looks] == gone] = keep
+        self.owner[self.looks_of(gone)] = keep
+        self.rows.setdefault(keep, set()).update(self.rows.pop(gone, ()))
         self.changed.add(keep)
         self.count[keep] += self.count.pop(gone)
         self.clear[keep] = sorted(self.clear[keep] + self.clear.pop(gone), key=lambda x: -x[0])[:CLEAREST]
@@ -228,8 +296,10 @@ def _placed(limits: Thresholds, again: bool):
             groups.join(int(r.person_id), int(r.media_key))
         new = pdf[pdf.person_id.isna()]
         new = new.sort_values(["good", "rank", "id"], ascending=[False, False, True]) if again else new.sort_values(["media_key", "rank", "id"], ascending=[True, False, True])
-        for r in new.itertuples():
-            found[r.id] = groups.place(int(r.id), int(r.media_key), vectors[r.id], bool(r.good), float(r.rank), number(r.blocked), None if again else number(r.video))
+        for start in range(0, len(new), AHEAD):
+            some = new.iloc[start : start + AHEAD]
+            for r, may in zip(some.itertuples(), groups.expect(np.stack([vectors[i] for i in some.id.tolist()])), strict=True):
+                found[r.id] = groups.place(int(r.id), int(r.media_key), vectors[r.id], bool(r.good), float(r.rank), number(r.blocked), None if again else number(r.video), may)
         if again:
             known = pdf[pdf.person_id.notna()]
             own = lambda flag: set(known[known[flag].astype(bool)].person_id.astype(int))

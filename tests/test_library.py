@@ -50,6 +50,44 @@ def test_a_video_shapes_a_person_twice_at_most():
     assert groups.count[-1] == 2 and groups.photos[-1] == {100, 101, 102, 103}
 
 
+def test_faces_that_come_next_are_placed_as_one_after_another():
+    rng, limits = np.random.default_rng(8), C.Thresholds.named("strict")
+    faces = C.unit(rng.normal(size=(60, 24))[rng.integers(60, size=900)] + rng.normal(size=(900, 24)) * 0.8)
+    faces[500:520] = faces[7]
+    plain, ahead, want, found = C.Groups(24, limits), C.Groups(24, limits), [], []
+    for start in range(0, 900, 100):
+        some = faces[start : start + 100]
+        for k, (e, may) in enumerate(zip(some, ahead.expect(some), strict=True), start):
+            face = (k + 1, k // 2, e, k % 5 != 0, float(k % 11), None, None)
+            want.append(plain.place(*face))
+            found.append(ahead.place(*face, may))
+    assert found == want and len(set(found)) > 60 and np.array_equal(plain.sums, ahead.sums)
+    assert all(np.array_equal(ahead.looks_of(p), np.flatnonzero(ahead.owner[: ahead.looks] == p)) for p in ahead.count)
+
+
+def test_like_people_are_those_of_all_pairs_also_after_merging():
+    rng, limits = np.random.default_rng(9), C.Thresholds.named("strict")
+    groups = C.Groups(24, limits)
+    for k, e in enumerate(C.unit(rng.normal(size=(40, 24))[rng.integers(40, size=600)] + rng.normal(size=(600, 24)) * 1.1)):
+        groups.place(k + 1, k, e, True, float(k % 11), None, None)
+    order = sorted(groups.count, key=lambda p: (-groups.count[p], -p))
+    clear = C.Clear(groups.clear, order, 24)
+
+    def like(a: int, b: int) -> bool:
+        own = lambda p: groups.centres[: groups.looks][groups.owner[: groups.looks] == p]
+        near = (own(a) @ own(b).T).max()
+        best = np.sort((np.stack([e for _, e in groups.clear[a]]) @ np.stack([e for _, e in groups.clear[b]]).T).ravel())[-3:]
+        return near >= limits.merge or (near >= C.BEFORE_LINK and len(best) == 3 and best.mean() >= limits.link)
+
+    both = lambda pairs: {(min(p), max(p)) for p in pairs}
+    assert both(groups.alike([p for p in order if groups.count[p] > 1], clear, True)) >= both((a, b) for a in order for b in order if a < b and max(groups.count[a], groups.count[b]) > 1 and like(a, b))
+    for keep, gone in zip(order[:12:2], order[1:12:2], strict=True):
+        clear.absorb(keep, gone)
+        groups._absorb(keep, gone)
+        found, want = both(groups.alike([keep], clear)), both((keep, b) for b in groups.count if b != keep and like(keep, b))
+        assert found == want and np.allclose(clear.faces[clear.rows[keep]], np.stack([e for _, e in groups.clear[keep]]))
+
+
 def test_looks_are_bounded_and_the_most_alike_become_one():
     groups = C.Groups(16, C.Thresholds())
     for i in range(9):
